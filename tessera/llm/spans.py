@@ -137,7 +137,7 @@ def shared_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         raise ValueError("runs are laid out for spans of 300 characters or more")
     d = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null and length(text) >= %d" % span)
     d = d.withColumn("c", F.xxhash64("text"))
-    keys = d.select("c", "text").mapInArrow(_keys(span), "h long, c long").distinct()
+    keys = d.select("c", "text").mapInArrow(_keys(span), "h long, c long").repartition("h").dropDuplicates(["h", "c"])
     members = cut(d.select("id", "c").distinct())
     pairs = cut(keys.alias("x").join(keys.alias("y"), "h").where("x.c < y.c").select(F.col("x.c").alias("ca"), F.col("y.c").alias("cb")).distinct())
     wanted = pairs.select(F.explode(F.array("ca", "cb")).alias("c")).distinct()
