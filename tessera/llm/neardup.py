@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from tessera.llm import vectext as v
 from tessera.runtime import cut, small_side
 
-BUCKETS = 1 << 20
+BUCKETS = 1 << 18
 SHINGLE = 3
 THRESHOLD = 0.7
 MIN_WORDS = 25
@@ -63,10 +63,13 @@ def _counts(shingle: int, min_words: int):
 
 
 def _prefixes(shingle: int, min_words: int, threshold: float, order: np.ndarray):
-    """(id, tool, text) to (id, sig, size, bits, prefix): the class, the size of the set, its parity bitmap, its rarest members in order."""
+    """(id, tool, text) to (id, sig, size, bits, prefix): the class, the size of the set, its parity bitmap, its rarest members in order.
+
+    A class that this task has met before comes without its prefix, so that copies cost one narrow row each.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one = np.uint64(1)
+        one, met = np.uint64(1), set()
         for ids, tools, texts in _rows(batches):
             out: list[list] = [[], [], [], [], []]
             for i, s in _sets(tools, texts, shingle, min_words):
@@ -74,8 +77,10 @@ def _prefixes(shingle: int, min_words: int, threshold: float, order: np.ndarray)
                 bits = np.bitwise_xor.reduce(one << (s >> np.uint64(58)))
                 sig = v.mix(np.bitwise_xor.reduce(v.mix(s)) + v.mix(np.sum(s, keepdims=True)) + np.uint64(len(s)))
                 keep = len(s) - ceil(threshold * len(s) - 1e-9) + 1
-                for o, x in zip(out, (ids[i], sig.view(np.int64)[0], len(s), bits.view(np.int64), s[rank[:keep]].view(np.int64)), strict=True):
+                name = int(sig.view(np.int64)[0])
+                for o, x in zip(out, (ids[i], name, len(s), bits.view(np.int64), None if name in met else s[rank[:keep]].view(np.int64)), strict=True):
                     o.append(x)
+                met.add(name)
             yield pa.record_batch(
                 [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.int64()), pa.array(out[4], pa.list_(pa.int64()))],
                 names=["id", "sig", "size", "bits", "prefix"],
@@ -107,7 +112,7 @@ def _verify(shingle: int, threshold: float):
 
 
 def _order(base: DataFrame, shingle: int, min_words: int) -> np.ndarray:
-    """Counts by bucket over all records: a fixed number of buckets, summed in the cluster, at the driver 8 MB."""
+    """Counts by bucket over all records: a fixed number of buckets, summed in the cluster, at the driver 2 MB."""
     sums = base.mapInArrow(_counts(shingle, min_words), "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
     order = np.zeros(BUCKETS, np.int64)
     got = sums.toArrow()
@@ -128,9 +133,15 @@ def similar_classes(
     order = spark.sparkContext.broadcast(_order(base, shingle, min_words))
     body = _prefixes_from(shingle, min_words, threshold, order)
     sets = cut(base.mapInArrow(body, "id long, sig long, size int, bits long, prefix array<long>"))
-    classes = sets.groupBy("sig").agg(F.min(F.struct("id", "size", "bits", "prefix")).alias("r"))
-    members = sets.select("id", "sig").distinct().join(sets.groupBy("sig").agg(F.min("id").alias("rep")), "sig").select("id", "rep")
-    posts = classes.select("r.id", F.col("r.size").cast("long").alias("size"), F.posexplode("r.prefix").alias("pos", "gram")).select("gram", "id", F.shiftleft("size", 32).bitwiseOR(F.col("pos").cast("long")).alias("at"))
+    members = sets.select("id", "sig").distinct().join(sets.groupBy("sig").agg(F.min("id").alias("rep")), "sig")
+    # one row for each class and member of its prefix; a class has one set, so any of its rows will do
+    posts = (
+        sets.where("prefix is not null")
+        .select(F.posexplode("prefix").alias("pos", "gram"), F.col("sig").alias("c"), "size")
+        .select("gram", "c", F.shiftleft(F.col("size").cast("long"), 32).bitwiseOR(F.col("pos").cast("long")).alias("at"))
+        .repartition("gram")
+        .dropDuplicates(["gram", "c"])
+    )
     size = lambda t: F.shiftright(F.col(f"{t}.at"), 32)
     pos = lambda t: F.col(f"{t}.at").bitwiseAND(F.lit(0xFFFFFFFF))
     need = F.ceil(F.lit(threshold / (1 + threshold)) * (size("x") + size("y")) - 1e-9)
@@ -138,21 +149,25 @@ def similar_classes(
     met = (
         posts.alias("x")
         .join(posts.alias("y"), "gram")
-        .where(F.col("x.id") < F.col("y.id"))
+        .where(F.col("x.c") < F.col("y.c"))
         .where((size("x") >= threshold * size("y") - 1e-9) & (size("y") >= threshold * size("x") - 1e-9))
-        .groupBy(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+        .groupBy(F.col("x.c").alias("ca"), F.col("y.c").alias("cb"))
         .agg(F.count("*").alias("met"), F.max(left).alias("left"), F.min(left).alias("least_left"), F.first(need).alias("need"), F.first(size("x") + size("y")).alias("sum"))
         # at the first common member all that is left may agree; after the last one only what is left behind it
         .where((F.col("left") >= F.col("need")) & (F.col("met") + F.col("least_left") - 1 >= F.col("need")))
     )
-    pairs = cut(met.select("a", "b", "need", "sum"))
-    wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
-    some = cut(base.join(small_side(wanted), "id", "left_semi").dropDuplicates(["id"]).join(sets.select("id", "bits").dropDuplicates(["id"]).join(small_side(wanted), "id", "left_semi"), "id"))
-    a = some.select(F.col("id").alias("a"), F.col("tool"), F.col("text").alias("ta"), F.col("bits").alias("ba"))
-    b = some.select(F.col("id").alias("b"), F.col("text").alias("tb"), F.col("bits").alias("bb"))
-    # suffix filter: partitions of odd against even size differ by one member at least
-    both = pairs.join(a, "a").join(b, "b").where(F.col("sum") - F.bit_count(F.col("ba").bitwiseXOR(F.col("bb"))) >= 2 * F.col("need"))
+    pairs = cut(met.select("ca", "cb", "need", "sum"))
+    wanted = pairs.select(F.explode(F.array("ca", "cb")).alias("sig")).distinct()
+    reps = cut(sets.join(small_side(cut(wanted)), "sig", "left_semi").groupBy("sig").agg(F.min(F.struct("id", "bits")).alias("r")).select("sig", "r.id", "r.bits"))
+    side = lambda n: reps.select(F.col("sig").alias(f"c{n}"), F.col("id").alias(n), F.col("bits").alias(f"b{n}"))
+    # suffix filter: a partition of odd size against one of even size differs by one member at least
+    near = pairs.join(side("a"), "ca").join(side("b"), "cb").where(F.col("sum") - F.bit_count(F.col("ba").bitwiseXOR(F.col("bb"))) >= 2 * F.col("need")).select("a", "b")
+    near = cut(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+    ids = small_side(cut(near.select(F.explode(F.array("a", "b")).alias("id")).distinct()))
+    texts = base.join(ids, "id", "left_semi").dropDuplicates(["id"])
+    both = near.join(texts.select(F.col("id").alias("a"), "tool", F.col("text").alias("ta")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
     links = cut(both.select("a", "b", "tool", "ta", "tb").mapInArrow(_verify(shingle, threshold), "a long, b long, similarity double"))
+    members = members.select("id", "rep")
     return members, links
 
 
