@@ -6,7 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from tessera.runtime import table
+from tessera.sources import drift
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drift.changes(table(spark, sf_dir, "session_files"), drift.ingest(table(spark, sf_dir, "session_lines")))
+
+
+def p4_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drift.promote(drift.ingest(table(spark, sf_dir, "session_lines")).drop("_paths"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p4_found, p4_table)}
 SQL: dict[str, str] = {}
 
 
