@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import leakage, neardup, spans
+from tessera.llm import leakage, neardup, pairs, spans
 from tessera.runtime import table
 
 
@@ -16,6 +16,14 @@ def p1_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.similar_groups(table(spark, sf_dir, "segments"))
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pairs.defective(table(spark, sf_dir, "probe_pairs"))
+
+
+def p5_defects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pairs.all_defects(table(spark, sf_dir, "probe_pairs"))
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.leaked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
@@ -32,7 +40,7 @@ def p9_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.shared_report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p8_found, p8_report, p9_found, p9_shared)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p5_found, p5_defects, p8_found, p8_report, p9_found, p9_shared)}
 
 SQL: dict[str, str] = {
     "p8_found": r"""
