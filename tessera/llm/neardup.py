@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 from tessera.llm import vectext as v
 from tessera.runtime import cut, small_side
 
-BUCKETS = 1 << 18
+BUCKETS = 1 << 20
+_BLOCK = 1 << 12
 SHINGLE = 3
 THRESHOLD = 0.7
 MIN_WORDS = 25
@@ -48,7 +49,7 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[list[list]]:
 
 
 def _counts(shingle: int, min_words: int):
-    """(id, tool, text) to (bucket, n): for this task, the number of sets with a member in the bucket."""
+    """(id, tool, text) to (block, counts): for this task, the number of sets with a member in each bucket, in blocks of buckets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(BUCKETS, np.int64)
@@ -56,12 +57,32 @@ def _counts(shingle: int, min_words: int):
             sets = [s for _, s in _sets(tools, texts, shingle, min_words)]
             if sets:
                 total += np.bincount((np.concatenate(sets) & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
-        at = np.flatnonzero(total)
-        yield pa.record_batch([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["bucket", "n"])
+        if total.any():
+            yield _blocks(total)
 
     return run
 
 
+def _blocks(total: np.ndarray) -> pa.RecordBatch:
+    """Counts as one row for each block, each as narrow as its largest count allows."""
+    rows = total.reshape(-1, _BLOCK)
+    kinds = [next(t for t in (np.uint8, np.uint16, np.int64) if r.max() <= np.iinfo(t).max) for r in rows]
+    return pa.record_batch([pa.array(np.arange(len(rows), dtype=np.int32)), pa.array([r.astype(t).tobytes() for r, t in zip(rows, kinds, strict=True)], pa.binary())], names=["block", "counts"])
+
+
+def _read_block(counts: bytes) -> np.ndarray:
+    return np.frombuffer(counts, {_BLOCK: np.uint8, 2 * _BLOCK: np.uint16, 8 * _BLOCK: np.int64}[len(counts)]).astype(np.int64)
+
+
+def _sum_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of the counts by block, one row at a time."""
+    sums: dict[int, np.ndarray] = {}
+    for b in batches:
+        for block, counts in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            sums[block] = sums.get(block, 0) + _read_block(counts)
+    yield pa.record_batch([pa.array(list(sums), pa.int32()), pa.array([x.astype(np.int64).tobytes() for x in sums.values()], pa.binary())], names=["block", "counts"])
+
+
 def _prefixes(shingle: int, min_words: int, threshold: float, order: np.ndarray):
     """(id, tool, text) to (id, sig, size, bits, prefix): the class, the size of the set, its parity bitmap, its rarest members in order.
 
@@ -112,11 +133,11 @@ def _verify(shingle: int, threshold: float):
 
 
 def _order(base: DataFrame, shingle: int, min_words: int) -> np.ndarray:
-    """Counts by bucket over all records: a fixed number of buckets, summed in the cluster, at the driver 2 MB."""
-    sums = base.mapInArrow(_counts(shingle, min_words), "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    """Counts by bucket over all records: a fixed number of buckets, summed in the cluster, at the driver 8 MB."""
+    counts = base.mapInArrow(_counts(shingle, min_words), "block int, counts binary").repartition("block").mapInArrow(_sum_blocks, "block int, counts binary")
     order = np.zeros(BUCKETS, np.int64)
-    got = sums.toArrow()
-    order[got.column("bucket").to_numpy()] = got.column("n").to_numpy()
+    for r in counts.collect():
+        order[r.block * _BLOCK : (r.block + 1) * _BLOCK] = _read_block(bytes(r.counts))
     return np.minimum(order, np.iinfo(np.int32).max).astype(np.int32)
 
 
