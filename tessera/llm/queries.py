@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import leakage, neardup, pairs, spans
+from tessera.llm import chunking, conversations, leakage, neardup, packing, pairs, spans
 from tessera.runtime import table
 
 
+def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunking.items(table(spark, sf_dir, "segments"), table(spark, sf_dir, "turns"))
+
+
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.similar_pairs(table(spark, sf_dir, "segments"))
 
@@ -16,6 +20,14 @@ def p1_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.similar_groups(table(spark, sf_dir, "segments"))
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunking.oversized(_items(spark, sf_dir), table(spark, sf_dir, "size_limits"))
+
+
+def p3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunking.split_oversized(_items(spark, sf_dir), table(spark, sf_dir, "size_limits"))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.defective(table(spark, sf_dir, "probe_pairs"))
 
@@ -24,6 +36,22 @@ def p5_defects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.all_defects(table(spark, sf_dir, "probe_pairs"))
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.conversations(table(spark, sf_dir, "chat_rows")).drop("role")
+
+
+def p6_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.conversations(table(spark, sf_dir, "chat_rows"))
+
+
+def p7_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+def p7_room(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.container_report(packing.pack(table(spark, sf_dir, "documents")))
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.leaked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
@@ -40,9 +68,17 @@ def p9_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.shared_report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p5_found, p5_defects, p8_found, p8_report, p9_found, p9_shared)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p3_found, p3_pieces, p5_found, p5_defects, p6_found, p6_turns, p7_packed, p7_room, p8_found, p8_report, p9_found, p9_shared)}
 
 SQL: dict[str, str] = {
+    "p3_found": r"""
+        WITH items AS (
+            SELECT 'segments' AS src, seg_uid AS item_uid, 0 AS block, kind, text FROM segments
+            UNION ALL
+            SELECT 'turns', turn_uid, CAST(i - 1 AS INTEGER), blocks[i].kind, blocks[i].text
+            FROM (SELECT turn_uid, blocks, unnest(range(1, len(blocks) + 1)) AS i FROM turns))
+        SELECT src, item_uid, block FROM items JOIN size_limits USING (kind)
+        WHERE length(trim(text, ' ' || chr(9) || chr(13) || chr(10))) > max_chars""",
     "p8_found": r"""
         WITH i AS (SELECT item_id, regexp_extract_all(lower(passage), '[\p{L}\p{N}]+') AS w FROM eval_items),
         d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents),
