@@ -18,18 +18,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder named in spark.checkpoint.dir; a local one only where that is unset (tests)."""
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share, named in spark.checkpoint.dir; a local one only where that is unset (tests)."""
     sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isDefined():
-        return
     shared = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if shared:
-        sc.setCheckpointDir(shared)
-    elif sc.master.startswith("local"):
-        sc.setCheckpointDir(os.path.join(tempfile.gettempdir(), "tessera-checkpoints"))
-    else:
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        return shared
+    if sc.master.startswith("local[") or sc.master == "local":
+        return os.path.join(tempfile.gettempdir(), "tessera-checkpoints")
+    raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+
+
+def _ensure_checkpoint_dir(spark: SparkSession) -> None:
+    sc = spark.sparkContext
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        sc.setCheckpointDir(shared_folder(spark))
 
 
 def cut(df: DataFrame) -> DataFrame:
