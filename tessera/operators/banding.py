@@ -62,14 +62,16 @@ def python_bands(text: str) -> list[int] | None:
             top = min([node.lineno, *(d.lineno for d in node.decorator_list)])
             put(node.lineno, node.end_lineno or node.lineno, depth + 1)
             put(top, max(node.body[0].lineno - 1, node.lineno), 0)
-            if ast.get_docstring(node, clean=False) is not None:
-                put(node.body[0].lineno, node.body[0].end_lineno or node.body[0].lineno, 0)
+            doc = node.body[0] if ast.get_docstring(node, clean=False) is not None else None
+            if doc is not None:
+                put(doc.lineno, doc.end_lineno or doc.lineno, 0)
         else:
+            doc = None
             put(node.lineno, node.end_lineno or node.lineno, 0 if isinstance(node, _SHOWN) else depth)
         inner = [s for part in ("body", "orelse", "finalbody") for s in (getattr(node, part, None) or []) if isinstance(s, ast.stmt)]
         inner += [s for h in getattr(node, "handlers", []) for s in h.body] + [s for c in getattr(node, "cases", []) for s in c.body]
         if body is not None:
-            todo += [(s, depth + 1) for s in reversed(inner)]
+            todo += [(s, depth + 1) for s in reversed(inner) if s is not doc]
     out, after = [], 0
     for i in range(len(lines) - 1, -1, -1):
         if lines[i].strip():
@@ -179,7 +181,7 @@ def quantize(segments: DataFrame, quality: float, tool_quality: float | None = N
 def indent_band_expr(c: Column) -> Column:
     """indent_bands as an expression: an array of ranks by line."""
     lines = F.split(c, "\n")
-    width = F.transform(lines, lambda x: F.when(~tx.blank(x), F.length(x) - F.length(F.ltrim(x))))
+    width = F.transform(lines, lambda x: F.when(~tx.blank(x), F.length(x) - F.length(F.regexp_replace(x, r"^\s+", ""))))
     known = F.array_sort(F.array_distinct(F.filter(width, lambda w: w.isNotNull())))
     rank = F.transform(width, lambda w: F.when(w.isNotNull(), F.array_position(known, w).cast("int") - 1))
     filled = F.aggregate(

@@ -45,7 +45,7 @@ def path_survey(spark, sf_dir):
 
 
 @query(
-    rf"""WITH {SQL_BLOCK}, ln AS (SELECT conv_id, turn, block, i, l[i] AS line, length(l[i]) - length(ltrim(l[i])) AS w, regexp_matches(l[i], '[^\s\p{{Z}}\x1c-\x1f\x85]') AS live
+    rf"""WITH {SQL_BLOCK}, ln AS (SELECT conv_id, turn, block, i, l[i] AS line, length(l[i]) - length(regexp_replace(l[i], '^\s+', '')) AS w, regexp_matches(l[i], '[^\s\p{{Z}}\x1c-\x1f\x85]') AS live
         FROM (SELECT *, unnest(range(1, len(l) + 1)) AS i FROM (SELECT conv_id, turn, block, string_split(text, chr(10)) AS l FROM blk WHERE kind = 'code' AND text IS NOT NULL))),
     r AS (SELECT conv_id, turn, block, w, row_number() OVER (PARTITION BY conv_id, turn, block ORDER BY w) - 1 AS rank FROM (SELECT DISTINCT conv_id, turn, block, w FROM ln WHERE live)),
     b AS (SELECT ln.*, CASE WHEN live THEN rank END AS rank FROM ln LEFT JOIN r USING (conv_id, turn, block, w))
