@@ -70,12 +70,15 @@ def plan(histogram: dict[int, int], capacity: int) -> list[tuple[int, tuple[int,
                         room[capacity - k * length].append((n, (length,) * k))
                 left = 0
             else:
+                # as many of the length as fit go into one container, before the next one is taken
                 n, held = room[r].pop()
-                take = min(n, left)
+                each = r // length
+                take = min(n, left // each) or 1
+                k = min(each, left)
                 if n > take:
                     room[r].append((n - take, held))
-                room[r - length].append((take, (*held, length)))
-                left -= take
+                room[r - k * length].append((take, held + (length,) * k))
+                left -= take * k
     return [e for r in sorted(room) for e in room[r]]
 
 

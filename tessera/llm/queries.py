@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import chunking, conversations, leakage, neardup, packing, pairs, spans
+from tessera.llm import chunking, conversations, leakage, neardup, packing, pairs, pii, spans
 from tessera.runtime import table
 
 
@@ -20,6 +20,14 @@ def p1_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.similar_groups(table(spark, sf_dir, "segments"))
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(_items(spark, sf_dir), table(spark, sf_dir, "given_names")).drop("end_pos")
+
+
+def p2_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.mask(_items(spark, sf_dir), table(spark, sf_dir, "given_names"))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.oversized(_items(spark, sf_dir), table(spark, sf_dir, "size_limits"))
 
@@ -68,7 +76,7 @@ def p9_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.shared_report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p3_found, p3_pieces, p5_found, p5_defects, p6_found, p6_turns, p7_packed, p7_room, p8_found, p8_report, p9_found, p9_shared)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_masked, p3_found, p3_pieces, p5_found, p5_defects, p6_found, p6_turns, p7_packed, p7_room, p8_found, p8_report, p9_found, p9_shared)}
 
 SQL: dict[str, str] = {
     "p3_found": r"""
