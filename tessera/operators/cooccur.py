@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.runtime import ranked
+
 #: Words of the plain tokenizer: lower-case letters first, then letters, digits and underscores.
 PLAIN = r"[a-z][a-z0-9_]+"
 
@@ -24,7 +26,7 @@ def path_tokens(text: Column) -> Column:
 def vocabulary(docs: DataFrame, min_count: int = 2, by: str = "tokens") -> DataFrame:
     """(word, cnt, idx): words of min_count or more, idx from 0 by count descending, then word."""
     counts = docs.select(F.explode(by).alias("word")).groupBy("word").agg(F.count("*").alias("cnt")).where(F.col("cnt") >= min_count)
-    return counts.withColumn("idx", F.row_number().over(Window.orderBy(F.desc("cnt"), "word")) - 1)
+    return ranked(counts, F.desc("cnt"), "word")
 
 
 def kept_tokens(docs: DataFrame, vocab: DataFrame, id_col: str = "doc_id", by: str = "tokens") -> DataFrame:

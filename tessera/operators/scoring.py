@@ -41,11 +41,12 @@ def term_counts(segments: DataFrame, pattern: str = TFIDF_TOKEN) -> DataFrame:
 def tfidf(segments: DataFrame, pattern: str = TFIDF_TOKEN, mean: bool = True) -> DataFrame:
     """segments with score: the mean (or sum) of a segment's weights, with sublinear term and smoothed document frequency within its
     conversation and unit length; 0 for a segment without terms. Rounded to 9 places, so that equal scores tie on any partitioning."""
-    tf = term_counts(segments, pattern)
+    # one shuffle, by conversation and term, serves the counts within segments and the document frequencies alike
+    t = segments.select("conv_id", "seg_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(pattern), F.lit(0))).alias("term"))
+    tf = t.repartition("conv_id", "term").groupBy("conv_id", "seg_id", "term").agg(F.count("*").alias("tf"))
+    df = F.count("*").over(Window.partitionBy("conv_id", "term"))
     n = segments.groupBy("conv_id").agg(F.count("*").alias("n"))
-    df = tf.groupBy("conv_id", "term").agg(F.count("*").alias("df"))
-    idf = df.join(n, "conv_id").select("conv_id", "term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1.0).alias("idf"))
-    w = tf.join(idf, ["conv_id", "term"]).withColumn("w", (1 + F.log("tf")) * F.col("idf"))
+    w = tf.withColumn("df", df).join(n, "conv_id").withColumn("w", (1 + F.log("tf")) * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1.0))
     total = F.sum("w") / F.sqrt(F.sum(F.col("w") * F.col("w")))
     s = w.groupBy("conv_id", "seg_id").agg(F.round(total / F.count("*") if mean else total, 9).alias("score"))
     return segments.join(s, ["conv_id", "seg_id"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
@@ -124,12 +125,17 @@ def spectral_from_gram(n: int, total: np.ndarray, gram: np.ndarray, energy: floa
     return mean, vectors[:, : len(s)] * np.sqrt(weight)
 
 
+def _matrix(vectors: pa.Array) -> np.ndarray:
+    """Vectors of one length as rows, without Python numbers between."""
+    return vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(len(vectors), -1)
+
+
 def _gram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(g, vector) to partial (g, n, total, gram) of this task."""
     sums: dict = {}
     for b in batches:
         keys = b.column(0).to_pylist()
-        x = np.asarray(b.column(1).to_pylist(), np.float64)
+        x = _matrix(b.column(1))
         if not len(x):
             continue
         keys = [tuple(k.values()) if isinstance(k, dict) else k for k in keys]
@@ -190,18 +196,19 @@ def spectral(segments: DataFrame, energy: float = 0.95, drop_top: int = 0, ridge
         """Each group's solution comes first, its rows behind it."""
         n, mean, w = 0, None, None
         for b in batches:
-            gs, parts, ids, xs, ns, ws = (c.to_pylist() for c in b.columns)
+            gs, parts, ids, ns = (b.column(i).to_pylist() for i in (0, 1, 2, 4))
+            xs = _matrix(b.column(3))
             out_g, out_id, out, at = [], [], [], 0
             while at < len(gs):
                 if parts[at] == 0:
-                    n, mean = ns[at], np.asarray(xs[at])
-                    w = np.asarray(ws[at]).reshape(-1, len(mean))
+                    n, mean = ns[at], xs[at]
+                    w = np.asarray(b.column(5)[at].as_py()).reshape(-1, len(mean))
                     at += 1
                     continue
                 to = at
                 while to < len(gs) and parts[to] == 1:
                     to += 1
-                y = (np.asarray(xs[at:to], np.float64) - mean) @ w.T
+                y = (xs[at:to] - mean) @ w.T
                 out_g += gs[at:to]
                 out_id += ids[at:to]
                 out += [1.0] * (to - at) if n == 1 else (y * y).sum(1).tolist()

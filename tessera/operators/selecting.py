@@ -85,8 +85,9 @@ def novelty_select(segments: DataFrame, budgets: DataFrame, alpha: float = 0.5,
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("seg_id", ignore_index=True)
-        numbers: dict[int, int] = {}
-        words = [np.array([numbers.setdefault(int(w), len(numbers)) for w in ws], np.int64) if ws is not None else np.zeros(0, np.int64) for ws in pdf["words"]]
+        hashed = [np.asarray(ws if ws is not None else (), np.int64) for ws in pdf["words"]]
+        _, numbers = np.unique(np.concatenate(hashed), return_inverse=True)
+        words = np.split(numbers, np.cumsum([len(h) for h in hashed])[:-1])
         kept = pick_novel(pdf["score"].fillna(0).to_numpy(float), pdf["tokens"].to_numpy(np.int64), words, pdf["forced"].to_numpy(bool), int(pdf["budget"].iloc[0]), alpha, per_token)
         return pdf.loc[sorted(kept), ["conv_id", "seg_id"]]
 

@@ -69,7 +69,7 @@ def attribute_results(segments: DataFrame) -> DataFrame:
 def find_superseded(segments: DataFrame) -> DataFrame:
     """(conv_id, seg_id, reason, by_id): a write by the next write of its path, a read by the next use of its path and with it its results,
     and a text by its last copy, even where that is superseded itself. Blank and null texts have no copies."""
-    ops = file_op(segments).where("op is not null").select("conv_id", "seg_id", "path", "op")
+    ops = file_op(segments.where("kind = 'tool_use'")).where("op is not null").select("conv_id", "seg_id", "path", "op")
     w = Window.partitionBy("conv_id", "path").orderBy("seg_id")
     next_write = F.min(F.when(F.col("op") == "write", F.col("seg_id"))).over(w.rowsBetween(1, Window.unboundedFollowing))
     ops = ops.withColumn("by_id", F.when(F.col("op") == "write", next_write).otherwise(F.lead("seg_id").over(w))).where("by_id is not null")

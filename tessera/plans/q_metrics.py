@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tessera.operators import curves, metrics, scoring, supersede
 from tessera.operators import budget as bud
 from tessera.plans.common import SQL_SEG, SQL_SUPERSEDE, Registry, segs
-from tessera.runtime import table
+from tessera.runtime import cut, table
 
 query = Registry()
 QUERIES, SQL = query.queries, query.sql
@@ -56,7 +56,7 @@ def atom_recall_by_kind(spark, sf_dir):
 )
 def evaluate(spark, sf_dir):
     """All metrics of keeping prose and code, where a side table hands over the paths of tool calls."""
-    s = segs(spark, sf_dir)
+    s = cut(segs(spark, sf_dir))
     handed = metrics.mentions(s.where("kind = 'tool_use'")).where(F.contains("atom", F.lit("/")))
     return metrics.evaluate(s, s.where("kind in ('prose', 'code')"), handed)
 

@@ -71,8 +71,8 @@ def greedy_recency_protected(spark, sf_dir):
 @query(f"WITH {SQL_SUPERSEDE}, {_TFIDF.format(src='final')} {sql_greedy('SELECT conv_id, seg_id, score, tokens, false AS forced FROM scored', _BUDGET.format(keep=0.33))}")
 def compress_tfidf(spark, sf_dir):
     """The flagship: supersession, tf-idf scores, and a greedy fill of a third of the original tokens."""
-    s = segs(spark, sf_dir)
-    kept = scoring.tfidf(supersede.apply_supersession(s))
+    s = cut(segs(spark, sf_dir))
+    kept = scoring.tfidf(cut(supersede.apply_supersession(s)))
     return bud.greedy_fill(kept, bud.token_budget(s, 0.33))
 
 
@@ -95,7 +95,7 @@ def kind_budget_shares(spark, sf_dir):
 
 @query()
 def kind_budget_select(spark, sf_dir):
-    s = scoring.tfidf(segs(spark, sf_dir))
+    s = cut(scoring.tfidf(cut(segs(spark, sf_dir))))
     return bud.kind_budget_select(s, bud.token_budget(s, 0.33)).select("conv_id", "seg_id")
 
 
@@ -130,7 +130,7 @@ def split_chunks(spark, sf_dir):
 
 @query()
 def chunked_select(spark, sf_dir):
-    return bud.chunked_select(scoring.tfidf(segs(spark, sf_dir)), 0.33).select("conv_id", "seg_id")
+    return bud.chunked_select(cut(scoring.tfidf(cut(segs(spark, sf_dir)))), 0.33).select("conv_id", "seg_id")
 
 
 @query()
@@ -156,7 +156,7 @@ def kind_space_scores(spark, sf_dir):
 @query()
 def novelty_select(spark, sf_dir):
     """The default selector: supersession, leverage, novelty per token."""
-    s = segs(spark, sf_dir)
+    s = cut(segs(spark, sf_dir))
     scored = cut(scoring.spectral(cut(scoring.embed(supersede.apply_supersession(s)))).drop("vector"))
     return selecting.novelty_select(scored, bud.token_budget(s, 0.33), 0.5, per_token=True).select("conv_id", "seg_id")
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import cooccur, topics
 from tessera.plans.common import SQL_SEG, Registry, segs
-from tessera.runtime import table
+from tessera.runtime import cut, table
 
 query = Registry()
 QUERIES, SQL = query.queries, query.sql
@@ -34,7 +34,7 @@ def cooccurrence(spark, sf_dir):
 
 @query(f"WITH {_COOC}, {_PPMI.format(n='cooc')} SELECT a, count(*) AS n_cells, round(sum(v), 4) AS weight FROM cooc_p WHERE v > 1e-9 GROUP BY a")
 def ppmi(spark, sf_dir):
-    return cooccur.ppmi(cooccur.cooccurrence(_docs(spark, sf_dir))).where("v > 1e-9").groupBy("a").agg(F.count("*").alias("n_cells"), F.round(F.sum("v"), 4).alias("weight"))
+    return cooccur.ppmi(cut(cooccur.cooccurrence(_docs(spark, sf_dir)))).where("v > 1e-9").groupBy("a").agg(F.count("*").alias("n_cells"), F.round(F.sum("v"), 4).alias("weight"))
 
 
 _FRONT = _COOC.replace("text IS NOT NULL)", "text IS NOT NULL AND source = 'design_notes')").replace("tok AS", "ftok AS").replace("FROM tok", "FROM ftok").replace("half", "fhalf").replace("cooc AS", "fcooc AS")
@@ -47,7 +47,7 @@ _FRONT = _COOC.replace("text IS NOT NULL)", "text IS NOT NULL AND source = 'desi
 def differential_ppmi(spark, sf_dir):
     """What the design notes associate more than all documents do."""
     d = _docs(spark, sf_dir)
-    front, back = (cooccur.ppmi(cooccur.cooccurrence(x)) for x in (d.where("source = 'design_notes'"), d))
+    front, back = (cooccur.ppmi(cut(cooccur.cooccurrence(x))) for x in (d.where("source = 'design_notes'"), d))
     return cooccur.differential(front, back).where("v > 1e-9").groupBy("a").agg(F.count("*").alias("n_cells"), F.round(F.sum("v"), 4).alias("weight"))
 
 

@@ -49,6 +49,19 @@ def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
+def ranked(df: DataFrame, *order, name: str = "idx") -> DataFrame:
+    """df with its rank from 0 in a total order, by a range sort and the sizes of its partitions; no task sees all rows.
+
+    The sorted rows are written once; the sizes that reach the driver are one number for each partition.
+    """
+    held = cut(df.orderBy(*order)).withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
+    before, total = {}, 0
+    for r in sorted(held.groupBy("_part").count().collect(), key=lambda r: r["_part"]):
+        before[r["_part"]], total = total, total + r["count"]
+    offsets = F.create_map(*[F.lit(x) for kv in (before or {0: 0}).items() for x in kv])
+    return held.withColumn(name, F.col("_at") + F.try_element_at(offsets, F.col("_part")).cast("long")).drop("_part", "_at")
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the Python workers, once for each Spark context."""
     sc = spark.sparkContext

@@ -137,9 +137,9 @@ def from_files(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     raise ValueError("neither .jsonl nor .json: " + path)
 
 
-def spread(rows: DataFrame, order: str, n: int, group: str | None = None) -> DataFrame:
-    """About n rows at even places of an order, first and last among them; fewer rows are all taken."""
-    w = Window.partitionBy(*([group] if group else []))
+def spread(rows: DataFrame, order: str, n: int, group: str) -> DataFrame:
+    """Of each group about n rows at even places of an order, first and last among them; fewer rows are all taken."""
+    w = Window.partitionBy(group)
     r = rows.withColumn("_r", F.row_number().over(w.orderBy(order)) - 1).withColumn("_n", F.count("*").over(w))
     # row r is chosen where it is the rounding of some i * (n - 1) / (k - 1)
     k = F.least(F.lit(n), F.col("_n"))
