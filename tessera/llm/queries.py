@@ -87,10 +87,44 @@ SQL: dict[str, str] = {
             FROM (SELECT turn_uid, blocks, unnest(range(1, len(blocks) + 1)) AS i FROM turns))
         SELECT src, item_uid, block FROM items JOIN size_limits USING (kind)
         WHERE length(trim(text, ' ' || chr(9) || chr(13) || chr(10))) > max_chars""",
+    "p1_found": r"""
+        WITH w AS (SELECT seg_uid, tool_name, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM segments),
+        g AS (SELECT seg_uid, tool_name, unnest(list_distinct(list_transform(range(1, len(w) - 1), lambda k: hash(w[k], w[k + 1], w[k + 2])))) AS g FROM w WHERE len(w) >= 25),
+        n AS (SELECT seg_uid, count(*) AS n FROM g GROUP BY ALL),
+        p AS (SELECT x.seg_uid AS a, y.seg_uid AS b, count(*) AS c FROM g x JOIN g y ON x.g = y.g AND x.seg_uid < y.seg_uid AND x.tool_name IS NOT DISTINCT FROM y.tool_name GROUP BY ALL)
+        SELECT a AS seg_uid_a, b AS seg_uid_b FROM p JOIN n x ON x.seg_uid = a JOIN n y ON y.seg_uid = b WHERE c >= 0.7 * (x.n + y.n - c) - 1e-9""",
+    "p6_found": r"""
+        WITH RECURSIVE one AS (
+            SELECT session_id, uuid, parent_uuid, coalesce(is_sidechain, false) AS side, rec_type IN ('user', 'assistant') AND NOT coalesce(is_meta, false) AS kind, payload, logged_at, row_id
+            FROM chat_rows WHERE uuid IS NOT NULL QUALIFY row_number() OVER (PARTITION BY session_id, uuid ORDER BY row_id) = 1),
+        ends AS (
+            SELECT session_id, uuid FROM one x WHERE NOT side AND NOT EXISTS (SELECT 1 FROM one y WHERE y.session_id = x.session_id AND y.parent_uuid = x.uuid AND NOT y.side)
+            QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY logged_at DESC, row_id DESC) = 1),
+        line AS (
+            SELECT session_id, uuid, 0 AS back FROM ends
+            UNION ALL SELECT l.session_id, o.parent_uuid, back + 1 FROM line l JOIN one o ON o.session_id = l.session_id AND o.uuid = l.uuid WHERE o.parent_uuid IS NOT NULL AND back < 3000),
+        sound AS (SELECT l.session_id FROM line l LEFT JOIN one o ON o.session_id = l.session_id AND o.uuid = l.uuid GROUP BY 1 HAVING count(*) = count(o.uuid) AND count(*) = count(DISTINCT l.uuid)),
+        two AS (
+            SELECT session_id, ordinal, payload, rec_type = 'response_item' AS kind, row_id FROM chat_rows x
+            WHERE session_id NOT IN (SELECT session_id FROM one) QUALIFY row_number() OVER (PARTITION BY session_id, ordinal, payload ORDER BY row_id) = 1),
+        whole AS (SELECT session_id FROM two GROUP BY 1 HAVING count(*) = count(DISTINCT ordinal) AND count(*) = count(ordinal) AND min(ordinal) = 0 AND max(ordinal) = count(*) - 1),
+        m AS (
+            SELECT session_id, -back AS pos, row_id, payload FROM line JOIN one USING (session_id, uuid) WHERE kind AND session_id IN (SELECT session_id FROM sound)
+            UNION ALL SELECT session_id, ordinal, row_id, payload FROM two WHERE kind AND session_id IN (SELECT session_id FROM whole)),
+        t AS (
+            SELECT session_id, row_id, json_extract_string(payload, '$.role') AS role, pos FROM m WHERE regexp_matches(CASE json_type(payload, '$.content') WHEN 'VARCHAR' THEN json_extract_string(payload, '$.content')
+                ELSE coalesce(array_to_string(json_extract_string(payload, '$.content[*].text'), ' '), '') || coalesce(array_to_string(json_extract_string(payload, '$.content[*].content'), ' '), '') END, '[^\s\p{Z}\p{C}]')),
+        bad AS (
+            SELECT session_id FROM (SELECT session_id, role, lead(role) OVER (PARTITION BY session_id ORDER BY pos) AS next FROM t WHERE role IN ('user', 'assistant')) WHERE role = 'user' AND next IS DISTINCT FROM 'assistant')
+        SELECT session_id, CAST(row_number() OVER (PARTITION BY session_id ORDER BY pos) - 1 AS INTEGER) AS turn_index, row_id FROM t WHERE session_id NOT IN (SELECT session_id FROM bad)""",
     "p8_found": r"""
         WITH i AS (SELECT item_id, regexp_extract_all(lower(passage), '[\p{L}\p{N}]+') AS w FROM eval_items),
         d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents),
         iw AS (SELECT item_id, array_to_string(w[k:k + 12], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 11)) AS k FROM i)),
         dw AS (SELECT doc_id, array_to_string(w[k:k + 12], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS k FROM d))
         SELECT DISTINCT doc_id, item_id FROM dw JOIN iw USING (g)""",
+    "p9_found": r"""
+        WITH d AS (SELECT doc_id, text, unnest(range(1, length(text) - 298)) AS i FROM documents WHERE length(text) >= 300),
+        h AS (SELECT DISTINCT doc_id, md5(substr(text, i, 300)) AS h FROM d)
+        SELECT DISTINCT x.doc_id AS doc_id_a, y.doc_id AS doc_id_b FROM h x JOIN h y ON x.h = y.h AND x.doc_id < y.doc_id""",
 }
