@@ -35,7 +35,7 @@ def supersede_apply(spark, sf_dir):
 
 @query(
     f"""WITH {SQL_SUPERSEDE} SELECT coalesce(reason, 'ALL') AS reason, count(*) AS n_segments, sum(tokens) AS tokens, round(sum(tokens) / (SELECT sum(tokens) FROM seg), 6) AS part
-    FROM gone JOIN seg USING (conv_id, seg_id) GROUP BY ROLLUP (reason)"""
+    FROM gone JOIN seg USING (conv_id, seg_id) GROUP BY ROLLUP (reason) HAVING count(*) > 0"""
 )
 def supersede_by_reason(spark, sf_dir):
     return supersede.by_reason(segs(spark, sf_dir))
