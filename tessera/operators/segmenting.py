@@ -18,8 +18,13 @@ MAX_RESULT = 600
 
 def transcripts(turns: DataFrame) -> DataFrame:
     """(conv_id, turn, role, blocks): of turns delivered more than once the one with the least turn_uid. Null keys are left out."""
-    t = turns.where("conv_id is not null and turn is not null")
-    return t.groupBy("conv_id", "turn").agg(F.min_by(F.struct("role", "blocks"), "turn_uid").alias("t")).select("conv_id", "turn", "t.role", "t.blocks")
+    return _first(turns, "conv_id", "turn", by="turn_uid").select("conv_id", "turn", "role", "blocks")
+
+
+def _first(rows: DataFrame, *keys: str, by: str) -> DataFrame:
+    """The row of the least ``by`` for each key; a window, so that only columns in use are read and shuffled."""
+    held = rows.where(" and ".join(f"{k} is not null" for k in keys))
+    return held.withColumn("_nth", F.row_number().over(Window.partitionBy(*keys).orderBy(by))).where("_nth = 1").drop("_nth")
 
 
 def blocks(turns: DataFrame) -> DataFrame:
@@ -29,9 +34,7 @@ def blocks(turns: DataFrame) -> DataFrame:
 
 def delivered_once(segments: DataFrame) -> DataFrame:
     """Segments by (conv_id, seg_id), of several deliveries the one with the least seg_uid."""
-    cols = [c for c in segments.columns if c not in ("conv_id", "seg_id")]
-    s = segments.where("conv_id is not null and seg_id is not null")
-    return s.groupBy("conv_id", "seg_id").agg(F.min_by(F.struct(*cols), "seg_uid").alias("s")).select("conv_id", "seg_id", "s.*")
+    return _first(segments, "conv_id", "seg_id", by="seg_uid")
 
 
 def _wrap(piece: str, most: int) -> Iterator[str]:

@@ -76,18 +76,20 @@ def pick_novel(scores: np.ndarray, costs: np.ndarray, words: list[np.ndarray], f
 
 
 def novelty_select(segments: DataFrame, budgets: DataFrame, alpha: float = 0.5, protect: str = "none", per_token: bool = False) -> DataFrame:
-    """segments (with score) that a novelty-discounted fill keeps; alpha 0 is the plain greedy fill. Null scores count 0."""
+    """segments (with score) that a novelty-discounted fill keeps; alpha 0 is the plain greedy fill. Null scores count 0.
+
+    Words in more than half of the segments side by side are boilerplate and do not count."""
     from tessera.operators.budget import forced as must
 
-    sets = word_sets(segments).groupBy("conv_id", "seg_id").agg(F.collect_list(F.xxhash64("word")).alias("words"))
-    s = _runs(segments.withColumn("forced", must(protect)), budgets).join(sets, ["conv_id", "seg_id"], "left")
+    hashed = F.coalesce(F.transform(plain_words(F.col("text")), lambda w: F.xxhash64(w)), F.array().cast("array<bigint>"))
+    s = _runs(segments.withColumn("forced", must(protect)), budgets).withColumn("words", hashed)
     types = dict(segments.dtypes)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("seg_id", ignore_index=True)
-        hashed = [np.asarray(ws if ws is not None else (), np.int64) for ws in pdf["words"]]
-        _, numbers = np.unique(np.concatenate(hashed), return_inverse=True)
-        words = np.split(numbers, np.cumsum([len(h) for h in hashed])[:-1])
+        lens = pdf["words"].map(len).to_numpy()
+        _, numbers, df = np.unique(np.concatenate([np.asarray(w, np.int64) for w in pdf["words"]]), return_inverse=True, return_counts=True)
+        words = [w[df[w] <= len(pdf) / 2] for w in np.split(numbers, np.cumsum(lens)[:-1])]
         kept = pick_novel(pdf["score"].fillna(0).to_numpy(float), pdf["tokens"].to_numpy(np.int64), words, pdf["forced"].to_numpy(bool), int(pdf["budget"].iloc[0]), alpha, per_token)
         return pdf.loc[sorted(kept), ["conv_id", "seg_id"]]
 

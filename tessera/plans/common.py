@@ -32,8 +32,8 @@ class Registry:
 
 
 def segs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The segments, each delivery once, with the fallback tokenizer's counts."""
-    return delivered_once(table(spark, sf_dir, "segments")).withColumn("tokens", token_count(F.col("text")))
+    """The segments, each delivery once, with the fallback tokenizer's counts; texts are counted before they are shuffled."""
+    return delivered_once(table(spark, sf_dir, "segments").withColumn("tokens", token_count(F.col("text"))))
 
 
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
