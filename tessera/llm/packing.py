@@ -12,7 +12,7 @@ from collections import defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.runtime import cut
@@ -113,13 +113,11 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
     pieces = cut(pieces_of(token_counts(docs, id_col, text_col, tokenizer), capacity))
     counts = pieces.groupBy("n_tokens").count().collect()  # at most capacity rows
     slots = _slots(spark, plan({r.n_tokens: r["count"] for r in counts}, capacity))
-    from pyspark.sql import Window
-
     parts = pieces.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALT)))
     sizes = parts.groupBy("n_tokens", "salt").agg(F.count("*").alias("c"))
     before = sizes.withColumn("before", F.sum("c").over(Window.partitionBy("n_tokens").orderBy("salt")) - F.col("c")).drop("c")
     ranked = parts.withColumn("r", F.row_number().over(Window.partitionBy("n_tokens", "salt").orderBy("id", "piece")) - 1)
-    ranked = ranked.join(F.broadcast(before), ["n_tokens", "salt"]).withColumn("rank", F.col("r") + F.col("before"))  # capacity * SALT rows at most
+    ranked = ranked.join(before, ["n_tokens", "salt"]).withColumn("rank", F.col("r") + F.col("before"))  # partitioned by these keys already
     placed = ranked.join(F.broadcast(slots), "n_tokens").where("rank between first_rank and last_rank")  # as the plan: bounded by capacity
     return placed.select(F.col("id").alias(id_col), "piece", "first_token", "n_tokens", (F.col("container") + F.col("rank") - F.col("first_rank")).alias("container_id"), "place", F.col("at").alias("offset"))
 
