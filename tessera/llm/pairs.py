@@ -55,10 +55,6 @@ _PREFIX = r"^(?:q|question|you asked|the question (?:is|was)|your question(?: is
 _TAIL = r"""[)\]}"'`*_»“”’\s​]*$"""
 
 
-def _literal(s: str) -> str:
-    return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
-
-
 def _words_only(c: Column) -> Column:
     """Lower case, everything but letters and digits as one space."""
     return F.trim(F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]+", " "))
@@ -71,9 +67,13 @@ def _prose(c: Column) -> Column:
     return F.lower(c)
 
 
-def _hits(prose: Column, lang: str) -> Column:
-    # ASCII word characters only with \b in Java unless (?U)
-    return F.size(F.regexp_extract_all(prose, F.lit(r"(?U)\b(?:" + "|".join(FUNCTION_WORDS[lang]) + r")\b"), F.lit(0)))
+def _tokens(prose: Column) -> Column:
+    return F.regexp_extract_all(prose, F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+
+
+def _hits(tokens: Column, lang: str) -> Column:
+    """How many of the words are function words of the language."""
+    return F.size(F.filter(tokens, lambda w: w.isin(*FUNCTION_WORDS[lang])))
 
 
 def _script(c: Column) -> Column:
@@ -94,65 +94,83 @@ def with_defects(pairs: DataFrame, q: str = "q", a: str = "a", out: str = "defec
     An empty answer has no other defect. A null question is no question: nothing is copied from it or in its language. Equal rows have
     equal results; other columns pass through, and a column named out is replaced.
     """
-    qc, ac = F.coalesce(F.col(q).cast("string"), F.lit("")), F.coalesce(F.col(a).cast("string"), F.lit(""))
-    visible = F.regexp_replace(ac, r"[\s\p{Z}\p{C}]+", " ")
-    bare = F.trim(F.lower(F.regexp_replace(F.trim(visible), r"</?\w+ ?/?>", "")))
-    bare = F.trim(F.regexp_replace(bare, r"^[\s\[\](){}<>\"'`*_.…:;,–—-]+|[\s\[\](){}<>\"'`*_.…:;,–—-]+$", ""))
-    empty = (bare == "") | bare.isin(*STAND_INS)
-
-    low = F.lower(F.regexp_replace(F.regexp_replace(ac, "[’‘]", "'"), r"\"[^\"]*\"|“[^”]*”|«[^»]*»", " quoted "))
-    refusal = F.lit(" ").isNull()
-    starts = r"(?:^|[.!?:] )[\s¡¿*_>-]*"
-    flat = F.trim(F.regexp_replace(low, r"\s+", " "))
-    refusal = flat.rlike("(?U)" + starts + "(?:" + "|".join(REFUSALS) + ")")
-
-    qw, aw = _words_only(qc), _words_only(F.regexp_replace(F.lower(F.trim(F.regexp_replace(ac, r"[\s\p{Z}]+", " "))), _PREFIX, ""))
-    twice = F.trim(F.replace(F.concat(aw, F.lit(" ")), F.concat(qw, F.lit(" ")), F.lit("")))
-    part = (F.size(F.split(aw, " ")) >= 5) & F.startswith(F.concat(qw, F.lit(" ")), F.concat(aw, F.lit(" ")))
-    copied = (qw != "") & (aw != "") & ((twice == "") | part)
-
-    # what an answer says behind a repeated question
-    rest = F.trim(F.regexp_replace(ac, r"^[\s\p{Z}\p{C}]+|[\s\p{Z}\p{C}]+$", ""))
-    stem = F.regexp_replace(qc, r"^[¿\s]+|[\s?.!]+$", "")
-    rest = F.when((stem != "") & F.startswith(rest, F.concat(stem, F.lit(":"))), F.trim(F.substring(rest, F.length(stem) + 2, F.length(rest)))).otherwise(rest)
-
-    qp, ap = _prose(qc), _prose(rest)
+    mine = "_d_"
+    while any(x.lower().startswith(mine) for x in pairs.columns):
+        mine += "_"
+    c = lambda n: F.col(f"{mine}{n}")
+    staged = pairs
+
+    def stage(**columns: Column) -> None:
+        """Columns of a step, each worked out once for a row."""
+        nonlocal staged
+        staged = staged.withColumns({f"{mine}{n}": x for n, x in columns.items()})
+
+    stage(q=F.coalesce(F.col(q).cast("string"), F.lit("")), a=F.coalesce(F.col(a).cast("string"), F.lit("")))
+    quoteless = F.regexp_replace(F.regexp_replace(c("a"), "[’‘]", "'"), r"\"[^\"]*\"|“[^”]*”|«[^»]*»", " quoted ")
+    stem = F.regexp_replace(c("q"), r"^[¿\s]+|[\s?.!]+$", "")
+    stage(
+        visible=F.trim(F.regexp_replace(c("a"), r"[\s\p{Z}\p{C}]+", " ")),
+        flat=F.trim(F.regexp_replace(F.lower(quoteless), r"\s+", " ")),
+        rest=F.regexp_replace(c("a"), r"^[\s\p{Z}\p{C}]+|[\s\p{Z}\p{C}]+$", ""),
+        stem=stem,
+        qw=_words_only(c("q")),
+    )
+    mark = r"[\s\[\](){}<>\"'`*_.…:;,–—-]+"
+    behind = F.trim(F.substring(c("rest"), F.length(c("stem")) + 2, F.length(c("rest"))))
+    stage(
+        bare=F.trim(F.regexp_replace(F.trim(F.lower(F.regexp_replace(c("visible"), r"</?\w+ ?/?>", ""))), f"^{mark}|{mark}$", "")),
+        aw=_words_only(F.regexp_replace(F.lower(c("visible")), _PREFIX, "")),
+        # what an answer says behind a repeated question
+        rest=F.when((c("stem") != "") & F.startswith(c("rest"), F.concat(c("stem"), F.lit(":"))), behind).otherwise(c("rest")),
+    )
+    stage(qp=_tokens(_prose(c("q"))), ap=_tokens(_prose(c("rest"))), open=F.regexp_replace(c("rest"), r"```[\s\S]*?```", ""))
     langs = sorted(FUNCTION_WORDS)
-    q_best = F.greatest(*[F.struct(_hits(qp, x).alias("n"), F.lit(x).alias("lang")) for x in langs])
-    own = lambda best: F.expr("0") + sum((F.when(best["lang"] == x, _hits(ap, x)).otherwise(0) for x in langs), F.lit(0))
-    a_best = F.greatest(*[F.struct(_hits(ap, x).alias("n"), F.lit(x).alias("lang")) for x in langs])
-    other = (q_best["n"] > 0) & (a_best["lang"] != q_best["lang"]) & (a_best["n"] >= 2) & (a_best["n"] > own(q_best))
-    other = other | (F.abs(_script(qc) - _script(ac)) > 0.5)
-
-    count = lambda c, s: F.length(c) - F.length(F.replace(c, F.lit(s), F.lit("")))
-    fences = F.size(F.split(rest, "```")) - 1
-    nofence = F.regexp_replace(rest, r"```[\s\S]*?```", "")
+    stage(**{f"{side}_{x}": _hits(c(f"{side}p"), x) for side in "qa" for x in langs})
+    best = lambda side: F.greatest(*[F.struct(c(f"{side}_{x}").alias("n"), F.lit(x).alias("lang")) for x in langs])
+    stage(q_best=best("q"), a_best=best("a"), twice=F.trim(F.replace(F.concat(c("aw"), F.lit(" ")), F.concat(c("qw"), F.lit(" ")), F.lit(""))))
+
+    empty = (c("bare") == "") | c("bare").isin(*STAND_INS)
+    refusal = c("flat").rlike(r"(?U)(?:^|[.!?:] )[\s¡¿*_>-]*(?:" + "|".join(REFUSALS) + ")")
+    part = (F.size(F.split(c("aw"), " ")) >= 5) & F.startswith(F.concat(c("qw"), F.lit(" ")), F.concat(c("aw"), F.lit(" ")))
+    copied = (c("qw") != "") & (c("aw") != "") & ((c("twice") == "") | part)
+    own = sum((F.when(c("q_best")["lang"] == x, c(f"a_{x}")).otherwise(0) for x in langs), F.lit(0))
+    other = (c("q_best")["n"] > 0) & (c("a_best")["lang"] != c("q_best")["lang"]) & (c("a_best")["n"] >= 2) & (c("a_best")["n"] > own)
+    other = other | (F.abs(_script(c("q")) - _script(c("a"))) > 0.5)
+
+    count = lambda x: F.length(c("open")) - F.length(F.replace(c("open"), F.lit(x), F.lit("")))
     unclosed = (
-        (fences % 2 == 1)
-        | (count(nofence, "`") % 2 == 1)
-        | (count(nofence, "(") > count(nofence, ")"))
-        | (count(nofence, "[") > count(nofence, "]"))
-        | (count(nofence, "{") > count(nofence, "}"))
-        | (count(nofence, '"') % 2 == 1)
-        | (count(nofence, "“") + count(nofence, "«") > count(nofence, "”") + count(nofence, "»"))
-        | (F.regexp_count(nofence, F.lit(r"<(?![/!?])\w[^<>]*(?<!/)>")) > F.regexp_count(nofence, F.lit(r"</\w+>")))
-        | nofence.rlike(r"<\/?\w*$")
+        ((F.size(F.split(c("rest"), "```")) - 1) % 2 == 1)
+        | (count("`") % 2 == 1)
+        | (count("(") > count(")"))
+        | (count("[") > count("]"))
+        | (count("{") > count("}"))
+        | (count('"') % 2 == 1)
+        | (count("“") + count("«") > count("”") + count("»"))
+        | (F.regexp_count(c("open"), F.lit(r"<(?![/!?])\w[^<>]*(?<!/)>")) > F.regexp_count(c("open"), F.lit(r"</\w+>")))
+        | c("open").rlike(r"<\/?\w*$")
     )
-    value = rest.rlike(r"(?U)^[`\"'*]*(?:[^\s,;:]+|[-+]?[\d.,:%]+ ?\p{L}*|[\d.,]+ \p{L}+)[`\"'*]*$")
-    code = rest.rlike(r"```\s*$") | rest.rlike(r"(?s)^\{.*\}$|^\[.*\]$|^<(\w+).*>$")
-    ended = F.regexp_replace(rest, _TAIL, "").rlike(r"[.!?…。！？]$") | rest.rlike(r"[.!?…。！？]" + _TAIL)
-    truncated = (rest != "") & (unclosed | ~(ended | value | code))
+    value = c("rest").rlike(r"(?U)^[`\"'*]*(?:[^\s,;:]+|[-+]?[\d.,:%]+ ?\p{L}*|[\d.,]+ \p{L}+)[`\"'*]*$")
+    code = c("rest").rlike(r"```\s*$") | c("rest").rlike(r"(?s)^\{.*\}$|^\[.*\]$|^<(\w+).*>$")
+    ended = F.regexp_replace(c("rest"), _TAIL, "").rlike(r"[.!?…。！？]$") | c("rest").rlike(r"[.!?…。！？]" + _TAIL)
+    truncated = (c("rest") != "") & (unclosed | ~(ended | value | code))
 
-    found = F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in (("refusal", refusal), ("copied_question", copied), ("other_language", other), ("truncated", truncated & ~copied))]))
-    return pairs.withColumn(out, F.when(empty, F.array(F.lit("empty"))).otherwise(found))
+    stage(empty=empty, refusal=refusal, copied=copied, other=other, truncated=truncated)
+    rules = (("refusal", c("refusal")), ("copied_question", c("copied")), ("other_language", c("other")), ("truncated", c("truncated") & ~c("copied")))
+    found = F.array_compact(F.array(*[F.when(x, F.lit(n)) for n, x in rules]))
+    staged = staged.withColumn(out, F.when(c("empty"), F.array(F.lit("empty"))).otherwise(found))
+    return staged.drop(*[x for x in staged.columns if x.startswith(mine)])
 
 
 def defective(pairs: DataFrame, id_col: str = "probe_id") -> DataFrame:
     """(id, defect): each defective pair with the first defect by the order of DEFECTS."""
-    d = with_defects(pairs, out="_defects")
-    return d.where(F.size("_defects") > 0).select(id_col, F.element_at("_defects", 1).alias("defect"))
+    return _exploded(with_defects(pairs, out="_defects"), id_col, F.slice("_defects", 1, 1))
 
 
 def all_defects(pairs: DataFrame, id_col: str = "probe_id") -> DataFrame:
     """(id, defect): every defect of every pair."""
-    return with_defects(pairs, out="_defects").select(id_col, F.explode("_defects").alias("defect"))
+    return _exploded(with_defects(pairs, out="_defects"), id_col, F.col("_defects"))
+
+
+def _exploded(d: DataFrame, id_col: str, defects: Column) -> DataFrame:
+    """A filter on the defects themselves would be pushed below the steps and work all of them out again for each use."""
+    return d.select(id_col, F.explode_outer(defects).alias("defect")).where("defect is not null")

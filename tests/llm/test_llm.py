@@ -214,7 +214,7 @@ def test_oversized_frame(spark):
     ],
 )
 def test_defects(spark, q, a, want):
-    df = spark.createDataFrame([(1, q, a, "own")], "probe_id bigint, q string, a string, defects string")
+    df = spark.createDataFrame([(1, q, a, "own", 3)], "probe_id bigint, q string, a string, defects string, _d_q int")
     assert pairs.with_defects(df).first().defects == want
 
 
