@@ -13,11 +13,12 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.runtime import cut
+
 
 @dataclass(frozen=True)
 class Field:
@@ -74,6 +75,8 @@ _ID = re.compile(r"([A-Za-z]+)[_-](?=\w*\d)\w+\Z")
 def _kind(v) -> str:
     """What kind of value it is, finer than its JSON type."""
     if isinstance(v, str):
+        if " " in v and v[0] not in " \t\r\n{[0123456789":
+            return "text"  # no other kind begins so and holds a space
         for name, pattern in _KINDS:
             if pattern.match(v):
                 return name
@@ -142,7 +145,11 @@ _PARSED = "line_id long, file_id long, line_no int, rec_type string, leaves map<
 
 def _shape(r: dict) -> list[tuple[str, str, str, str | None]]:
     """The distinct (path, JSON type, kind of value, value at NAMED_VALUES) of a record."""
-    return list({(p, _TYPES[type(v)], _kind(v), v if p == NAMED_VALUES and isinstance(v, str) else None) for p, v in _walk(r)})
+    found = {}
+    for p, v in _walk(r):
+        key = (p, _TYPES[type(v)], _kind(v), v if p == NAMED_VALUES and isinstance(v, str) else None)
+        found[key] = None
+    return list(found)
 
 
 def parse_lines(lines: DataFrame) -> DataFrame:
@@ -244,55 +251,74 @@ def _likeness(a: str, b: str) -> float:
 _REPORT = "file_id long, rec_type string, field_path string, change string, new_path string"
 
 
-def _report(pdf: pd.DataFrame) -> pd.DataFrame:
-    """The changes of one record type of one file: those below a changed path are left out, renames are paired, best likeness first."""
-    file_id, rec = pdf["file_id"].iloc[0], pdf["rec_type"].iloc[0]
-    old = {r.path: (r.old_type, r.old_kind) for r in pdf.itertuples() if isinstance(r.old_type, str)}
-    new = {r.path: (r.new_type, r.new_kind) for r in pdf.itertuples() if isinstance(r.new_type, str)}
+def _dominant(paths: list[dict]) -> tuple[dict[str, tuple[str, str]], set[str]]:
+    """The type and kind that most of each path's values have (ties: the first by name), and the values at NAMED_VALUES."""
+    counts: dict[str, dict[tuple[str, str], int]] = {}
+    for p in paths:
+        by = counts.setdefault(p["path"], {})
+        key = (p["type"], p["kind"])
+        by[key] = by.get(key, 0) + p["n"]
+    out = {}
+    for path, by in counts.items():
+        types: dict[str, int] = {}
+        for (t, _), n in by.items():
+            types[t] = types.get(t, 0) + n
+        best = min(types, key=lambda t: (-types[t], t))
+        out[path] = (best, min((k for k in by if k[0] == best), key=lambda k: (-by[k], k))[1])
+    return out, {p["value"] for p in paths if p["value"] is not None}
+
+
+def report(before: list[dict], after: list[dict]) -> list[tuple[str, str, str]]:
+    """(field_path, change, new_path) between two shapes of a record type: what is below a changed path is left out, and renames are
+    paired, best likeness of names first."""
+    (old, old_values), (new, new_values) = _dominant(before), _dominant(after)
     gone, come = sorted(set(old) - set(new)), sorted(set(new) - set(old))
     typed = sorted(p for p in set(old) & set(new) if old[p][0] != new[p][0])
     changed = {*gone, *come, *typed}
 
     def above(p: str) -> bool:
-        return any(p.startswith((c + ".", c + "[")) for c in changed if c != p)
+        return any(p[:i] in changed for i, c in enumerate(p) if c in ".[" and i)
 
     gone, come = [p for p in gone if not above(p)], [p for p in come if not above(p)]
-    pairs = sorted((-_likeness(a.rpartition(".")[2], b.rpartition(".")[2]), a, b) for a in gone for b in come if _parent(a) == _parent(b) and old[a] == new[b])
+    places: dict[tuple, list[str]] = {}
+    for p in come:
+        places.setdefault((_parent(p), *new[p]), []).append(p)
+    pairs = sorted((-_likeness(a.rpartition(".")[2], b.rpartition(".")[2]), a, b) for a in gone for b in places.get((_parent(a), *old[a]), ()))
     renamed: dict[str, str] = {}
+    taken: set[str] = set()
     for _, a, b in pairs:
-        if a not in renamed and b not in renamed.values():
+        if a not in renamed and b not in taken:
             renamed[a] = b
+            taken.add(b)
     rows = [(p, "renamed", renamed[p]) if p in renamed else (p, "removed", "") for p in gone]
-    rows += [(p, "added", "") for p in come if p not in renamed.values()] + [(p, "type_changed", "") for p in typed if not above(p)]
-    if pdf["values_changed"].any() and NAMED_VALUES in old and NAMED_VALUES in new and not above(NAMED_VALUES) and NAMED_VALUES not in typed:
+    rows += [(p, "added", "") for p in come if p not in taken] + [(p, "type_changed", "") for p in typed if not above(p)]
+    if old_values and not old_values & new_values and NAMED_VALUES in old and NAMED_VALUES in new and NAMED_VALUES not in typed and not above(NAMED_VALUES):
         rows.append((NAMED_VALUES, "value_renamed", ""))
-    return pd.DataFrame([(file_id, rec, *r) for r in rows], columns=["file_id", "rec_type", "field_path", "change", "new_path"])
+    return rows
+
+
+def _reports(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(file_id, rec_type, before, after) to the rows of the report."""
+    for b in batches:
+        rows = [(f, r, *x) for f, r, old, new in zip(*(c.to_pylist() for c in b.columns), strict=True) for x in report(old, new)]
+        kinds = (pa.int64(), pa.string(), pa.string(), pa.string(), pa.string())
+        yield pa.record_batch([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=["file_id", "rec_type", "field_path", "change", "new_path"])
 
 
 def changes(files: DataFrame, table: DataFrame) -> DataFrame:
-    """Every change between a file and the one before it in its project, from the ingested table: file_id, rec_type, field_path, change, new_path.
+    """Every change between a file and the one before it in its project, from the ingested table: file_id, rec_type, field_path, change,
+    new_path.
 
     Files are in the order of (started_at, file_id), null starts first; files without a project or lines are compared with none.
     A record type counts where both files have it. Lines that are no JSON object, null lines and null ids are passed over; repeated
     lines change nothing. A path has the type and kind that most of its values have (ties: the first by name). Empty tables give no rows.
+
+    A file's shape is one row for each record type, as long as its schema, so files of any number of lines are compared by one join.
     """
     order = Window.partitionBy("project").orderBy(F.col("started_at").asc_nulls_first(), "file_id")
     known = files.select(F.col("file_id").cast("long"), "project", "started_at").where("file_id is not null and project is not null").dropDuplicates(["file_id"])
-    steps = known.withColumn("next_id", F.lead("file_id").over(order)).select("file_id", "next_id")
-    p = profile(table)
-    by_type = p.groupBy("file_id", "rec_type", "path", "type").agg(F.sum("n").alias("n"), F.max(F.struct("n", "kind"))["kind"].alias("kind"))
-    paths = by_type.groupBy("file_id", "rec_type", "path").agg(F.max(F.struct("n", "type", "kind")).alias("m")).select("file_id", "rec_type", "path", F.col("m.type"), F.col("m.kind"))
-    old = paths.join(steps.where("next_id is not null"), "file_id").select(F.col("next_id").alias("file_id"), "rec_type", "path", F.col("type").alias("old_type"), F.col("kind").alias("old_kind"))
-    second = steps.where("next_id is not null").select(F.col("next_id").alias("file_id"))
-    new = paths.join(second, "file_id", "left_semi").select("file_id", "rec_type", "path", F.col("type").alias("new_type"), F.col("kind").alias("new_kind"))
-
-    values = p.where("value is not null").select("file_id", "rec_type", "value")
-    old_values = values.join(steps.where("next_id is not null"), "file_id").select(F.col("next_id").alias("file_id"), "rec_type", "value", F.lit(1).alias("old"))
-    kept = old_values.join(values.withColumn("now", F.lit(1)), ["file_id", "rec_type", "value"], "left").groupBy("file_id", "rec_type").agg(F.max("now").alias("kept"))
-    renamed = kept.where("kept is null").select("file_id", "rec_type", F.lit(NAMED_VALUES).alias("path"), F.lit(True).alias("values_changed"))
-
-    both = old.join(new, ["file_id", "rec_type", "path"], "full").join(renamed, ["file_id", "rec_type", "path"], "left")
-    both = both.withColumn("values_changed", F.coalesce("values_changed", F.lit(False)))
-    same_types = old.select("file_id", "rec_type").distinct().join(new.select("file_id", "rec_type").distinct(), ["file_id", "rec_type"])
-    differing = both.where("old_type is null or new_type is null or old_type <> new_type or values_changed")
-    return differing.join(same_types, ["file_id", "rec_type"], "left_semi").groupBy("file_id", "rec_type").applyInPandas(_report, _REPORT)
+    steps = known.select("file_id", F.lead("file_id").over(order).alias("next_id")).where("next_id is not null")
+    shapes = cut(profile(table).groupBy("file_id", "rec_type").agg(F.collect_list(F.struct("path", "type", "kind", "value", "n")).alias("paths")))
+    before = shapes.join(steps, "file_id").select(F.col("next_id").alias("file_id"), "rec_type", F.col("paths").alias("before"))
+    both = before.join(shapes.select("file_id", "rec_type", F.col("paths").alias("after")), ["file_id", "rec_type"])
+    return both.select("file_id", "rec_type", "before", "after").mapInArrow(_reports, _REPORT)
