@@ -3,6 +3,9 @@
 Each record is the set of its runs of three words. Sets with equal members form one class. Classes are joined on the rarest members of
 their sets, and pruned by length, position and suffix before a pair is verified once on its whole sets.
 
+Frequent members, such as those of a template that a third of all records share, come last in that order, and a record is not posted
+under them unless they alone could make it similar to another; so a template without a near duplicate pairs nothing.
+
 The order "rare first" is that of a table of BUCKETS hashed counts over all records: any order common to all records gives right
 results, and this one costs a fixed amount of memory at any size of the corpus.
 """
@@ -18,10 +21,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import vectext as v
+from tessera.llm.classes import expand
 from tessera.runtime import cut, small_side
 
 BUCKETS = 1 << 20
 _BLOCK = 1 << 12
+#: A member is frequent where its bucket's count is above this and four times the mean.
+OFTEN = 64
 SHINGLE = 3
 THRESHOLD = 0.7
 MIN_WORDS = 25
@@ -84,27 +90,36 @@ def _sum_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _prefixes(shingle: int, min_words: int, threshold: float, order: np.ndarray):
-    """(id, tool, text) to (id, sig, size, bits, prefix): the class, the size of the set, its parity bitmap, its rarest members in order.
+    """(id, tool, text) to (id, sig, size, bits, solid, prefix): the class, the size of the set, its parity bitmap, its rarest members in
+    order, and under how many of them it is looked up by larger sets (under all by smaller ones).
 
     A class that this task has met before comes without its prefix, so that copies cost one narrow row each.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one, met = np.uint64(1), set()
+        often = OFTEN + 4.0 * float(order.mean(dtype=np.float64))
         for ids, tools, texts in _rows(batches):
-            out: list[list] = [[], [], [], [], []]
+            out: list[list] = [[], [], [], [], [], []]
             for i, s in _sets(tools, texts, shingle, min_words):
-                rank = np.lexsort((s, order[(s & np.uint64(BUCKETS - 1)).astype(np.int64)]))
+                counts = order[(s & np.uint64(BUCKETS - 1)).astype(np.int64)]
+                rank = np.lexsort((s, counts))
                 bits = np.bitwise_xor.reduce(one << (s >> np.uint64(58)))
                 sig = v.mix(np.bitwise_xor.reduce(v.mix(s)) + v.mix(np.sum(s, keepdims=True)) + np.uint64(len(s)))
-                keep = len(s) - ceil(threshold * len(s) - 1e-9) + 1
+                need = ceil(threshold * len(s) - 1e-9)
+                keep = len(s) - need + 1
+                # frequent members stand last. Where they are fewer than a partner must share, it shares a rarer one too, by which it is
+                # found: a partner that is no larger shares need or more, one that is no smaller 2t/(1+t) of the size or more
+                rarer = len(s) - int((counts > often).sum())
+                keep = min(keep, rarer) if len(s) - rarer < need else keep
+                solid = min(keep, rarer) if len(s) - rarer < ceil(2 * threshold / (1 + threshold) * len(s) - 1e-9) else keep
                 name = int(sig.view(np.int64)[0])
-                for o, x in zip(out, (ids[i], name, len(s), bits.view(np.int64), None if name in met else s[rank[:keep]].view(np.int64)), strict=True):
+                for o, x in zip(out, (ids[i], name, len(s), bits.view(np.int64), solid, None if name in met else s[rank[:keep]].view(np.int64)), strict=True):
                     o.append(x)
                 met.add(name)
             yield pa.record_batch(
-                [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.int64()), pa.array(out[4], pa.list_(pa.int64()))],
-                names=["id", "sig", "size", "bits", "prefix"],
+                [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.int64()), pa.array(out[4], pa.int32()), pa.array(out[5], pa.list_(pa.int64()))],
+                names=["id", "sig", "size", "bits", "solid", "prefix"],
             )
 
     return run
@@ -153,25 +168,25 @@ def similar_classes(
     spark = base.sparkSession
     order = spark.sparkContext.broadcast(_order(base, shingle, min_words))
     body = _prefixes_from(shingle, min_words, threshold, order)
-    sets = cut(base.mapInArrow(body, "id long, sig long, size int, bits long, prefix array<long>"))
+    sets = cut(base.mapInArrow(body, "id long, sig long, size int, bits long, solid int, prefix array<long>"))
     members = sets.select("id", "sig").distinct().join(sets.groupBy("sig").agg(F.min("id").alias("rep")), "sig")
     # one row for each class and member of its prefix; a class has one set, so any of its rows will do
     posts = (
         sets.where("prefix is not null")
-        .select(F.posexplode("prefix").alias("pos", "gram"), F.col("sig").alias("c"), "size")
-        .select("gram", "c", F.shiftleft(F.col("size").cast("long"), 32).bitwiseOR(F.col("pos").cast("long")).alias("at"))
+        .select(F.posexplode("prefix").alias("pos", "gram"), F.col("sig").alias("c"), "size", "solid")
+        .select("gram", "c", F.shiftleft(F.col("size").cast("long"), 32).bitwiseOR(F.col("pos").cast("long") * 2 + (F.col("pos") < F.col("solid")).cast("long")).alias("at"))
         .repartition("gram")
         .dropDuplicates(["gram", "c"])
     )
     size = lambda t: F.shiftright(F.col(f"{t}.at"), 32)
-    pos = lambda t: F.col(f"{t}.at").bitwiseAND(F.lit(0xFFFFFFFF))
+    pos = lambda t: F.shiftright(F.col(f"{t}.at").bitwiseAND(F.lit(0xFFFFFFFF)), 1)
     need = F.ceil(F.lit(threshold / (1 + threshold)) * (size("x") + size("y")) - 1e-9)
     left = F.least(size("x") - pos("x"), size("y") - pos("y"))
     met = (
-        posts.alias("x")
+        posts.where(F.col("at").bitwiseAND(F.lit(1)) == 1).alias("x")  # x is the smaller of the two
         .join(posts.alias("y"), "gram")
-        .where(F.col("x.c") < F.col("y.c"))
-        .where((size("x") >= threshold * size("y") - 1e-9) & (size("y") >= threshold * size("x") - 1e-9))
+        .where((size("x") < size("y")) | ((size("x") == size("y")) & (F.col("x.c") < F.col("y.c"))))
+        .where(size("x") >= threshold * size("y") - 1e-9)
         .groupBy(F.col("x.c").alias("ca"), F.col("y.c").alias("cb"))
         .agg(F.count("*").alias("met"), F.max(left).alias("left"), F.min(left).alias("least_left"), F.first(need).alias("need"), F.first(size("x") + size("y")).alias("sum"))
         # at the first common member all that is left may agree; after the last one only what is left behind it
@@ -200,13 +215,9 @@ def _prefixes_from(shingle: int, min_words: int, threshold: float, order):
 
 
 def similar_pairs(records: DataFrame, id_col: str = "seg_uid", **options) -> DataFrame:
-    """All pairs (id_a < id_b) of records that similar_classes links, and the pairs within its classes."""
+    """Pairs (id_a < id_b) of records that similar_classes links, and of records with the same set; see classes.expand for large classes."""
     members, links = similar_classes(records, id_col, **options)
-    members = cut(members)
-    x, y = members.select(F.col("rep").alias("a"), F.col("id").alias("ia")), members.select(F.col("rep").alias("b"), F.col("id").alias("ib"))
-    far = links.join(x, "a").join(y, "b").select("ia", "ib")
-    near = x.join(y.withColumnRenamed("b", "a"), "a").where("ia < ib").select("ia", "ib")
-    return far.union(near).select(F.least("ia", "ib").alias(f"{id_col}_a"), F.greatest("ia", "ib").alias(f"{id_col}_b"))
+    return expand(members, links).select(F.col("a").alias(f"{id_col}_a"), F.col("b").alias(f"{id_col}_b"))
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import vectext as v
+from tessera.llm.classes import expand
 from tessera.runtime import cut, small_side
 
 PIECE = 64
@@ -128,8 +129,8 @@ def _verify(span: int):
 def shared_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN) -> DataFrame:
     """Pairs (doc_id_a < doc_id_b) of records whose texts have a verbatim stretch of span (300 or more) characters in common.
 
-    Records with equal texts form one class (named by a 64-bit hash of the text), which takes part in the join once; the pairs of a
-    class are listed from its members at the end. Candidates are classes with an equal run that also agrees over half of the rest of
+    Records with equal texts form one class (named by a 64-bit hash of the text), which takes part in the join once; its members are brought back
+    at the end (see classes.expand for large classes). Candidates are classes with an equal run that also agrees over half of the rest of
     the span on one side, which keeps short standing remarks from pairing everything; each is verified once on the whole texts.
     Null ids and texts and texts under span characters have no pairs; repeated ids are one record; empty tables give no rows.
     """
@@ -145,9 +146,10 @@ def shared_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     texts = cut(d.select("id", "c", "text").join(small_side(cut(reps)), ["id", "c"], "left_semi").select("c", "text").dropDuplicates(["c"]))
     got = pairs.join(texts.select(F.col("c").alias("ca"), F.col("text").alias("ta")), "ca").join(texts.select(F.col("c").alias("cb"), F.col("text").alias("tb")), "cb")
     true = got.select("ca", "cb", "ta", "tb").mapInArrow(_verify(span), "ca long, cb long")
-    both = true.join(members.select(F.col("c").alias("ca"), F.col("id").alias("a")), "ca").join(members.select(F.col("c").alias("cb"), F.col("id").alias("b")), "cb").select("a", "b")
-    same = members.alias("x").join(members.alias("y"), "c").where("x.id < y.id").select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
-    return both.union(same).select(F.least("a", "b").alias("doc_id_a"), F.greatest("a", "b").alias("doc_id_b")).distinct()
+    named = cut(members.join(members.groupBy("c").agg(F.min("id").alias("rep")), "c"))
+    names = named.select("c", "rep").distinct()
+    links = true.join(names.select(F.col("c").alias("ca"), F.col("rep").alias("a")), "ca").join(names.select(F.col("c").alias("cb"), F.col("rep").alias("b")), "cb").select("a", "b")
+    return expand(named.select("id", "rep"), links).select(F.col("a").alias("doc_id_a"), F.col("b").alias("doc_id_b"))
 
 
 def _union_length(spans: str) -> F.Column:

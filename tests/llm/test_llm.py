@@ -96,6 +96,31 @@ def test_near_duplicates_with_a_third_of_copies_and_the_report(spark):
     assert len(g) == 121 and g[39].class_id == 0 and g[39].n_copies == 40 and g[39].n_links == 1 and g[300].group_id == 0 and g[300].class_id == 300
 
 
+def test_a_shared_template_pairs_nothing(spark, monkeypatch):
+    rng = random.Random(9)
+    head, tail = sentence(rng, 14), sentence(rng, 14)
+    rows = [(i, None, f"{head} unique{i} other{i} third{i} {sentence(rng, 2)} {tail}") for i in range(60)]
+    rows += [(100 + i, None, f"{head} same {i} {tail}") for i in range(6)]
+    monkeypatch.setattr(neardup, "OFTEN", 10)
+    order = np.zeros(neardup.BUCKETS, np.int64)
+    sets = [s for _, s in neardup._sets([None] * len(rows), [t for _, _, t in rows], 3, 25)]
+    np.add.at(order, (np.concatenate(sets) & np.uint64(neardup.BUCKETS - 1)).astype(np.int64), 1)
+    batch = neardup.pa.record_batch([[r[i] for r in rows] for i in range(3)], names=["id", "tool", "text"])
+    posted = Counter(g for b in neardup._prefixes(3, 25, 0.7, order)([batch]) for n, p in zip(b.column("solid").to_pylist(), b.column("prefix").to_pylist(), strict=True) for g in p[:n])
+    assert max(posted.values()) <= 6
+    assert {tuple(r) for r in neardup.similar_pairs(seg_frame(spark, rows)).collect()} == close(rows)
+
+
+def test_large_classes_stand_by_their_smallest_id(spark):
+    from tessera.llm.classes import expand
+
+    members = spark.createDataFrame([(i, 0) for i in range(30)] + [(100, 100), (101, 100), (200, 200)], "id bigint, rep bigint")
+    links = spark.createDataFrame([(0, 100), (100, 200)], "a bigint, b bigint")
+    got = [tuple(r) for r in expand(members, links, 10).collect()]
+    assert sorted(got) == sorted([(0, i) for i in range(1, 30)] + [(0, 100), (0, 101), (100, 101), (100, 200), (101, 200)])
+    assert len(expand(members, links, 30).collect()) == 30 * 29 // 2 + 60 + 1 + 2
+
+
 def test_near_duplicates_of_nothing(spark):
     assert neardup.similar_pairs(seg_frame(spark, [])).count() == 0
     assert neardup.similar_groups(seg_frame(spark, [(1, None, None)])).count() == 0
