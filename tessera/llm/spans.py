@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm import vectext as v
@@ -78,30 +78,85 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([pa.array(h.view(np.int64)), pa.array(np.asarray(ids, np.int64)[text]), pa.array(begin.astype(np.int32)), pa.array(stop.astype(np.int32))], names=["h", "id", "start", "stop"])
 
 
-def _keys(span: int):
-    """(class, text) to the distinct (h, left, right) of a text: a run's hash, and hashes of it with what stands before and after.
+def _extended(texts: list[str], span: int) -> tuple[v.RangeHash, np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]]:
+    """The hash, starts and ends of all texts, and for either side (hash, begin, stop, text number) of each run with what stands there.
 
-    A stretch of span characters that holds a run of n reaches (span - n) / 2 beyond it on one side at least; left and right hash the
-    run with so much text on that side (0: the text ends before).
+    A stretch of span characters that holds a run of n reaches (span - n) / 2 beyond it on one side at least, so two texts that share such
+    a stretch agree on the run with so much text before it, or behind it; a run that has not so much text there has no key there.
     """
+    codes, starts, ends = v.codes_of(texts)
+    hashed = v.RangeHash(codes)
+    text, begin, stop, _ = runs_of(texts)
+    begin, stop = begin + starts[text], stop + starts[text]
+    more = np.maximum(span - (stop - begin) + 1, 0) // 2
+    sides = []
+    for x, y in ((begin - more, stop), (begin, stop + more)):
+        ok = (x >= starts[text]) & (y <= ends[text])
+        sides.append((hashed(x[ok], y[ok]), x[ok], y[ok], text[ok]))
+    return hashed, starts, ends, sides
+
+
+def _keys(span: int):
+    """(class, text) to the distinct (h, class): hashes of each run with half of the rest of the span on one side."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for ids, texts in v.chunks([b.column(0).to_pylist(), b.column(1).to_pylist()], 1):
-                codes, starts, ends = v.codes_of(texts)
-                hashed = v.RangeHash(codes)
-                text, begin, stop, _ = runs_of(texts)
-                begin, stop = begin + starts[text], stop + starts[text]
-                more = np.maximum(span - (stop - begin) + 1, 0) // 2
-                fits = [(np.maximum(begin - more, starts[text]), stop, begin - more >= starts[text]), (begin, np.minimum(stop + more, ends[text]), stop + more <= ends[text])]
                 ids = np.asarray(ids, np.int64)
-                both = [np.unique(np.stack([hashed(x, y)[ok].view(np.int64), ids[text[ok]]]), axis=1) for x, y, ok in fits]
+                both = [np.unique(np.stack([h.view(np.int64), ids[text]]), axis=1) for h, _, _, text in _extended(texts, span)[3]]
                 h, c = np.concatenate([x[0] for x in both]), np.concatenate([x[1] for x in both])
                 yield pa.record_batch([pa.array(h), pa.array(c)], names=["h", "c"])
 
     return run
 
 
+def _windows(span: int, hot: np.ndarray):
+    """(class, text) to the distinct (h, class): hashes of every stretch of span characters that holds a key of hot (sorted hashes)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for ids, texts in v.chunks([b.column(0).to_pylist(), b.column(1).to_pylist()], 1):
+                ids = np.asarray(ids, np.int64)
+                hashed, starts, ends, sides = _extended(texts, span)
+                found = []
+                for h, begin, stop, text in sides:
+                    at = np.minimum(np.searchsorted(hot, h), len(hot) - 1)
+                    mine = hot[at] == h
+                    begin, stop, text = begin[mine], stop[mine], text[mine]
+                    low, high = np.maximum(starts[text], stop - span), np.minimum(begin, ends[text] - span)
+                    n = np.maximum(high - low + 1, 0)
+                    first = np.repeat(low - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
+                    found.append(np.stack([hashed(first, first + span).view(np.int64), ids[np.repeat(text, n)]]))
+                both = np.unique(np.concatenate(found, axis=1), axis=1)
+                yield pa.record_batch([pa.array(both[0]), pa.array(both[1])], names=["h", "c"])
+
+    return run
+
+
+def _met(keys: DataFrame) -> DataFrame:
+    """(ca, cb): classes with an equal key."""
+    return keys.alias("x").join(keys.alias("y"), "h").where("x.c < y.c").select(F.col("x.c").alias("ca"), F.col("y.c").alias("cb"))
+
+
+def _candidates(texts: DataFrame, span: int, hot: int, known: int) -> DataFrame:
+    """(ca, cb) of classes that may share a stretch. Keys of more than hot classes, such as those of a standing remark that is a little
+    shorter than the span, would pair everything with everything: they are replaced by the whole stretches around them, so that only
+    classes that do share one meet."""
+    keys = texts.mapInArrow(_keys(span), "h long, c long").repartition("h").dropDuplicates(["h", "c"])
+    few = keys.withColumn("n", F.count("*").over(Window.partitionBy("h"))).where(F.col("n").between(2, hot)).select("h", "c")
+    many = keys.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > hot)
+    found = cut(_met(few).distinct().unionByName(many.select(F.col("h").alias("ca"), F.lit(None).cast("long").alias("cb"))))
+    pairs, hots = found.where("cb is not null"), found.where("cb is null").select(F.col("ca").alias("h"))
+    n = hots.count()
+    parts = -(-n // known)
+    for i in range(parts):  # so many hot keys at a time as are sent to every task
+        some = np.sort(np.asarray([r.h for r in hots.where(F.pmod(F.xxhash64("h"), F.lit(parts)) == i).collect()], np.int64).view(np.uint64))
+        if len(some):
+            around = texts.mapInArrow(_windows(span, some), "h long, c long").repartition("h").dropDuplicates(["h", "c"])
+            pairs = pairs.unionByName(_met(around))
+    return cut(pairs.distinct()) if parts else pairs
+
+
 def _verify(span: int):
     """(a, b, text_a, text_b) to the pairs with a common stretch of span characters."""
 
@@ -126,7 +181,12 @@ def _verify(span: int):
     return run
 
 
-def shared_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN) -> DataFrame:
+#: Classes under one key from which on whole stretches are compared, and keys of this kind that are sent to every task at a time.
+HOT = 64
+KNOWN_KEYS = 500_000
+
+
+def shared_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN, hot: int = HOT, known: int = KNOWN_KEYS) -> DataFrame:
     """Pairs (doc_id_a < doc_id_b) of records whose texts have a verbatim stretch of span (300 or more) characters in common.
 
     Records with equal texts form one class (named by a 64-bit hash of the text), which takes part in the join once; its members are brought back
@@ -138,9 +198,8 @@ def shared_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         raise ValueError("runs are laid out for spans of 300 characters or more")
     d = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null and length(text) >= %d" % span)
     d = d.withColumn("c", F.xxhash64("text"))
-    keys = d.select("c", "text").mapInArrow(_keys(span), "h long, c long").repartition("h").dropDuplicates(["h", "c"])
     members = cut(d.select("id", "c").distinct())
-    pairs = cut(keys.alias("x").join(keys.alias("y"), "h").where("x.c < y.c").select(F.col("x.c").alias("ca"), F.col("y.c").alias("cb")).distinct())
+    pairs = _candidates(d.select("c", "text"), span, hot, known)
     wanted = pairs.select(F.explode(F.array("ca", "cb")).alias("c")).distinct()
     reps = members.groupBy("c").agg(F.min("id").alias("id")).join(wanted, "c")
     texts = cut(d.select("id", "c", "text").join(small_side(cut(reps)), ["id", "c"], "left_semi").select("c", "text").dropDuplicates(["c"]))

@@ -403,8 +403,8 @@ def prose(rng, n):
     return "".join(rng.choice(["word ", "next. ", "a ", "long_identifier_here ", "x1, ", "end!\n", "b64QQzz", "\n"]) + str(rng.randint(0, 999)) + " " for _ in range(n))
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_shared_spans_match_brute_force(spark, seed):
+@pytest.mark.parametrize(("seed", "hot", "known"), [(0, 64, 100), (1, 64, 100), (2, 2, 10**6), (3, 2, 7), (4, 1, 10**6)])
+def test_shared_spans_match_brute_force(spark, seed, hot, known):
     rng = random.Random(seed)
     pool = [prose(rng, 60) for _ in range(6)] + ["".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789abcdef") for _ in range(900))]
     docs = [(900, None), (901, "")]
@@ -415,7 +415,7 @@ def test_shared_spans_match_brute_force(spark, seed):
         docs.append((d, prose(rng, rng.randint(0, 20)) + cut + prose(rng, rng.randint(0, 20))))
     docs += [(500, docs[5][1]), (501, "remark " * 10), (502, "remark " * 10), (503, "=" * 700), (504, "=" * 400)]
     df = spark.createDataFrame([(*d, 1) for d in docs], "doc_id bigint, text string, c int")
-    got = [tuple(r) for r in spans.shared_pairs(df).collect()]
+    got = [tuple(r) for r in spans.shared_pairs(df, hot=hot, known=known).collect()]
     assert len(got) == len(set(got)) and set(got) == shared(docs)
 
 
@@ -431,9 +431,11 @@ def test_shared_report(spark):
 def test_shared_spans_with_a_hot_remark_and_of_nothing(spark):
     rng = random.Random(5)
     remark = "This note was written by the compaction step. Verbatim segments follow in their order, and figures are left as they are. "
-    docs = [(i, remark + prose(rng, 40)) for i in range(60)]
+    remark = (remark * 3)[:285]
+    docs = [(i, f"{rng.random()}{remark}{rng.random()}" + prose(rng, 40)) for i in range(90)]
     df = spark.createDataFrame(docs, "doc_id bigint, text string")
-    assert spans.shared_pairs(df).count() == 0
+    assert spans.shared_pairs(df).count() == len(shared(docs)) == 0
+    assert spans._candidates(df.select(F.xxhash64("text").alias("c"), "text"), 300, 64, 1000).count() < 90 * 89 / 8
     assert spans.shared_pairs(df.limit(0)).count() == 0
     assert spans.shared_report(df.limit(0)).count() == 0
 
