@@ -128,3 +128,4 @@ SQL: dict[str, str] = {
         h AS (SELECT DISTINCT doc_id, md5(substr(text, i, 300)) AS h FROM d)
         SELECT DISTINCT x.doc_id AS doc_id_a, y.doc_id AS doc_id_b FROM h x JOIN h y ON x.h = y.h AND x.doc_id < y.doc_id""",
 }
+SQL["p6_turns"] = SQL["p6_found"].replace("AS turn_index, row_id FROM t", "AS turn_index, row_id, role FROM t")
