@@ -142,7 +142,8 @@ def _candidates(texts: DataFrame, span: int, hot: int, known: int) -> DataFrame:
     """(ca, cb) of classes that may share a stretch. Keys of more than hot classes, such as those of a standing remark that is a little
     shorter than the span, would pair everything with everything: they are replaced by the whole stretches around them, so that only
     classes that do share one meet."""
-    keys = texts.mapInArrow(_keys(span), "h long, c long").repartition("h").dropDuplicates(["h", "c"])
+    # the filter is what the join would add on its side alone: with it on both, the shuffled keys are reused
+    keys = texts.mapInArrow(_keys(span), "h long, c long").where("h is not null and c is not null").repartition("h").dropDuplicates(["h", "c"])
     few = keys.withColumn("n", F.count("*").over(Window.partitionBy("h"))).where(F.col("n").between(2, hot)).select("h", "c")
     many = keys.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > hot)
     found = cut(_met(few).distinct().unionByName(many.select(F.col("h").alias("ca"), F.lit(None).cast("long").alias("cb"))))
