@@ -7,20 +7,28 @@ from pyspark.sql import functions as F
 
 from tessera.runtime import cut
 
-#: Most copies of a class that are listed against each other and against linked classes one by one. A larger class stands in pairs by its
-#: smallest id, and each of its copies is paired with that id: every link between different texts stays, and rows stay in proportion.
-COPIES = 100
+#: About how many copies of a class are in one part; pairs of parts are spread over tasks, and a task holds two parts at a time.
+PART = 1024
 
 
-def expand(members: DataFrame, links: DataFrame, copies: int = COPIES) -> DataFrame:
-    """Pairs (a < b) of records: of linked classes and of copies. members: (id, rep), links: (a, b) of reps; each pair comes once."""
+def expand(members: DataFrame, links: DataFrame, copies: int | None = None) -> DataFrame:
+    """Pairs (a < b) of records: of linked classes and of copies. members: (id, rep), links: (a, b) of reps; each pair comes once.
+
+    With copies, only the smallest id of a class of more copies than that is listed, paired with each of the others; without it every pair is.
+    """
     sizes = members.groupBy("rep").agg(F.count("*").alias("n"))
     m = cut(members.join(sizes, "rep"))
-    listed = m.where((F.col("n") <= copies) | (F.col("id") == F.col("rep"))).select("rep", "id", "n")
-    x = listed.select(F.col("rep").alias("a"), F.col("id").alias("ia"))
-    y = listed.select(F.col("rep").alias("b"), F.col("id").alias("ib"))
-    far = links.select("a", "b").join(x, "a").join(y, "b").select("ia", "ib")
-    small = listed.where(F.col("n").between(2, copies))
-    near = small.select("rep", F.col("id").alias("ia")).join(small.select("rep", F.col("id").alias("ib")), "rep").where("ia < ib").select("ia", "ib")
-    large = m.where((F.col("n") > copies) & (F.col("id") != F.col("rep"))).select(F.col("rep").alias("ia"), F.col("id").alias("ib"))
-    return far.unionByName(near).unionByName(large).select(F.least("ia", "ib").alias("a"), F.greatest("ia", "ib").alias("b"))
+    over = F.lit(False) if copies is None else F.col("n") > copies
+    listed = m.where(~over | (F.col("id") == F.col("rep")))
+    n_parts = F.ceil(F.when(over, 1).otherwise(F.col("n")) / F.lit(PART)).cast("int")
+    parts = listed.groupBy("rep", n_parts.alias("of"), F.pmod(F.xxhash64("id"), n_parts).cast("int").alias("part")).agg(F.collect_list("id").alias("ids"))
+    parts = cut(parts)
+    side = lambda x: parts.select(F.col("rep").alias(x), F.col("part").alias(f"p{x}"), F.col("ids").alias(f"ids_{x}"))
+    far = links.select("a", "b").join(side("a"), "a").join(side("b"), "b")
+    near = side("a").join(side("b"), F.col("a") == F.col("b")).where("pa <= pb and (pa < pb or size(ids_a) > 1)")
+    blocks = far.unionByName(near).repartition("a", "pa", "b", "pb")
+    pairs = blocks.select("a", "pa", "b", "pb", F.explode("ids_a").alias("ia"), "ids_b").select("a", "pa", "b", "pb", "ia", F.explode("ids_b").alias("ib"))
+    pairs = pairs.where("a <> b or pa <> pb or ia < ib").select("ia", "ib")
+    if copies is not None:
+        pairs = pairs.unionByName(m.where(over & (F.col("id") != F.col("rep"))).select(F.col("rep").alias("ia"), F.col("id").alias("ib")))
+    return pairs.select(F.least("ia", "ib").alias("a"), F.greatest("ia", "ib").alias("b"))

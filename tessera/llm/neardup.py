@@ -215,7 +215,7 @@ def _prefixes_from(shingle: int, min_words: int, threshold: float, order):
 
 
 def similar_pairs(records: DataFrame, id_col: str = "seg_uid", **options) -> DataFrame:
-    """Pairs (id_a < id_b) of records that similar_classes links, and of records with the same set; see classes.expand for large classes."""
+    """Pairs (id_a < id_b) of records that similar_classes links, and of records with the same set, in classes of every size."""
     members, links = similar_classes(records, id_col, **options)
     return expand(members, links).select(F.col("a").alias(f"{id_col}_a"), F.col("b").alias(f"{id_col}_b"))
 

@@ -191,7 +191,7 @@ def shared_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """Pairs (doc_id_a < doc_id_b) of records whose texts have a verbatim stretch of span (300 or more) characters in common.
 
     Records with equal texts form one class (named by a 64-bit hash of the text), which takes part in the join once; its members are brought back
-    at the end (see classes.expand for large classes). Candidates are classes with an equal run that also agrees over half of the rest of
+    at the end, in classes of every size. Candidates are classes with an equal run that also agrees over half of the rest of
     the span on one side, which keeps short standing remarks from pairing everything; each is verified once on the whole texts.
     Null ids and texts and texts under span characters have no pairs; repeated ids are one record; empty tables give no rows.
     """

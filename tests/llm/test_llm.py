@@ -121,6 +121,26 @@ def test_large_classes_stand_by_their_smallest_id(spark):
     assert len(expand(members, links, 30).collect()) == 30 * 29 // 2 + 60 + 1 + 2
 
 
+def test_large_classes_pair_all_their_members(spark, monkeypatch):
+    from tessera.llm import classes
+
+    members = [(i, 0) for i in range(130)] + [(200 + i, 200) for i in range(3)] + [(300, 300)]
+    rep = dict(members)
+    want = {(a, b) for a, b in itertools.combinations(sorted(rep), 2) if rep[a] == rep[b] or {rep[a], rep[b]} in ({0, 200}, {200, 300})}
+    m, links = spark.createDataFrame(members, "id bigint, rep bigint"), spark.createDataFrame([(0, 200), (200, 300)], "a bigint, b bigint")
+    for part in (classes.PART, 20):
+        monkeypatch.setattr(classes, "PART", part)
+        got = [tuple(r) for r in classes.expand(m, links).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_a_class_of_more_than_a_hundred_differing_texts_keeps_its_pairs(spark):
+    rng = random.Random(3)
+    hot = sentence(rng, 40)
+    rows = [(i, None, hot.upper() if i % 2 else hot + "." * i) for i in range(110)] + [(300 + i, None, hot + f" more{i}") for i in range(2)]
+    assert {tuple(r) for r in neardup.similar_pairs(seg_frame(spark, rows)).collect()} == close(rows)
+
+
 def test_near_duplicates_of_nothing(spark):
     assert neardup.similar_pairs(seg_frame(spark, [])).count() == 0
     assert neardup.similar_groups(seg_frame(spark, [(1, None, None)])).count() == 0
