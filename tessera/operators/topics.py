@@ -21,8 +21,12 @@ class TopicConfig:
     k: int | None = None
     drop_top: int = 1
     ipr_weight: bool = True
-    #: Most words of one conversation's matrix, the most frequent ones; their number is what a task's dense algebra is bounded by.
-    max_words: int = 1500
+
+
+#: Words up to which a matrix is decomposed as a dense one; beyond them its leading directions come from its cells alone.
+DENSE = 1500
+#: Directions that a step of leading() adds, and cells that it multiplies at a time.
+_BLOCK, _CELLS = 16, 1 << 18
 
 
 def default_rank(n_words: int, n_segments: int, cap: int = 200) -> int:
@@ -36,32 +40,95 @@ def participation(vectors: np.ndarray) -> np.ndarray:
     return (unit**4).sum(0)
 
 
-def fit(token_lists: list[list[str]], config: TopicConfig = TopicConfig()) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray] | None:
-    """(words, W, singular values, participation ratios); None under three words or without pairs."""
-    words, counts = np.unique([w for t in token_lists for w in t], return_counts=True)
+def _times(starts: np.ndarray, cols: np.ndarray, values: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Matrix of sorted rows (cells of row i from starts[i] to starts[i + 1]) times x."""
+    out = np.zeros((len(starts) - 1, x.shape[1]))
+    full = np.flatnonzero(np.diff(starts))
+    at = 0
+    while at < len(full):
+        to = max(at + 1, int(np.searchsorted(starts[full], starts[full[at]] + _CELLS)))
+        a, b = starts[full[at]], starts[full[to - 1] + 1]
+        out[full[at:to]] = np.add.reduceat(x[cols[a:b]] * values[a:b, None], starts[full[at:to]] - a, axis=0)
+        at = to
+    return out
+
+
+def leading(n: int, rows: np.ndarray, cols: np.ndarray, values: np.ndarray, k: int, tol: float = 1e-9) -> tuple[np.ndarray, np.ndarray]:
+    """(U, s): the first k left singular directions and values of the n x n matrix of the cells, by block Lanczos steps on A A' with full
+    orthogonalisation, until each direction's residual is within tol of the largest eigenvalue or the steps span the whole space."""
+
+    def ordered(r: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        o = np.lexsort((c, r))
+        return np.searchsorted(r[o], np.arange(n + 1)), c[o], values[o]
+
+    forth, back = ordered(rows, cols), ordered(cols, rows)
+    rng = np.random.default_rng(0)
+    q = np.zeros((n, 0))
+    t = np.zeros((0, 0))
+    new = np.linalg.qr(rng.standard_normal((n, min(_BLOCK, n))))[0]
+    step = 0
+    while True:
+        w = _times(*forth, _times(*back, new))
+        m, b = q.shape[1], new.shape[1]
+        q = np.hstack([q, new])
+        c = q.T @ w
+        t = np.block([[t, c[:m]], [c[:m].T, (c[m:] + c[m:].T) / 2]])
+        left = w - q @ c
+        left -= q @ (q.T @ left)
+        step += 1
+        full = q.shape[1] >= n
+        if full or (q.shape[1] >= k + _BLOCK and step % 8 == 0):
+            theta, y = np.linalg.eigh(t)
+            theta, y = theta[::-1][:k], y[:, ::-1][:, :k]
+            if full or (np.linalg.norm(left @ y[m:], axis=0) <= tol * theta[0]).all():
+                return q @ y, np.sqrt(np.maximum(theta, 0))
+        b = min(b, n - q.shape[1])
+        # a direction that is used up is replaced by a random one, so that equal values are all found
+        scale = np.linalg.norm(left, axis=0)
+        spent = scale <= 1e-12 * max(float(np.abs(t).max()), 1e-300)
+        left = np.where(spent, rng.standard_normal(left.shape), left / np.where(spent, 1.0, scale))[:, :b]
+        for _ in range(2):
+            left -= q @ (q.T @ left)
+            left = np.linalg.qr(left)[0]
+        new = left
+
+
+def fit(token_lists: list, config: TopicConfig = TopicConfig()) -> tuple[list, np.ndarray, np.ndarray, np.ndarray] | None:
+    """(words, W, singular values, participation ratios) over all words of min_count or more; None under three words or without pairs.
+
+    Words may be texts or numbers. The matrix is held by its cells; only one of up to DENSE words is ever spread out."""
+    filled = [np.asarray(t) for t in token_lists if len(t)]
+    if not filled:
+        return None
+    words, inverse, counts = np.unique(np.concatenate(filled), return_inverse=True, return_counts=True)
     keep = counts >= config.min_count
-    words, counts = words[keep], counts[keep]
-    if len(words) < 3:
+    n = int(keep.sum())
+    if n < 3:
         return None
-    order = np.lexsort((words, -counts))[: config.max_words]
-    words = words[order]
-    index = {w: i for i, w in enumerate(words)}
-    m = np.zeros((len(words), len(words)))
-    for t in token_lists:
-        ids = np.array([index[w] for w in t if w in index], np.int64)
-        for d in range(1, min(config.window, len(ids) - 1) + 1):
-            np.add.at(m, (ids[:-d], ids[d:]), 1.0 / d)
-    m = m + m.T
-    if not m.any():
+    order = np.flatnonzero(keep)[np.argsort(-counts[keep], kind="stable")]
+    place = np.full(len(words), -1)
+    place[order] = np.arange(n)
+    words, ids = words[order], place[inverse]
+    of = np.repeat(np.arange(len(filled)), [len(t) for t in filled])[ids >= 0]
+    ids = ids[ids >= 0].astype(np.int64)
+    near = [(ids[:-d][of[:-d] == of[d:]], ids[d:][of[:-d] == of[d:]], 1.0 / d) for d in range(1, config.window + 1)]
+    key = np.concatenate([x for a, b, _ in near for x in (a * n + b, b * n + a)])
+    if not len(key):
         return None
-    rows, cols = m.sum(1), m.sum(0) ** config.cds
-    with np.errstate(divide="ignore", invalid="ignore"):
-        pmi = np.log(m * cols.sum() / np.outer(rows, cols))
-    if config.shift > 1:
-        pmi -= np.log(config.shift)
-    pmi = np.where((m > 0) & (pmi > 0), pmi, 0.0)
-    k = max(1, min(config.k or default_rank(len(words), len(token_lists)), len(words) - 1))
-    u, s, _ = np.linalg.svd(pmi)
+    key, cell = np.unique(key, return_inverse=True)
+    m = np.bincount(cell, np.concatenate([np.full(2 * len(a), v) for a, _, v in near]))
+    rows, cols = key // n, key % n
+    r = np.bincount(rows, m, n)
+    c = np.bincount(cols, m, n) ** config.cds
+    pmi = np.log(m * c.sum() / (r[rows] * c[cols])) - (np.log(config.shift) if config.shift > 1 else 0.0)
+    rows, cols, pmi = rows[pmi > 0], cols[pmi > 0], pmi[pmi > 0]
+    k = max(1, min(config.k or default_rank(n, len(token_lists)), n - 1))
+    if n <= DENSE or not len(pmi):
+        full = np.zeros((n, n))
+        full[rows, cols] = pmi
+        u, s, _ = np.linalg.svd(full)
+    else:
+        u, s = leading(n, rows, cols, pmi, k)
     return words.tolist(), u[:, :k], s[:k], participation(u[:, :k])
 
 
@@ -121,13 +188,11 @@ def aligned_cosines(a, b) -> np.ndarray:
     return np.array([c[i, j] for i, j in assign(-c)])
 
 
-#: Most segments of a conversation that are fitted together; a larger one is fitted in runs of so many.
-GROUP = 5000
-
-
-def _grouped(segments: DataFrame) -> DataFrame:
-    run = F.floor(F.col("seg_id") / F.lit(GROUP)).cast("int")
-    return segments.select("conv_id", run.alias("run"), "seg_id", path_tokens(F.col("text")).alias("tokens")).where("tokens is not null").groupBy("conv_id", "run")
+def _grouped(segments: DataFrame, numbers: bool = False) -> DataFrame:
+    """Tokens by conversation, as 64-bit hashes where words are not named in the end."""
+    tokens = path_tokens(F.col("text"))
+    tokens = F.transform(tokens, lambda w: F.xxhash64(w)) if numbers else tokens
+    return segments.select("conv_id", "seg_id", tokens.alias("tokens")).where("tokens is not null").groupBy("conv_id")
 
 
 def topic_scores(segments: DataFrame, config: TopicConfig = TopicConfig()) -> DataFrame:
@@ -136,16 +201,16 @@ def topic_scores(segments: DataFrame, config: TopicConfig = TopicConfig()) -> Da
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("seg_id")
-        lists = [list(t) for t in pdf["tokens"]]
+        lists = list(pdf["tokens"])
         model = fit(lists, config)
         s = scores(lists, model, config.drop_top, config.ipr_weight) if model else np.zeros(len(lists))
         return pdf[["conv_id", "seg_id"]].assign(score=s)
 
-    return _grouped(segments).applyInPandas(run, f"conv_id {types['conv_id']}, seg_id {types['seg_id']}, score double")
+    return _grouped(segments, True).applyInPandas(run, f"conv_id {types['conv_id']}, seg_id {types['seg_id']}, score double")
 
 
 def topic_report(segments: DataFrame, config: TopicConfig = TopicConfig(), n_words: int = 8, folds: int = 2) -> DataFrame:
-    """(conv_id, run, topic, singular_value, ipr, words, stability): directions from the densest; words by weight; stability is the mean
+    """(conv_id, run, topic, singular_value, ipr, words, stability): one model for each conversation (run is 0); directions from the densest; words by weight; stability is the mean
     cosine with the directions of interleaved parts."""
     types = dict(segments.dtypes)
 
@@ -163,7 +228,7 @@ def topic_report(segments: DataFrame, config: TopicConfig = TopicConfig(), n_wor
         rows = []
         for rank, j in enumerate(np.argsort(ipr, kind="stable")):
             top = np.argsort(-np.abs(w[:, j]), kind="stable")[:n_words]
-            rows.append((pdf["conv_id"].iloc[0], pdf["run"].iloc[0], rank, float(s[j]), float(ipr[j]), [words[i] for i in top], stability))
+            rows.append((pdf["conv_id"].iloc[0], 0, rank, float(s[j]), float(ipr[j]), [words[i] for i in top], stability))
         return pd.DataFrame(rows, columns=cols)
 
     return _grouped(segments).applyInPandas(run, f"conv_id {types['conv_id']}, run int, topic int, singular_value double, ipr double, words array<string>, stability double")

@@ -260,6 +260,29 @@ def test_assignment_and_topics():
     assert topics.fit([["a", "a"]]) is None
 
 
+def test_leading_directions_are_those_of_the_dense_matrix(monkeypatch):
+    rng = random.Random(6)
+    lists = [[f"w{min(int(rng.expovariate(0.02)), 400)}" for _ in range(60)] for _ in range(60)]
+    twins = [[f"x{i}", f"y{i}"] * 2 for i in range(20)]  # many equal values, whose directions are free to turn
+    config = topics.TopicConfig(k=30)
+    dense, equal = topics.fit(lists, config), topics.fit(lists + twins, config)
+    monkeypatch.setattr(topics, "DENSE", 0)
+    cells = topics.fit(lists, config)
+    assert dense[0] == cells[0] and np.allclose(dense[2], cells[2], rtol=1e-8)
+    assert np.allclose(dense[1] @ dense[1].T, cells[1] @ cells[1].T, atol=1e-6)
+    assert np.allclose(equal[2], topics.fit(lists + twins, config)[2], rtol=1e-8)
+
+
+def test_topics_take_all_words_and_segments_of_a_conversation(spark):
+    lists = [[f"w{i}", f"w{i + 1}", f"w{i}", f"w{i + 2}"] for i in range(1700)]
+    assert len(topics.fit(lists, topics.TopicConfig(k=3))[0]) > 1500
+    s = segs(spark, [(i, i, "text", "alpha beta gamma delta epsilon") for i in (0, 1, 4999, 5000, 9000)])
+    report = topics.topic_report(s).collect()
+    assert {r.run for r in report} == {0} and len(report) == len({r.topic for r in report})
+    got = {r.seg_id: r.score for r in topics.topic_scores(s).collect()}
+    assert set(got) == {0, 1, 4999, 5000, 9000} and len(set(got.values())) == 1
+
+
 def test_compaction_schedule_by_brute_force(spark):
     rng = random.Random(4)
     tokens = [rng.randint(0, 200) for _ in range(80)]
