@@ -1,7 +1,7 @@
 """Selectors whose gain depends on what is kept already: novelty of words, and compressed length.
 
-Both need a conversation's candidates side by side. A conversation of up to GROUP segments is one task's work, as word numbers, costs and
-scores; a larger one is cut into runs of GROUP segments, each with its part of the budget by tokens, so that no task holds more.
+Both need a conversation's candidates side by side: each conversation, of any size, is one run with one budget and one state. A task holds
+its word numbers, costs and scores (codecs: its texts).
 """
 
 from __future__ import annotations
@@ -12,14 +12,11 @@ import zlib
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.text import plain_words
 
-#: Most segments that one task selects from at a time.
-GROUP = 20_000
-
 
 def word_sets(segments: DataFrame) -> DataFrame:
     """(conv_id, seg_id, word): plain words, without those in more than half of the conversation's segments."""
@@ -29,16 +26,9 @@ def word_sets(segments: DataFrame) -> DataFrame:
     return w.join(common, ["conv_id", "word"], "left_anti")
 
 
-def _runs(segments: DataFrame, budgets: DataFrame) -> DataFrame:
-    """segments with run and its budget."""
-    w = Window.partitionBy("conv_id")
-    s = segments.withColumn("run", F.floor((F.row_number().over(w.orderBy("seg_id")) - 1) / F.lit(GROUP)).cast("int"))
-    by = s.groupBy("conv_id", "run").agg(F.sum("tokens").alias("t"))
-    total = F.sum("t").over(w)
-    upto = F.floor(F.col("budget") * F.sum("t").over(w.orderBy("run")) / F.greatest(total, F.lit(1))).cast("long")
-    part = by.join(budgets.select("conv_id", "budget"), "conv_id").withColumn("upto", upto)
-    part = part.select("conv_id", "run", (F.col("upto") - F.coalesce(F.lag("upto").over(w.orderBy("run")), F.lit(0))).alias("budget"))
-    return s.join(part, ["conv_id", "run"])
+def _budgeted(segments: DataFrame, budgets: DataFrame) -> DataFrame:
+    """segments with their conversation's budget."""
+    return segments.join(budgets.select("conv_id", "budget"), "conv_id")
 
 
 def pick_novel(scores: np.ndarray, costs: np.ndarray, words: list[np.ndarray], forced: np.ndarray, budget: int, alpha: float, per_token: bool) -> list[int]:
@@ -78,11 +68,11 @@ def pick_novel(scores: np.ndarray, costs: np.ndarray, words: list[np.ndarray], f
 def novelty_select(segments: DataFrame, budgets: DataFrame, alpha: float = 0.5, protect: str = "none", per_token: bool = False) -> DataFrame:
     """segments (with score) that a novelty-discounted fill keeps; alpha 0 is the plain greedy fill. Null scores count 0.
 
-    Words in more than half of the segments side by side are boilerplate and do not count."""
+    Words in more than half of the conversation's segments are boilerplate and do not count."""
     from tessera.operators.budget import forced as must
 
     hashed = F.coalesce(F.transform(plain_words(F.col("text")), lambda w: F.xxhash64(w)), F.array().cast("array<bigint>"))
-    s = _runs(segments.withColumn("forced", must(protect)), budgets).withColumn("words", hashed)
+    s = _budgeted(segments.withColumn("forced", must(protect)), budgets).withColumn("words", hashed)
     types = dict(segments.dtypes)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -93,7 +83,7 @@ def novelty_select(segments: DataFrame, budgets: DataFrame, alpha: float = 0.5,
         kept = pick_novel(pdf["score"].fillna(0).to_numpy(float), pdf["tokens"].to_numpy(np.int64), words, pdf["forced"].to_numpy(bool), int(pdf["budget"].iloc[0]), alpha, per_token)
         return pdf.loc[sorted(kept), ["conv_id", "seg_id"]]
 
-    kept = s.select("conv_id", "run", "seg_id", "score", "tokens", "forced", "budget", "words").groupBy("conv_id", "run").applyInPandas(run, f"conv_id {types['conv_id']}, seg_id {types['seg_id']}")
+    kept = s.select("conv_id", "seg_id", "score", "tokens", "forced", "budget", "words").groupBy("conv_id").applyInPandas(run, f"conv_id {types['conv_id']}, seg_id {types['seg_id']}")
     return segments.join(kept, ["conv_id", "seg_id"], "left_semi")
 
 
@@ -150,10 +140,6 @@ def pick_dense(texts: list[str], costs: np.ndarray, budget: int, codec: str = "z
     return keep
 
 
-#: Most segments side by side in a codec selection, whose state holds their texts.
-CODEC_GROUP = GROUP
-
-
 def codec_select(segments: DataFrame, budgets: DataFrame, codec: str = "zlib") -> DataFrame:
     """segments that add most to a compressor's output for their tokens, within the budget. Null texts add nothing."""
     types = dict(segments.dtypes)
@@ -163,6 +149,6 @@ def codec_select(segments: DataFrame, budgets: DataFrame, codec: str = "zlib") -
         kept = pick_dense(pdf["text"].fillna("").tolist(), pdf["tokens"].to_numpy(np.int64), int(pdf["budget"].iloc[0]), codec)
         return pdf.loc[sorted(kept), ["conv_id", "seg_id"]]
 
-    s = _runs(segments, budgets).select("conv_id", "run", "seg_id", "text", "tokens", "budget")
-    kept = s.groupBy("conv_id", "run").applyInPandas(run, f"conv_id {types['conv_id']}, seg_id {types['seg_id']}")
+    s = _budgeted(segments, budgets).select("conv_id", "seg_id", "text", "tokens", "budget")
+    kept = s.groupBy("conv_id").applyInPandas(run, f"conv_id {types['conv_id']}, seg_id {types['seg_id']}")
     return segments.join(kept, ["conv_id", "seg_id"], "left_semi")

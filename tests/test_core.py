@@ -250,6 +250,16 @@ def test_cooccurrence_and_ppmi(spark):
     assert all(r.v > 0 for r in cooccur.ppmi(cooccur.cooccurrence(d)).collect())
 
 
+def test_selection_takes_a_large_conversation_as_one_run(spark):
+    n = 20_010
+    last = F.col("id") >= n - 5
+    text = F.when(last, F.sha2(F.col("id").cast("string"), 512)).otherwise("same")
+    s = spark.range(n).select(F.lit(1).cast("long").alias("conv_id"), F.col("id").cast("int").alias("seg_id"), F.lit("text").alias("kind"), F.lit("user").alias("role"), F.lit(0).alias("turn"), F.lit(False).alias("protected"), text.alias("text"), F.lit(1).alias("tokens"), last.cast("double").alias("score"))
+    budgets = spark.createDataFrame([(1, 5)], "conv_id bigint, budget bigint")
+    for kept in (selecting.novelty_select(s, budgets), selecting.codec_select(s, budgets)):
+        assert sorted(r.seg_id for r in kept.select("seg_id").collect()) == list(range(n - 5, n))
+
+
 def test_assignment_and_topics():
     cost = np.random.default_rng(1).random((5, 7))
     best = min(sum(cost[i, p[i]] for i in range(5)) for p in __import__("itertools").permutations(range(7), 5))
