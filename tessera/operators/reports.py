@@ -35,18 +35,27 @@ def bundle_invariants(flags: DataFrame) -> DataFrame:
     return ids.unionByName(tokens).unionByName(order)
 
 
-def reply_chains(rows: DataFrame, most: int) -> DataFrame:
-    """(session_id, n_chain, ring) over parents from the last message that is no side row, by a recursive query of at most ``most`` steps."""
-    spark = rows.sparkSession
+def reply_chains(rows: DataFrame) -> DataFrame:
+    """(session_id, n_chain, ring) over parents from the last message that is no side row to the end of the chain, by pointer doubling:
+    n_chain counts each uuid once, ring tells whether one recurs."""
     one = rows.where("uuid is not null").groupBy("session_id", "uuid").agg(F.min(F.struct("row_id", "parent_uuid", "logged_at", F.coalesce("is_sidechain", F.lit(False)).alias("side"))).alias("m")).select("session_id", "uuid", "m.*")
-    cut(one).createOrReplaceTempView("tessera_one")
-    last = spark.table("tessera_one").where("not side").groupBy("session_id").agg(F.max_by(F.struct("uuid", "parent_uuid"), F.struct("logged_at", "row_id")).alias("e")).select("session_id", "e.*")
-    cut(last).createOrReplaceTempView("tessera_last")
-    line = spark.sql(f"""WITH RECURSIVE line(session_id, uuid, parent_uuid, back) MAX RECURSION LEVEL {most + 5} AS (
-        SELECT session_id, uuid, parent_uuid, 0 FROM tessera_last
-        UNION ALL SELECT o.session_id, o.uuid, o.parent_uuid, l.back + 1 FROM line l JOIN tessera_one o ON o.session_id = l.session_id AND o.uuid = l.parent_uuid WHERE l.back < {most})
-        SELECT * FROM line""")
-    return line.groupBy("session_id").agg(F.countDistinct("uuid").alias("n_chain"), (F.max("back") >= most).alias("ring"))
+    one = cut(one)
+    known = one.select("session_id", F.col("uuid").alias("to"))
+    steps = [cut(one.select("session_id", "uuid", F.col("parent_uuid").alias("to")).join(known, ["session_id", "to"], "left_semi").select("session_id", "uuid", "to"))]
+    # with 2^i steps more than a session has messages, only a ring still leads anywhere
+    largest = one.groupBy("session_id").count().agg(F.max("count")).first()[0] or 0
+    for _ in range(int(largest).bit_length()):
+        if not steps[-1].limit(1).count():
+            break
+        a = steps[-1]
+        b = a.select("session_id", F.col("uuid").alias("to"), F.col("to").alias("further"))
+        steps.append(cut(a.join(b, ["session_id", "to"]).select("session_id", "uuid", F.col("further").alias("to"))))
+    last = cut(one.where("not side").groupBy("session_id").agg(F.max_by("uuid", F.struct("logged_at", "row_id")).alias("uuid")))
+    line = last
+    for s in reversed(steps):
+        line = cut(line.union(line.join(s, ["session_id", "uuid"]).select("session_id", F.col("to").alias("uuid"))).distinct())
+    rings = last.join(steps[-1], ["session_id", "uuid"]).select("session_id", F.lit(True).alias("ring"))
+    return line.groupBy("session_id").agg(F.count("*").alias("n_chain")).join(rings, "session_id", "left").select("session_id", "n_chain", F.coalesce("ring", F.lit(False)).alias("ring"))
 
 
 def planned_against_done(cells: DataFrame, variants: DataFrame, records: DataFrame, keys: list[str], variant: str) -> DataFrame:

@@ -94,8 +94,8 @@ def vocabulary_encoding(spark, sf_dir):
     SELECT session_id, count(DISTINCT uuid) AS n_chain, max(back) >= 200 AS ring FROM line GROUP BY session_id"""
 )
 def reply_chains(spark, sf_dir):
-    """The chain of parents from each session's last message, up to 200 steps: how long it is and whether it runs in a ring."""
-    return reports.reply_chains(table(spark, sf_dir, "chat_rows"), 200)
+    """The whole chain of parents from each session's last message: how long it is and whether it runs in a ring."""
+    return reports.reply_chains(table(spark, sf_dir, "chat_rows"))
 
 
 @query(

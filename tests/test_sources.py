@@ -105,3 +105,13 @@ def test_records_rules(spark):
 def test_newer_than(spark):
     df = spark.createDataFrame([("0.105.0",), ("0.9",), ("x",)], "v string")
     assert [r.n for r in df.select(sessions.newer_than(F.col("v"), "0.104.2").alias("n")).collect()] == [True, False, None]
+
+
+def test_reply_chains_are_followed_to_their_end(spark):
+    from tessera.operators.reports import reply_chains
+
+    rows = [("long", f"u{i}", f"u{i - 1}" if i else None, i) for i in range(450)]
+    rows += [("ring", f"u{i}", f"u{(i - 1) % 7}" if i < 7 else f"u{i - 1}", i) for i in range(10)] + [("self", "a", "a", 0), ("lost", "b", "gone", 0)]
+    df = spark.createDataFrame([(s, u, p, i, i, False) for s, u, p, i in rows], "session_id string, uuid string, parent_uuid string, row_id bigint, logged_at bigint, is_sidechain boolean")
+    got = {r.session_id: (r.n_chain, r.ring) for r in reply_chains(df).collect()}
+    assert got == {"long": (450, False), "ring": (10, True), "self": (1, True), "lost": (1, False)}
