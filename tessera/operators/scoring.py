@@ -15,7 +15,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DIM = 64
-EMBED_CHARS = 2000
 
 
 def recency(segments: DataFrame) -> DataFrame:
@@ -73,14 +72,14 @@ def kind_norm(scored: DataFrame, norm: str, min_segments: int = 5) -> DataFrame:
 
 
 def embed(segments: DataFrame, seed: str = "select", dim: int = DIM) -> DataFrame:
-    """segments with vector: hashed three-letter groups and words under random signs, of unit length; text under EMBED_CHARS characters.
+    """segments with vector: hashed three-letter groups and words under random signs of the whole text, of unit length.
 
     A stand-in for an embedding model; use different seeds to select and to score.
     """
 
     def one(text: str) -> list[float]:
         v = np.zeros(dim)
-        low = (text or "")[:EMBED_CHARS].lower()
+        low = (text or "").lower()
         for w in low.split():
             for g in (w, *(w[i : i + 3] for i in range(len(w) - 2))):
                 h = int.from_bytes(hashlib.blake2b(g.encode("utf-8", "surrogatepass"), key=seed.encode(), digest_size=8).digest(), "little")

@@ -260,6 +260,12 @@ def test_selection_takes_a_large_conversation_as_one_run(spark):
         assert sorted(r.seg_id for r in kept.select("seg_id").collect()) == list(range(n - 5, n))
 
 
+def test_vectors_take_the_whole_text(spark):
+    s = segs(spark, [(0, 0, "text", "same " * 500 + "one end"), (1, 0, "text", "same " * 500 + "other words")])
+    a, b = (r.vector for r in scoring.embed(s).orderBy("seg_id").collect())
+    assert a != b
+
+
 def test_assignment_and_topics():
     cost = np.random.default_rng(1).random((5, 7))
     best = min(sum(cost[i, p[i]] for i in range(5)) for p in __import__("itertools").permutations(range(7), 5))
