@@ -129,3 +129,13 @@ SQL: dict[str, str] = {
         SELECT DISTINCT x.doc_id AS doc_id_a, y.doc_id AS doc_id_b FROM h x JOIN h y ON x.h = y.h AND x.doc_id < y.doc_id""",
 }
 SQL["p6_turns"] = SQL["p6_found"].replace("AS turn_index, row_id FROM t", "AS turn_index, row_id, role FROM t")
+SQL["p9_shared"] = r"""
+    WITH d AS (SELECT doc_id, text, unnest(range(0, length(text) - 299)) AS i FROM documents WHERE length(text) >= 300),
+    h AS (SELECT doc_id, i, md5(substr(text, i + 1, 300)) AS h FROM d),
+    f AS (SELECT h, min(doc_id) AS first FROM h GROUP BY h HAVING min(doc_id) < max(doc_id)),
+    s AS (SELECT doc_id, i, first < doc_id AS again FROM h JOIN f USING (h)),
+    a AS (SELECT doc_id, sum(least(300, coalesce(i - before, 300))) AS n FROM (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM s) GROUP BY 1),
+    r AS (SELECT doc_id, sum(least(300, coalesce(i - before, 300))) AS n FROM (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM s WHERE again) GROUP BY 1)
+    SELECT doc_id, coalesce(length(text), 0)::INTEGER AS n_chars, coalesce(a.n, 0)::BIGINT AS shared_chars, coalesce(r.n, 0)::BIGINT AS removed_chars,
+        CASE WHEN length(text) > 0 THEN round(coalesce(a.n, 0) / length(text), 6) END AS shared_part
+    FROM documents LEFT JOIN a USING (doc_id) LEFT JOIN r USING (doc_id)"""

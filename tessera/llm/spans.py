@@ -2,11 +2,12 @@
 
 A text is cut into sentences at line ends and after sentence marks; a sentence of PIECE characters or more is cut further at
 content-defined places (winnowing), so that equal stretches are cut equally wherever they stand. Every run of consecutive pieces that
-covers RUN characters is hashed, and runs with equal hashes meet in one global join.
+covers RUN characters is hashed, and runs with equal hashes meet in one global join. Around the runs that more than one text holds, every
+stretch of SPAN characters is hashed; those that more than one text holds are the shared spans. Both queries read this one table.
 
 Why no stretch of 300 characters is missed: each of its first 64 and of the characters up to its last 74 holds a boundary that depends
 on the stretch alone, which leaves 162 characters between two boundaries that both records have. A run from the first ends within
-96 + 64 characters, hence inside.
+96 + 64 characters, hence inside; so the run is repeated, and the stretch is among those around it.
 """
 
 from __future__ import annotations
@@ -15,11 +16,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import vectext as v
-from tessera.llm.classes import expand
+from tessera.llm.classes import expand, pairs_within
 from tessera.runtime import cut, small_side
 
 PIECE = 64
@@ -71,168 +72,113 @@ def runs_of(texts: list[str], run: int = RUN) -> tuple[np.ndarray, np.ndarray, n
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, text) to (h, id, start, stop)."""
+    """(class, text) to (h, c, at): each run's hash and place (start in the upper half, stop in the lower)."""
     for b in batches:
         for ids, texts in v.chunks([b.column(0).to_pylist(), b.column(1).to_pylist()], 1):
             text, begin, stop, h = runs_of(texts)
-            yield pa.record_batch([pa.array(h.view(np.int64)), pa.array(np.asarray(ids, np.int64)[text]), pa.array(begin.astype(np.int32)), pa.array(stop.astype(np.int32))], names=["h", "id", "start", "stop"])
+            yield pa.record_batch([pa.array(h.view(np.int64)), pa.array(np.asarray(ids, np.int64)[text]), pa.array((begin << 32) | stop)], names=["h", "c", "at"])
 
 
-def _extended(texts: list[str], span: int) -> tuple[v.RangeHash, np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]]:
-    """The hash, starts and ends of all texts, and for either side (hash, begin, stop, text number) of each run with what stands there.
-
-    A stretch of span characters that holds a run of n reaches (span - n) / 2 beyond it on one side at least, so two texts that share such
-    a stretch agree on the run with so much text before it, or behind it; a run that has not so much text there has no key there.
-    """
-    codes, starts, ends = v.codes_of(texts)
-    hashed = v.RangeHash(codes)
-    text, begin, stop, _ = runs_of(texts)
-    begin, stop = begin + starts[text], stop + starts[text]
-    more = np.maximum(span - (stop - begin) + 1, 0) // 2
-    sides = []
-    for x, y in ((begin - more, stop), (begin, stop + more)):
-        ok = (x >= starts[text]) & (y <= ends[text])
-        sides.append((hashed(x[ok], y[ok]), x[ok], y[ok], text[ok]))
-    return hashed, starts, ends, sides
-
-
-def _keys(span: int):
-    """(class, text) to the distinct (h, class): hashes of each run with half of the rest of the span on one side."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for ids, texts in v.chunks([b.column(0).to_pylist(), b.column(1).to_pylist()], 1):
-                ids = np.asarray(ids, np.int64)
-                both = [np.unique(np.stack([h.view(np.int64), ids[text]]), axis=1) for h, _, _, text in _extended(texts, span)[3]]
-                h, c = np.concatenate([x[0] for x in both]), np.concatenate([x[1] for x in both])
-                yield pa.record_batch([pa.array(h), pa.array(c)], names=["h", "c"])
-
-    return run
-
-
-def _windows(span: int, hot: np.ndarray):
-    """(class, text) to the distinct (h, class): hashes of every stretch of span characters that holds a key of hot (sorted hashes)."""
+def _windows(span: int):
+    """(class, text, places of runs) to (h, c, start): hash and start of every stretch of span characters that holds one of the runs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for ids, texts in v.chunks([b.column(0).to_pylist(), b.column(1).to_pylist()], 1):
-                ids = np.asarray(ids, np.int64)
-                hashed, starts, ends, sides = _extended(texts, span)
-                found = []
-                for h, begin, stop, text in sides:
-                    at = np.minimum(np.searchsorted(hot, h), len(hot) - 1)
-                    mine = hot[at] == h
-                    begin, stop, text = begin[mine], stop[mine], text[mine]
-                    low, high = np.maximum(starts[text], stop - span), np.minimum(begin, ends[text] - span)
-                    n = np.maximum(high - low + 1, 0)
-                    first = np.repeat(low - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
-                    found.append(np.stack([hashed(first, first + span).view(np.int64), ids[np.repeat(text, n)]]))
-                both = np.unique(np.concatenate(found, axis=1), axis=1)
-                yield pa.record_batch([pa.array(both[0]), pa.array(both[1])], names=["h", "c"])
-
-    return run
-
-
-def _met(keys: DataFrame) -> DataFrame:
-    """(ca, cb): classes with an equal key."""
-    return keys.alias("x").join(keys.alias("y"), "h").where("x.c < y.c").select(F.col("x.c").alias("ca"), F.col("y.c").alias("cb"))
-
-
-def _candidates(texts: DataFrame, span: int, hot: int, known: int) -> DataFrame:
-    """(ca, cb) of classes that may share a stretch. Keys of more than hot classes, such as those of a standing remark that is a little
-    shorter than the span, would pair everything with everything: they are replaced by the whole stretches around them, so that only
-    classes that do share one meet."""
-    # the filter is what the join would add on its side alone: with it on both, the shuffled keys are reused
-    keys = texts.mapInArrow(_keys(span), "h long, c long").where("h is not null and c is not null").repartition("h").dropDuplicates(["h", "c"])
-    few = keys.withColumn("n", F.count("*").over(Window.partitionBy("h"))).where(F.col("n").between(2, hot)).select("h", "c")
-    many = keys.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > hot)
-    found = cut(_met(few).distinct().unionByName(many.select(F.col("h").alias("ca"), F.lit(None).cast("long").alias("cb"))))
-    pairs, hots = found.where("cb is not null"), found.where("cb is null").select(F.col("ca").alias("h"))
-    n = hots.count()
-    parts = -(-n // known)
-    for i in range(parts):  # so many hot keys at a time as are sent to every task
-        some = np.sort(np.asarray([r.h for r in hots.where(F.pmod(F.xxhash64("h"), F.lit(parts)) == i).collect()], np.int64).view(np.uint64))
-        if len(some):
-            around = texts.mapInArrow(_windows(span, some), "h long, c long").repartition("h").dropDuplicates(["h", "c"])
-            pairs = pairs.unionByName(_met(around))
-    return cut(pairs.distinct()) if parts else pairs
-
-
-def _verify(span: int):
-    """(a, b, text_a, text_b) to the pairs with a common stretch of span characters."""
-
-    def windows(t: str) -> tuple[np.ndarray, np.ndarray]:
-        codes, _, _ = v.codes_of([t])
-        at = np.arange(len(codes) - span + 1)
-        return v.RangeHash(codes)(at, at + span), codes
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b, x, y = (c.to_pylist() for c in batch.columns)
-            found = []
-            for i in range(len(a)):
-                if len(x[i]) < span or len(y[i]) < span:
-                    continue
-                (h, p), (k, q) = windows(x[i]), windows(y[i])
-                _, at, to = np.intersect1d(h, k, return_indices=True)
-                if any(np.array_equal(p[m : m + span], q[n : n + span]) for m, n in zip(at, to, strict=True)):
-                    found.append(i)
-            yield pa.record_batch([pa.array([a[i] for i in found], pa.int64()), pa.array([b[i] for i in found], pa.int64())], names=["ca", "cb"])
+            for ids, texts, places in v.chunks([c.to_pylist() for c in b.columns], 1):
+                codes, starts, ends = v.codes_of(texts)
+                text = np.repeat(np.arange(len(texts)), [len(x) for x in places])
+                at = np.fromiter((x for p in places for x in p), np.int64, len(text))
+                low = starts[text] + np.maximum((at & 0xFFFFFFFF) - span, 0)
+                high = np.minimum(starts[text] + (at >> 32), ends[text] - span)
+                ok = low <= high
+                turn = np.zeros(len(codes) + 2, np.int64)
+                np.add.at(turn, low[ok], 1)
+                np.add.at(turn, high[ok] + 1, -1)
+                first = np.flatnonzero(np.cumsum(turn) > 0)
+                text = np.searchsorted(starts, first, "right") - 1
+                h = v.RangeHash(codes)(first, first + span)
+                yield pa.record_batch([pa.array(h.view(np.int64)), pa.array(np.asarray(ids, np.int64)[text]), pa.array((first - starts[text]).astype(np.int32))], names=["h", "c", "start"])
 
     return run
 
 
-#: Classes under one key from which on whole stretches are compared, and keys of this kind that are sent to every task at a time.
-HOT = 64
-KNOWN_KEYS = 500_000
+def _held_by_many(rows: DataFrame, place: str) -> DataFrame:
+    """The rows (h, c, place) whose h more than one class holds. The hashes are counted before they meet the rows, so a hash that a third
+    of all texts hold is one row on its side of the join; the rows are shuffled once for both sides, for which each needs all columns."""
+    held = rows.where(F.col("h").isNotNull()).repartition("h")
+    many = held.groupBy("h").agg(F.min("c").alias("_a"), F.max("c").alias("_b"), F.count(place).alias("_n")).where("_a < _b and _n > 1").select("h")
+    return held.join(many.hint("shuffle_hash"), "h", "left_semi")
 
 
-def shared_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN, hot: int = HOT, known: int = KNOWN_KEYS) -> DataFrame:
-    """Pairs (doc_id_a < doc_id_b) of records whose texts have a verbatim stretch of span (300 or more) characters in common.
+def shared_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(members, texts, shared). members (id, c): the class of each record's text, named by a 64-bit hash of it; texts (c, text): those of
+    classes that hold a repeated run; shared (h, c, start): every stretch of span characters, by its hash, that more than one class holds.
 
-    Records with equal texts form one class (named by a 64-bit hash of the text), which takes part in the join once; its members are brought back
-    at the end, in classes of every size. Candidates are classes with an equal run that also agrees over half of the rest of
-    the span on one side, which keeps short standing remarks from pairing everything; each is verified once on the whole texts.
-    Null ids and texts and texts under span characters have no pairs; repeated ids are one record; empty tables give no rows.
+    Null ids and texts, and texts under span characters, are in none.
     """
     if span < SPAN:
         raise ValueError("runs are laid out for spans of 300 characters or more")
     d = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null and length(text) >= %d" % span)
     d = d.withColumn("c", F.xxhash64("text"))
     members = cut(d.select("id", "c").distinct())
-    pairs = _candidates(d.select("c", "text"), span, hot, known)
-    wanted = pairs.select(F.explode(F.array("ca", "cb")).alias("c")).distinct()
-    reps = members.groupBy("c").agg(F.min("id").alias("id")).join(wanted, "c")
-    texts = cut(d.select("id", "c", "text").join(small_side(cut(reps)), ["id", "c"], "left_semi").select("c", "text").dropDuplicates(["c"]))
-    got = pairs.join(texts.select(F.col("c").alias("ca"), F.col("text").alias("ta")), "ca").join(texts.select(F.col("c").alias("cb"), F.col("text").alias("tb")), "cb")
-    true = got.select("ca", "cb", "ta", "tb").mapInArrow(_verify(span), "ca long, cb long")
+    reps = members.groupBy("c").agg(F.min("id").alias("id"))
+    runs = _held_by_many(d.select("c", "text").mapInArrow(_runs, "h long, c long, at long"), "at")
+    places = cut(runs.groupBy("c").agg(F.collect_set("at").alias("places")))
+    wanted = small_side(cut(places.select("c").join(reps, "c")))
+    texts = cut(d.join(wanted, ["c", "id"], "left_semi").select("c", "text").dropDuplicates(["c"]))
+    around = texts.join(places, "c").select("c", "text", "places").mapInArrow(_windows(span), "h long, c long, start int")
+    return members, texts, cut(_held_by_many(around, "start"))
+
+
+def _links(texts: DataFrame, shared: DataFrame, span: int) -> DataFrame:
+    """(a, b): classes that hold a common stretch. Stretches of the same classes, such as those along one long passage, count once, and
+    are compared as texts, not by hash alone."""
+    once = shared.groupBy("h", "c").agg(F.min("start").alias("start"))
+    sets = once.groupBy("h").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("c")).alias("mixed"), F.min("c").alias("least"), F.max("c").alias("most"))
+    chosen = sets.groupBy("n", "mixed", "least", "most").agg(F.min("h").alias("h")).select("h")
+    at = once.join(chosen, "h", "left_semi").groupBy("c").agg(F.collect_list("start").alias("starts"))
+    held = texts.join(at, "c").select("c", "text", F.explode("starts").alias("start")).select(F.sha2(F.substring("text", F.col("start") + 1, F.lit(span)), 256).alias("g"), F.col("c").alias("id"))
+    return pairs_within(held.distinct())
+
+
+def shared_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN) -> DataFrame:
+    """Pairs (doc_id_a < doc_id_b) of records whose texts have a verbatim stretch of span (300 or more) characters in common.
+
+    Records with equal texts form one class, which takes part in the join once; its members are brought back at the end, in classes of
+    every size. Null ids and texts and texts under span characters have no pairs; repeated ids are one record; empty tables give no rows.
+    """
+    members, texts, shared = shared_spans(docs, id_col, text_col, span)
     named = cut(members.join(members.groupBy("c").agg(F.min("id").alias("rep")), "c"))
     names = named.select("c", "rep").distinct()
-    links = true.join(names.select(F.col("c").alias("ca"), F.col("rep").alias("a")), "ca").join(names.select(F.col("c").alias("cb"), F.col("rep").alias("b")), "cb").select("a", "b")
+    name = lambda x: names.select(F.col("c").alias(x), F.col("rep").alias(f"r{x}"))
+    links = _links(texts, shared, span).join(name("a"), "a").join(name("b"), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
     return expand(named.select("id", "rep"), links).select(F.col("a").alias("doc_id_a"), F.col("b").alias("doc_id_b"))
 
 
-def _union_length(spans: str) -> F.Column:
-    """Characters covered by an array of (start, stop), overlaps counted once."""
-    return F.expr(f"aggregate(array_sort({spans}), named_struct('n', 0L, 'to', 0), (s, x) -> named_struct('n', s.n + greatest(0, x.stop - greatest(x.start, s.to)), 'to', greatest(s.to, x.stop)), s -> s.n)")
+def _covered(starts: str, span: int) -> F.Column:
+    """Characters covered by stretches of span characters at an array of starts, overlaps counted once."""
+    return F.expr(f"aggregate(array_sort({starts}), named_struct('n', 0L, 'to', 0), (s, x) -> named_struct('n', s.n + {span} - greatest(0, s.to - x), 'to', x + {span}), s -> s.n)")
 
 
-def shared_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each record: doc_id, n_chars, shared_chars (in any run that stands in another record), removed_chars (in a run of
-    which this record is not the first holder), shared_part.
+def shared_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN) -> DataFrame:
+    """One row for each record: doc_id, n_chars, shared_chars (in any stretch of span characters that stands in another record, too),
+    removed_chars (in a stretch of which this record is not the first holder, by id), shared_part.
 
-    Runs within one record do not count as shared. A null text has 0 characters and a null shared_part. A text under 96 characters has
-    no run. Repeated ids are one record each by id, with spans united.
+    Stretches that recur within one record alone do not count. A null text has 0 characters and a null shared_part. Repeated ids are one
+    record each by id, with their longest text; null ids are one record with nothing shared.
     """
-    d = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    runs = d.where("id is not null and text is not null").mapInArrow(_runs, "h long, id long, start int, stop int")
-    repeated = runs.groupBy("h").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("h", "first")
-    hit = runs.join(repeated, "h").groupBy("id").agg(
-        F.collect_set(F.struct("start", "stop")).alias("s"),
-        F.collect_set(F.when(F.col("id") > F.col("first"), F.struct("start", "stop"))).alias("r"),
-    )
-    out = d.groupBy(F.col("id").alias(id_col)).agg(F.max(F.coalesce(F.length("text"), F.lit(0))).alias("n_chars"))
-    hit = hit.select(F.col("id").alias(id_col), _union_length("s").alias("shared_chars"), _union_length("r").alias("removed_chars"))
+    members, _, shared = shared_spans(docs, id_col, text_col, span)
+    classes = cut(members.groupBy("c").agg(F.min("id").alias("least"), F.max("id").alias("most")))
+    held = shared.join(classes.select("c", "least"), "c")
+    first = held.groupBy("h").agg(F.min("least").alias("first"))
+    cover = held.join(first, "h").groupBy("c").agg(F.collect_set("start").alias("s"), F.collect_set(F.when(F.col("first") < F.col("least"), F.col("start"))).alias("r"))
+    cover = classes.join(cover.select("c", _covered("s", span).alias("s"), _covered("r", span).alias("r")), "c", "left")
+    d = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.length(text_col), F.lit(0)).alias("n"))
+    hit = members.join(cover, "c").join(d.groupBy("id").agg(F.max("n").alias("n")), "id")
+    # of a class of copies every member shares all it has, and all but the first are removed whole
+    copies, other = F.col("least") < F.col("most"), F.col("id") > F.col("least")
+    hit = hit.groupBy("id").agg(F.max(F.when(copies, F.col("n")).otherwise(F.col("s"))).alias("shared_chars"), F.max(F.when(other, F.col("n")).otherwise(F.col("r"))).alias("removed_chars"))
+    out = d.groupBy("id").agg(F.max("n").alias("n_chars")).join(hit, "id", "left")
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
-    out = out.join(hit, id_col, "left").select(id_col, "n_chars", zero("shared_chars"), zero("removed_chars"))
+    out = out.select(F.col("id").alias(id_col), "n_chars", zero("shared_chars"), zero("removed_chars"))
     return out.withColumn("shared_part", F.when(F.col("n_chars") > 0, F.round(F.col("shared_chars") / F.col("n_chars"), 6)))

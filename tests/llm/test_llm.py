@@ -111,16 +111,6 @@ def test_a_shared_template_pairs_nothing(spark, monkeypatch):
     assert {tuple(r) for r in neardup.similar_pairs(seg_frame(spark, rows)).collect()} == close(rows)
 
 
-def test_large_classes_stand_by_their_smallest_id(spark):
-    from tessera.llm.classes import expand
-
-    members = spark.createDataFrame([(i, 0) for i in range(30)] + [(100, 100), (101, 100), (200, 200)], "id bigint, rep bigint")
-    links = spark.createDataFrame([(0, 100), (100, 200)], "a bigint, b bigint")
-    got = [tuple(r) for r in expand(members, links, 10).collect()]
-    assert sorted(got) == sorted([(0, i) for i in range(1, 30)] + [(0, 100), (0, 101), (100, 101), (100, 200), (101, 200)])
-    assert len(expand(members, links, 30).collect()) == 30 * 29 // 2 + 60 + 1 + 2
-
-
 def test_large_classes_pair_all_their_members(spark, monkeypatch):
     from tessera.llm import classes
 
@@ -423,8 +413,28 @@ def prose(rng, n):
     return "".join(rng.choice(["word ", "next. ", "a ", "long_identifier_here ", "x1, ", "end!\n", "b64QQzz", "\n"]) + str(rng.randint(0, 999)) + " " for _ in range(n))
 
 
-@pytest.mark.parametrize(("seed", "hot", "known"), [(0, 64, 100), (1, 64, 100), (2, 2, 10**6), (3, 2, 7), (4, 1, 10**6)])
-def test_shared_spans_match_brute_force(spark, seed, hot, known):
+def report_of(docs, n=300):
+    """doc_id to (shared_chars, removed_chars), by brute force."""
+    first = {}
+    for d, t in docs:
+        for k in range(len(t or "") - n + 1):
+            first.setdefault(t[k : k + n], set()).add(d)
+    out = {}
+    for d, t in docs:
+        both = [set(), set()]
+        for k in range(len(t or "") - n + 1):
+            held = first[t[k : k + n]]
+            for chars, hit in zip(both, (len(held) > 1, min(held) < d), strict=True):
+                chars.update(range(k, k + n) if hit else ())
+        out[d] = (len(both[0]), len(both[1]))
+    return out
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_shared_spans_match_brute_force(spark, monkeypatch, seed):
+    from tessera.llm import classes
+
+    monkeypatch.setattr(classes, "PART", [1024, 3][seed % 2])
     rng = random.Random(seed)
     pool = [prose(rng, 60) for _ in range(6)] + ["".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789abcdef") for _ in range(900))]
     docs = [(900, None), (901, "")]
@@ -435,8 +445,9 @@ def test_shared_spans_match_brute_force(spark, seed, hot, known):
         docs.append((d, prose(rng, rng.randint(0, 20)) + cut + prose(rng, rng.randint(0, 20))))
     docs += [(500, docs[5][1]), (501, "remark " * 10), (502, "remark " * 10), (503, "=" * 700), (504, "=" * 400)]
     df = spark.createDataFrame([(*d, 1) for d in docs], "doc_id bigint, text string, c int")
-    got = [tuple(r) for r in spans.shared_pairs(df, hot=hot, known=known).collect()]
+    got = [tuple(r) for r in spans.shared_pairs(df).collect()]
     assert len(got) == len(set(got)) and set(got) == shared(docs)
+    assert {r.doc_id: (r.shared_chars, r.removed_chars) for r in spans.shared_report(df).collect()} == report_of(docs)
 
 
 def test_shared_report(spark):
@@ -444,7 +455,7 @@ def test_shared_report(spark):
     a, b = prose(rng, 60), prose(rng, 60)
     df = spark.createDataFrame([(1, a + b), (2, a), (3, prose(rng, 50)), (4, None), (5, ""), (6, "tiny")], "doc_id bigint, text string")
     r = {x.doc_id: x for x in spans.shared_report(df).collect()}
-    assert len(r) == 6 and r[1].removed_chars == 0 and r[1].shared_chars >= len(a) - 200 and r[2].removed_chars == r[2].shared_chars > 0
+    assert len(r) == 6 and r[1].removed_chars == 0 and r[1].shared_chars == len(a) and r[2].removed_chars == r[2].shared_chars == len(a)
     assert r[3].shared_chars == 0 and r[4].n_chars == 0 and r[4].shared_part is None and r[5].shared_part is None and r[6].shared_part == 0
 
 
@@ -455,7 +466,10 @@ def test_shared_spans_with_a_hot_remark_and_of_nothing(spark):
     docs = [(i, f"{rng.random()}{remark}{rng.random()}" + prose(rng, 40)) for i in range(90)]
     df = spark.createDataFrame(docs, "doc_id bigint, text string")
     assert spans.shared_pairs(df).count() == len(shared(docs)) == 0
-    assert spans._candidates(df.select(F.xxhash64("text").alias("c"), "text"), 300, 64, 1000).count() < 90 * 89 / 8
+    assert spans.shared_spans(df)[2].count() == 0
+    hot = [(100 + i, f"{rng.random()}{remark}. And so on to the end." + prose(rng, 4)) for i in range(70)]
+    df2 = spark.createDataFrame(hot, "doc_id bigint, text string")
+    assert spans.shared_spans(df2)[2].count() >= 70 and {tuple(r) for r in spans.shared_pairs(df2).collect()} == shared(hot) and len(shared(hot)) == 70 * 69 // 2
     assert spans.shared_pairs(df.limit(0)).count() == 0
     assert spans.shared_report(df.limit(0)).count() == 0
 
