@@ -104,41 +104,45 @@ def _windows(span: int):
 
 def _held_by_many(rows: DataFrame, place: str) -> DataFrame:
     """The rows (h, c, place) whose h more than one class holds. The hashes are counted before they meet the rows, so a hash that a third
-    of all texts hold is one row on its side of the join; the rows are shuffled once for both sides, for which each needs all columns."""
+    of all texts hold is one row on its side of the join.
+
+    The rows are shuffled once for both sides: each side needs all columns, and a filter that Catalyst can neither move nor leave out keeps
+    the join from planning a shuffle of its own in place of the one that both sides name.
+    """
     held = rows.where(F.col("h").isNotNull()).repartition("h")
     many = held.groupBy("h").agg(F.min("c").alias("_a"), F.max("c").alias("_b"), F.count(place).alias("_n")).where("_a < _b and _n > 1").select("h")
-    return held.join(many.hint("shuffle_hash"), "h", "left_semi")
+    return held.where(F.monotonically_increasing_id() >= 0).join(many.hint("shuffle_hash"), "h", "left_semi")
 
 
-def shared_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(members, texts, shared). members (id, c): the class of each record's text, named by a 64-bit hash of it; texts (c, text): those of
-    classes that hold a repeated run; shared (h, c, start): every stretch of span characters, by its hash, that more than one class holds.
+def windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(members, texts, around). members (id, c): the class of each record's text, named by a 64-bit hash of it; texts (c, text, places):
+    those of classes that hold a repeated run, and where; around (h, c, start): every stretch of span characters around those runs, by its
+    hash, the shared ones among them.
 
-    Null ids and texts, and texts under span characters, are in none.
+    Null ids and texts, and texts under span characters, are in none; of rows with one id, one text counts.
     """
     if span < SPAN:
         raise ValueError("runs are laid out for spans of 300 characters or more")
     d = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null and length(text) >= %d" % span)
     d = d.withColumn("c", F.xxhash64("text"))
-    members = cut(d.select("id", "c").distinct())
-    reps = members.groupBy("c").agg(F.min("id").alias("id"))
+    members = cut(d.groupBy("id").agg(F.min("c").alias("c")))
     runs = _held_by_many(d.select("c", "text").mapInArrow(_runs, "h long, c long, at long"), "at")
-    places = cut(runs.groupBy("c").agg(F.collect_set("at").alias("places")))
-    wanted = small_side(cut(places.select("c").join(reps, "c")))
-    texts = cut(d.join(wanted, ["c", "id"], "left_semi").select("c", "text").dropDuplicates(["c"]))
-    around = texts.join(places, "c").select("c", "text", "places").mapInArrow(_windows(span), "h long, c long, start int")
-    return members, texts, cut(_held_by_many(around, "start"))
+    places = runs.groupBy("c").agg(F.collect_set("at").alias("places"))
+    wanted = cut(places.join(members.groupBy("c").agg(F.min("id").alias("id")), "c"))
+    ids = small_side(wanted.select("c", "id"))
+    texts = cut(d.join(ids, ["c", "id"], "left_semi").select("c", "text").dropDuplicates(["c"]).join(wanted.select("c", "places"), "c"))
+    return members, texts, texts.mapInArrow(_windows(span), "h long, c long, start int")
 
 
-def _links(texts: DataFrame, shared: DataFrame, span: int) -> DataFrame:
+def _links(texts: DataFrame, around: DataFrame, span: int) -> DataFrame:
     """(a, b): classes that hold a common stretch. Stretches of the same classes, such as those along one long passage, count once, and
-    are compared as texts, not by hash alone."""
-    once = shared.groupBy("h", "c").agg(F.min("start").alias("start"))
-    sets = once.groupBy("h").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("c")).alias("mixed"), F.min("c").alias("least"), F.max("c").alias("most"))
+    are compared as texts, not by hash alone. The stretches are shuffled once, by hash."""
+    once = around.where(F.col("h").isNotNull()).repartition("h").groupBy("h", "c").agg(F.min("start").alias("start"))
+    sets = once.groupBy("h").agg(F.count("start").alias("n"), F.bit_xor(F.xxhash64("c")).alias("mixed"), F.min("c").alias("least"), F.max("c").alias("most")).where("n > 1")
     chosen = sets.groupBy("n", "mixed", "least", "most").agg(F.min("h").alias("h")).select("h")
     at = once.join(chosen, "h", "left_semi").groupBy("c").agg(F.collect_list("start").alias("starts"))
-    held = texts.join(at, "c").select("c", "text", F.explode("starts").alias("start")).select(F.sha2(F.substring("text", F.col("start") + 1, F.lit(span)), 256).alias("g"), F.col("c").alias("id"))
-    return pairs_within(held.distinct())
+    held = texts.select("c", "text").join(at, "c").select("c", "text", F.explode("starts").alias("start"))
+    return pairs_within(held.select(F.sha2(F.substring("text", F.col("start") + 1, F.lit(span)), 256).alias("g"), F.col("c").alias("id")).distinct())
 
 
 def shared_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN) -> DataFrame:
@@ -147,12 +151,8 @@ def shared_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Records with equal texts form one class, which takes part in the join once; its members are brought back at the end, in classes of
     every size. Null ids and texts and texts under span characters have no pairs; repeated ids are one record; empty tables give no rows.
     """
-    members, texts, shared = shared_spans(docs, id_col, text_col, span)
-    named = cut(members.join(members.groupBy("c").agg(F.min("id").alias("rep")), "c"))
-    names = named.select("c", "rep").distinct()
-    name = lambda x: names.select(F.col("c").alias(x), F.col("rep").alias(f"r{x}"))
-    links = _links(texts, shared, span).join(name("a"), "a").join(name("b"), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
-    return expand(named.select("id", "rep"), links).select(F.col("a").alias("doc_id_a"), F.col("b").alias("doc_id_b"))
+    members, texts, around = windows(docs, id_col, text_col, span)
+    return expand(members.select("id", F.col("c").alias("rep")), _links(texts, around, span)).select(F.col("a").alias("doc_id_a"), F.col("b").alias("doc_id_b"))
 
 
 def _covered(starts: str, span: int) -> F.Column:
@@ -167,7 +167,8 @@ def shared_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Stretches that recur within one record alone do not count. A null text has 0 characters and a null shared_part. Repeated ids are one
     record each by id, with their longest text; null ids are one record with nothing shared.
     """
-    members, _, shared = shared_spans(docs, id_col, text_col, span)
+    members, _, around = windows(docs, id_col, text_col, span)
+    shared = cut(_held_by_many(around, "start"))
     classes = cut(members.groupBy("c").agg(F.min("id").alias("least"), F.max("id").alias("most")))
     held = shared.join(classes.select("c", "least"), "c")
     first = held.groupBy("h").agg(F.min("least").alias("first"))
