@@ -6,21 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.plans import q_metrics, q_reports, q_select, q_sessions, q_text, q_topics, q_transform
-from tessera.runtime import table
-from tessera.sources import drift
+from tessera.plans import q_drift, q_metrics, q_reports, q_select, q_sessions, q_text, q_topics, q_transform
 
 
-def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return drift.changes(table(spark, sf_dir, "session_files"), drift.ingest(table(spark, sf_dir, "session_lines")))
-
-
-def p4_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return drift.promote(drift.ingest(table(spark, sf_dir, "session_lines")).drop("_paths"))
-
-
-_PARTS = (q_text, q_select, q_metrics, q_topics, q_transform, q_sessions, q_reports)
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p4_found, p4_table)}
+_PARTS = (q_drift, q_text, q_select, q_metrics, q_topics, q_transform, q_sessions, q_reports)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 for _part in _PARTS:
     QUERIES.update(_part.QUERIES)

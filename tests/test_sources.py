@@ -85,15 +85,36 @@ def test_record_types_in_one_file_only_and_empty_tables(spark):
     assert changes(spark, [(1, "p", "2026-01-01")], {}) == set()
 
 
+def test_changes_are_read_from_the_rescue_column(spark):
+    f = spark.createDataFrame([(1, "p", "2026-01-01"), (2, "p", "2026-01-02")], "file_id bigint, project string, started_at string")
+    raw = [(0, 1, 0, json.dumps(rec(role="user", odd=1))), (1, 2, 0, json.dumps(rec(role="user", new=[1])))]
+    t = drift.ingest(spark.createDataFrame(raw, LINES))
+    got = lambda t: {(r.field_path, r.change) for r in drift.changes(f, t).collect()}
+    assert got(t) == {("payload.odd", "removed"), ("payload.new", "added")}
+    assert got(t.withColumn("_rescued", F.lit("{}"))) == set()
+    assert got(t.withColumn("role", F.when(F.col("file_id") == 1, F.col("role")))) == {("payload.odd", "removed"), ("payload.new", "added"), ("payload.role", "removed")}
+
+
 def test_ingest_rescues_and_promotes(spark):
-    raw = [json.dumps({"timestamp": "2026-01-01T00:00:00Z", "ordinal": "7", "type": "t", "payload": {"tool_name": "Read", "turn_id": "turn_1", "model": {"name": "m"}, "x": {"y": None, "z": [1]}, "deep": {}}}), "{broken", None]
+    record = {"timestamp": "2026-01-01T00:00:00Z", "ordinal": "7", "type": "t", "payload": {"role": "user", "tool_name": "Read", "turn_id": 1, "model": {"name": "m"}, "x": {"y": None, "z": [1]}, "deep": {}}}
+    raw = [json.dumps(record), "{broken", None, "[" * 3000, '{"type": "\\ud800", "\\ud800": 1}', '{"type": 5, "ordinal": 99999999999999999999, "payload": "p"}']
     t = drift.ingest(spark.createDataFrame([(i, 1, i, r) for i, r in enumerate(raw)], LINES))
-    a, b, c = t.orderBy("line_id").collect()
-    assert a.ordinal == 7 and a.turn_id is None and a.name is None
-    assert json.loads(a._rescued) == {"payload.tool_name": "Read", "payload.turn_id": "turn_1", "payload.model.name": "m", "payload.x.z": [1], "payload.deep": {}}
-    assert b.rec_type is None and b._rescued is None and c._rescued is None
-    p = drift.promote(t).orderBy("line_id").first()
-    assert p.name == "Read" and p.model == "m" and json.loads(p._rescued) == {"payload.turn_id": "turn_1", "payload.x.z": [1], "payload.deep": {}}
+    a, b, c, d, e, f = t.orderBy("line_id").collect()
+    assert a.ordinal is None and a.turn_id is None and a.name is None and a.role == "user" and a.timestamp is not None
+    assert json.loads(a._rescued) == {"ordinal": "7", "payload": {"tool_name": "Read", "turn_id": 1, "model": {"name": "m"}, "x": {"y": None, "z": [1]}, "deep": {}}}
+    assert b.rec_type is None and b._rescued is None and c._rescued is None and d._rescued is None
+    assert e.type is None and json.loads(e._rescued) == {"type": "\ud800", "\ud800": 1}
+    assert f.rec_type == "5" and json.loads(f._rescued) == {"type": 5, "ordinal": 99999999999999999999, "payload": "p"}
+    assert drift.profile(t).count() > 0
+    approved = (drift.Field("ordinal", "bigint", ("ordinal",)), drift.Field("name", "string", ("payload.tool_name",)), drift.Field("turn_id", "string", ("payload.turn_id",)), drift.Field("model", "string", ("payload.model.name", "payload.model")))
+    p = drift.promote(t, approved).orderBy("line_id").first()
+    assert p.ordinal == 7 and p.name == "Read" and p.turn_id == "1" and p.model == "m" and json.loads(p._rescued) == {"payload": {"x": {"y": None, "z": [1]}, "deep": {}}}
+
+
+def test_approvals_follow_renames(spark):
+    report = spark.createDataFrame([("payload.name", "renamed", "payload.n2"), ("payload.n2", "renamed", "payload.n3"), ("payload.n3", "renamed", "payload.name"), ("payload.zzz", "renamed", "payload.y")], "field_path string, change string, new_path string")
+    by = {f.name: f.paths for f in drift.approvals(report)}
+    assert by["name"] == ("payload.name", "payload.n2", "payload.n3") and by["cwd"] == ("payload.cwd",)
 
 
 def test_records_rules(spark):
