@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as tx
 
+# fixed value
 ELISION = "… ({n} lines elided)"
 _NUMBER = re.compile(tx.NUMBERED)
 _TOKEN = re.compile(r"\w+|[^\w\s]")

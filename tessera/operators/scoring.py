@@ -1,7 +1,7 @@
 """Scores of segments: tf-idf and other baselines, normalisation within kinds, and the spectral family on embeddings.
 
-tf-idf, ranks and z-scores are plain aggregations. The spectral scores need one matrix for each conversation; conversations of more than
-MATRIX_ROWS segments are scored from their d x d Gram matrix, which is summed in the cluster, so that no task holds a whole one.
+tf-idf, ranks and z-scores are plain aggregations. The spectral scores need only a d x d Gram matrix of each conversation, which is summed
+in the cluster, so that no task holds a whole conversation.
 """
 
 from __future__ import annotations
@@ -13,6 +13,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
+
+from tessera.functions import vectext as v
+from tessera.runtime import cut
 
 DIM = 64
 
@@ -37,11 +41,18 @@ def term_counts(segments: DataFrame, pattern: str = TFIDF_TOKEN) -> DataFrame:
     return t.groupBy("conv_id", "seg_id", "term").agg(F.count("*").alias("tf"))
 
 
+def term_hashes(pattern: str = TFIDF_TOKEN) -> Column:
+    """The lower-case terms of a segment's text, hashed, repeats kept; none for null."""
+    return F.transform(F.regexp_extract_all(F.lower("text"), F.lit(pattern), F.lit(0)), lambda t: F.xxhash64(t))
+
+
 def tfidf(segments: DataFrame, pattern: str = TFIDF_TOKEN, mean: bool = True) -> DataFrame:
     """segments with score: the mean (or sum) of a segment's weights, with sublinear term and smoothed document frequency within its
-    conversation and unit length; 0 for a segment without terms. Rounded to 9 places, so that equal scores tie on any partitioning."""
+    conversation and unit length; 0 for a segment without terms. Rounded to 9 places, so that equal scores tie on any partitioning.
+
+    Terms are compared by their 64-bit hashes; segments may have them as terms (term_hashes) in place of texts."""
     # one shuffle, by conversation and term, serves the counts within segments and the document frequencies alike
-    t = segments.select("conv_id", "seg_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(pattern), F.lit(0))).alias("term"))
+    t = segments.select("conv_id", "seg_id", F.explode(F.col("terms") if "terms" in segments.columns else term_hashes(pattern)).alias("term"))
     tf = t.repartition("conv_id", "term").groupBy("conv_id", "seg_id", "term").agg(F.count("*").alias("tf"))
     df = F.count("*").over(Window.partitionBy("conv_id", "term"))
     n = segments.groupBy("conv_id").agg(F.count("*").alias("n"))
@@ -71,29 +82,51 @@ def kind_norm(scored: DataFrame, norm: str, min_segments: int = 5) -> DataFrame:
     return scored.withColumn("score", F.when(many, within("conv_id", "kind")).otherwise(within("conv_id")))
 
 
-def embed(segments: DataFrame, seed: str = "select", dim: int = DIM) -> DataFrame:
-    """segments with vector: hashed three-letter groups and words under random signs of the whole text, of unit length.
-
-    A stand-in for an embedding model; use different seeds to select and to score.
+def vectors_of(texts: list[str], seed: str, dim: int = DIM) -> np.ndarray:
+    """A row of unit length for each text: its words and their groups of three letters, in lower case, hashed to places under random
+    signs. Hashes are those of ranges of one array of code points, so nothing runs per word."""
+    codes, starts, ends = v.codes_of([t.lower() for t in texts])
+    h = v.RangeHash(codes)
+    gap = np.ones(len(codes) + 2, bool)
+    gap[1:-1] = _GAPS[np.minimum(codes, len(_GAPS) - 1)]
+    at = np.flatnonzero(gap[1:] != gap[:-1])
+    first, last = at[::2], at[1::2]
+    inside = ~gap[1:-1]
+    three = np.flatnonzero(inside[:-2] & inside[1:-1] & inside[2:]) if len(codes) > 2 else np.zeros(0, np.int64)
+    salt = np.uint64(int.from_bytes(hashlib.blake2b(seed.encode(), digest_size=8).digest(), "little"))
+    out = np.zeros(len(texts) * dim)
+    for begin, end in ((first, last), (three, three + 3)):
+        g = v.mix(h(begin, end) ^ salt)
+        place = (np.searchsorted(starts, begin, "right") - 1) * dim + (g % np.uint64(dim)).astype(np.int64)
+        out += np.bincount(place, np.where(g >> np.uint64(63), 1.0, -1.0), len(out))
+    rows = out.reshape(len(texts), dim)
+    norm = np.linalg.norm(rows, axis=1, keepdims=True)
+    return np.divide(rows, norm, out=rows, where=norm > 0)
+
+
+#: White space, as code points.
+_GAPS = np.fromiter((chr(i).isspace() for i in range(0x3002)), bool, 0x3002)
+
+
+def embed(segments: DataFrame, seed: str = "select", dim: int = DIM, keep_text: bool = True) -> DataFrame:
+    """segments with vector: hashed three-letter groups and words under random signs of the whole text, of unit length; of a text without
+    words, zeros. Without keep_text the text ends here, so that what follows moves vectors only.
+
+    A stand-in for an embedding model; use different seeds to select and to score. All columns pass through the one Arrow pass.
     """
-
-    def one(text: str) -> list[float]:
-        v = np.zeros(dim)
-        low = (text or "").lower()
-        for w in low.split():
-            for g in (w, *(w[i : i + 3] for i in range(len(w) - 2))):
-                h = int.from_bytes(hashlib.blake2b(g.encode("utf-8", "surrogatepass"), key=seed.encode(), digest_size=8).digest(), "little")
-                v[h % dim] += 1.0 if h >> 63 else -1.0
-        n = float(np.linalg.norm(v))
-        return (v / n if n else v).tolist()
+    names = [c for c in segments.columns if c not in ("text", "vector")]
+    kept = [*names, "text"] if keep_text else names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.record_batch([b.column(0), b.column(1), pa.array([one(t) for t in b.column(2).to_pylist()], pa.list_(pa.float64()))], names=["conv_id", "seg_id", "vector"])
+            texts = ["" if t is None else t for t in b.column(len(names)).to_pylist()]
+            rows = [vectors_of(part, seed, dim) for (part,) in v.chunks([texts], 0)]
+            flat = np.concatenate(rows).ravel() if rows else np.zeros(0)
+            vector = pa.ListArray.from_arrays(np.arange(len(texts) + 1, dtype=np.int32) * dim, pa.array(flat))
+            yield pa.record_batch([*(b.column(i) for i in range(len(kept))), vector], names=[*kept, "vector"])
 
-    types = dict(segments.dtypes)
-    v = segments.select("conv_id", "seg_id", "text").mapInArrow(run, f"conv_id {types['conv_id']}, seg_id {types['seg_id']}, vector array<double>")
-    return segments.join(v, ["conv_id", "seg_id"])
+    schema = StructType([*(segments.schema[c] for c in kept), StructField("vector", ArrayType(DoubleType()))])
+    return segments.select(*names, "text").mapInArrow(run, schema)
 
 
 def rank_for_energy(s: np.ndarray, share: float) -> int:
@@ -129,93 +162,110 @@ def _matrix(vectors: pa.Array) -> np.ndarray:
     return vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(len(vectors), -1)
 
 
+def _lists(rows: list[np.ndarray]) -> pa.ListArray:
+    """Arrays of any lengths as a list column, without Python numbers between."""
+    flat = [np.asarray(r, np.float64).ravel() for r in rows]
+    return pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum([len(r) for r in flat]))).astype(np.int32), pa.array(np.concatenate(flat) if flat else np.zeros(0)))
+
+
 def _gram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(g, vector) to partial (g, n, total, gram) of this task."""
+    """(g, vector) to partial (g, n, total, root) of this task, where root'root is the Gram matrix of its rows of the group: the rows
+    themselves while they are few, else as many as the vectors are long. Groups are sent on before they fill the task's memory."""
     sums: dict = {}
+    kind, held = None, 0
+
+    def made() -> pa.RecordBatch:
+        roots = [np.concatenate(r) for _, _, r in sums.values()]
+        roots = [np.linalg.qr(r, "r") if len(r) > r.shape[1] else r for r in roots]
+        return pa.record_batch([pa.array(list(sums), kind), pa.array([x[0] for x in sums.values()], pa.int64()), _lists([x[1] for x in sums.values()]), _lists(roots)], names=["g", "n", "total", "root"])
+
     for b in batches:
-        keys = b.column(0).to_pylist()
-        x = _matrix(b.column(1))
-        if not len(x):
+        if not b.num_rows:
             continue
-        keys = [tuple(k.values()) if isinstance(k, dict) else k for k in keys]
-        order = sorted(range(len(keys)), key=lambda i: keys[i])
-        start = 0
-        for i in range(1, len(order) + 1):
-            if i == len(order) or keys[order[i]] != keys[order[start]]:
-                rows = x[order[start:i]]
-                n, t, g = sums.get(keys[order[start]], (0, 0.0, 0.0))
-                sums[keys[order[start]]] = (n + len(rows), t + rows.sum(0), g + rows.T @ rows)
-                start = i
-        if len(sums) > 2000:
-            yield _sums(sums, b.schema.field(0).type)
-            sums = {}
+        kind = b.schema.field(0).type
+        keys, x = b.column(0).dictionary_encode(), _matrix(b.column(1))
+        code = keys.indices.to_numpy(zero_copy_only=False)
+        order = np.argsort(code, kind="stable")
+        for part in np.split(order, np.flatnonzero(np.diff(code[order])) + 1):
+            rows = x[part]
+            n, t, r = sums.get(k := keys.dictionary[code[part[0]]].as_py(), (0, 0.0, []))
+            r.append(rows)
+            if sum(map(len, r)) > 4 * x.shape[1]:
+                r = [np.linalg.qr(np.concatenate(r), "r")]
+            sums[k] = (n + len(rows), t + rows.sum(0), r)
+        held += len(x)
+        if held > 20_000 and len(sums) > 500:
+            yield made()
+            sums, held = {}, 0
     if sums:
-        yield _sums(sums, b.schema.field(0).type)
-
-
-def _sums(sums: dict, kind: pa.DataType) -> pa.RecordBatch:
-    return pa.record_batch(
-        [pa.array(list(sums), kind), pa.array([s[0] for s in sums.values()], pa.int64()), pa.array([s[1].tolist() for s in sums.values()], pa.list_(pa.float64())), pa.array([s[2].ravel().tolist() for s in sums.values()], pa.list_(pa.float64()))],
-        names=["g", "n", "total", "gram"],
-    )
-
+        yield made()
 
-def spectral(segments: DataFrame, energy: float = 0.95, drop_top: int = 0, ridge: float | None = None, group: str = "conv_id") -> DataFrame:
-    """segments (with vector) with score: leverage of each row in the centred matrix of its group, within the directions that carry
-    ``energy``, or ridge leverage. A group of one scores 1.
 
-    Only Gram matrices are shuffled and scored (d x d for each group); rows meet them in a join, so groups may be of any size.
-    """
+def solved(segments: DataFrame, energy: float = 0.95, drop_top: int = 0, ridge: float | None = None, group: str = "conv_id") -> DataFrame:
+    """(g, n, mean, w): of each group the number of rows and what spectral_from_gram gives, w by rows. Rows are reduced to what their Gram
+    matrix needs within tasks before they are shuffled."""
     types = dict(segments.dtypes)
-    part = segments.select(F.col(group).alias("g"), "vector").mapInArrow(_gram, f"g {types[group]}, n long, total array<double>, gram array<double>")
+    part = segments.select(F.col(group).alias("g"), "vector").mapInArrow(_gram, f"g {types[group]}, n long, total array<double>, root array<double>")
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict = {}
         kind = None
         for b in batches:
             kind = b.schema.field(0).type
-            for g, n, t, m in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for i, (g, n) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)):
+                t = b.column(2)[i].values.to_numpy()
+                r = b.column(3)[i].values.to_numpy().reshape(-1, len(t))
                 n0, t0, m0 = held.get(g, (0, 0.0, 0.0))
-                held[g] = (n0 + n, t0 + np.asarray(t), m0 + np.asarray(m))
-        if held:
-            rows = []
-            for g, (n, t, m) in held.items():
-                mean, w = spectral_from_gram(n, t, m.reshape(len(t), len(t)), energy, drop_top, ridge)
-                rows.append((g, n, mean.tolist(), w.T.ravel().tolist()))
-            kinds = (kind, pa.int64(), pa.list_(pa.float64()), pa.list_(pa.float64()))
-            yield pa.record_batch([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["g", "n", "mean", "w"])
+                held[g] = (n0 + n, t0 + t, m0 + r.T @ r)
+        done = list(held.items())
+        for at in range(0, len(done), 200):
+            some = [(g, n, *spectral_from_gram(n, t, m, energy, drop_top, ridge)) for g, (n, t, m) in done[at : at + 200]]
+            yield pa.record_batch([pa.array([x[0] for x in some], kind), pa.array([x[1] for x in some], pa.int64()), _lists([x[2] for x in some]), _lists([x[3].T for x in some])], names=["g", "n", "mean", "w"])
+
+    return part.repartition("g").mapInArrow(solve, f"g {types[group]}, n long, mean array<double>, w array<double>")
 
-    solved = part.repartition("g").mapInArrow(solve, f"g {types[group]}, n long, mean array<double>, w array<double>")
 
+def _beside(segments: DataFrame, solution: DataFrame, group: str, fn, out: str) -> DataFrame:
+    """segments without vector and with column out: fn(n, mean, w, rows) of the rows of each group, which are streamed behind the group's
+    solution, so that groups may be of any size and rows meet nothing in a join."""
+    rest = [c for c in segments.columns if c not in ("vector", out)]
+    held = StructType([segments.schema[c] for c in rest])
     none = lambda t: F.lit(None).cast(t)
-    heads = solved.select("g", F.lit(0).alias("part"), none(types["seg_id"]).alias("seg_id"), F.col("mean").alias("x"), "n", "w")
-    rows = segments.select(F.col(group).alias("g"), F.lit(1).alias("part"), "seg_id", F.col("vector").cast("array<double>").alias("x"), none("bigint").alias("n"), none("array<double>").alias("w"))
+    heads = solution.select("g", F.lit(0).alias("part"), F.col("mean").alias("x"), "n", "w", none(held).alias("row"))
+    rows = segments.select(F.col(group).alias("g"), F.lit(1).alias("part"), F.col("vector").cast("array<double>").alias("x"), none("bigint").alias("n"), none("array<double>").alias("w"), F.struct(*rest).alias("row"))
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Each group's solution comes first, its rows behind it."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, mean, w = 0, None, None
         for b in batches:
-            gs, parts, ids, ns = (b.column(i).to_pylist() for i in (0, 1, 2, 4))
-            xs = _matrix(b.column(3))
-            out_g, out_id, out, at = [], [], [], 0
-            while at < len(gs):
-                if parts[at] == 0:
-                    n, mean = ns[at], xs[at]
-                    w = np.asarray(b.column(5)[at].as_py()).reshape(-1, len(mean))
+            parts, xs = b.column(1).to_numpy(), _matrix(b.column(2))
+            got = np.zeros(len(parts))
+            heads_at = np.flatnonzero(parts == 0)
+            for at, to in zip(np.concatenate(([0], heads_at)), np.concatenate((heads_at, [len(parts)])), strict=True):
+                if at < len(parts) and parts[at] == 0:
+                    n, mean = b.column(3)[at].as_py(), xs[at]
+                    w = b.column(4)[at].values.to_numpy().reshape(-1, len(mean))
                     at += 1
-                    continue
-                to = at
-                while to < len(gs) and parts[to] == 1:
-                    to += 1
-                y = (xs[at:to] - mean) @ w.T
-                out_g += gs[at:to]
-                out_id += ids[at:to]
-                out += [1.0] * (to - at) if n == 1 else (y * y).sum(1).tolist()
-                at = to
-            yield pa.record_batch([pa.array(out_g, b.column(0).type), pa.array(out_id, b.column(2).type), pa.array(out, pa.float64())], names=["g", "seg_id", "score"])
+                if at < to:
+                    got[at:to] = fn(n, mean, w, xs[at:to])
+            mine = pa.array(parts == 1)
+            yield pa.record_batch([b.column(5).filter(mine), pa.array(got).filter(mine)], names=["row", out])
+
+    streamed = heads.unionByName(rows).repartition("g").sortWithinPartitions("g", "part")
+    return streamed.mapInArrow(run, StructType([StructField("row", held), StructField(out, DoubleType())])).select("row.*", out)
 
-    got = heads.unionByName(rows).repartition("g").sortWithinPartitions("g", "part").mapInArrow(score, f"g {types[group]}, seg_id {types['seg_id']}, score double")
-    return segments.join(got.withColumnRenamed("g", group), [group, "seg_id"])
+
+def _leverage(n: int, mean: np.ndarray, w: np.ndarray, x: np.ndarray) -> np.ndarray:
+    y = (x - mean) @ w.T
+    return np.ones(len(x)) if n == 1 else (y * y).sum(1)
+
+
+def spectral(segments: DataFrame, energy: float = 0.95, drop_top: int = 0, ridge: float | None = None, group: str = "conv_id") -> DataFrame:
+    """segments with score in place of vector: leverage of each row in the centred matrix of its group, within the directions that carry
+    ``energy``, or ridge leverage. A group of one scores 1.
+
+    Only Gram matrices are summed and solved (d x d for each group), and the rows are shuffled once to meet the solution of their group.
+    """
+    return _beside(segments, solved(segments, energy, drop_top, ridge, group), group, _leverage, "score")
 
 
 def cur_order(z: np.ndarray, tol: float = 1e-9) -> tuple[list[int], np.ndarray]:
@@ -256,29 +306,24 @@ def cur_scores(x: np.ndarray, energy: float = 0.95, drop_top: int = 0) -> np.nda
     return out
 
 
-#: Most segments of a conversation whose matrix one task takes for cur_residual; larger conversations are scored by leverage.
-MATRIX_ROWS = 50_000
-
-
 def cur_residual(segments: DataFrame, energy: float = 0.95, drop_top: int = 0) -> DataFrame:
-    """segments (with vector) with score by cur_scores, a conversation of up to MATRIX_ROWS segments at a time; larger ones by leverage."""
+    """segments with score in place of vector, by cur_scores. Each step depends on all rows of the conversation, so a conversation of any
+    size is one run; a task holds its vectors (512 bytes a segment) and nothing else of it."""
     import pandas as pd
 
-    sizes = segments.groupBy("conv_id").agg(F.count("*").alias("_n"))
-    s = segments.join(sizes, "conv_id")
     types = dict(segments.dtypes)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("seg_id")
         return pdf[["conv_id", "seg_id"]].assign(score=cur_scores(np.stack(pdf["vector"].to_numpy()), energy, drop_top))
 
-    small = s.where(F.col("_n") <= MATRIX_ROWS).select("conv_id", "seg_id", "vector").groupBy("conv_id").applyInPandas(run, f"conv_id {types['conv_id']}, seg_id {types['seg_id']}, score double")
-    large = spectral(s.where(F.col("_n") > MATRIX_ROWS).drop("_n"), energy, drop_top).select("conv_id", "seg_id", "score")
-    return segments.join(small.unionByName(large), ["conv_id", "seg_id"])
+    got = segments.select("conv_id", "seg_id", "vector").groupBy("conv_id").applyInPandas(run, f"conv_id {types['conv_id']}, seg_id {types['seg_id']}, score double")
+    return segments.drop("vector").join(got, ["conv_id", "seg_id"])
 
 
 def kind_space(segments: DataFrame, min_segments: int = 5, **options) -> DataFrame:
     """Leverage within each kind's own rows, scaled to mean 1; kinds of few segments by the whole conversation's, scaled likewise."""
+    segments = cut(segments)
     shared = spectral(segments, **options)
     scaled = F.when(F.avg("score").over(Window.partitionBy("conv_id")) > 0, F.col("score") / F.avg("score").over(Window.partitionBy("conv_id"))).otherwise(0.0)
     shared = shared.select("conv_id", "seg_id", scaled.alias("shared"))
@@ -287,7 +332,7 @@ def kind_space(segments: DataFrame, min_segments: int = 5, **options) -> DataFra
     w = Window.partitionBy("ck")
     own = own.select("conv_id", "seg_id", F.when(F.avg("score").over(w) > 0, F.col("score") / F.avg("score").over(w)).otherwise(0.0).alias("own"), F.count("*").over(w).alias("n"))
     both = own.join(shared, ["conv_id", "seg_id"]).select("conv_id", "seg_id", F.when(F.col("n") >= min_segments, F.col("own")).otherwise(F.col("shared")).alias("score"))
-    return segments.join(both, ["conv_id", "seg_id"])
+    return segments.drop("vector").join(both, ["conv_id", "seg_id"])
 
 
 def centred(vectors: DataFrame, id_col: str, vector: str) -> DataFrame:

@@ -12,7 +12,7 @@ import zlib
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.text import plain_words
@@ -65,14 +65,20 @@ def pick_novel(scores: np.ndarray, costs: np.ndarray, words: list[np.ndarray], f
     return keep
 
 
+def word_hashes() -> Column:
+    """The plain words of a segment's text, hashed; none for null."""
+    return F.coalesce(F.transform(plain_words(F.col("text")), lambda w: F.xxhash64(w)), F.array().cast("array<bigint>"))
+
+
 def novelty_select(segments: DataFrame, budgets: DataFrame, alpha: float = 0.5, protect: str = "none", per_token: bool = False) -> DataFrame:
     """segments (with score) that a novelty-discounted fill keeps; alpha 0 is the plain greedy fill. Null scores count 0.
 
-    Words in more than half of the conversation's segments are boilerplate and do not count."""
+    Words in more than half of the conversation's segments are boilerplate and do not count. segments may have their word_hashes() as words
+    in place of texts."""
     from tessera.operators.budget import forced as must
 
-    hashed = F.coalesce(F.transform(plain_words(F.col("text")), lambda w: F.xxhash64(w)), F.array().cast("array<bigint>"))
-    s = _budgeted(segments.withColumn("forced", must(protect)), budgets).withColumn("words", hashed)
+    s = segments if "words" in segments.columns else segments.withColumn("words", word_hashes())
+    s = _budgeted(s.withColumn("forced", must(protect)), budgets)
     types = dict(segments.dtypes)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -103,6 +109,7 @@ class _Zlib:
 
 
 class _Lzma:
+    # fixed values: the settings of the codec
     _FILTERS = [{"id": lzma.FILTER_LZMA2, "preset": 1 | lzma.PRESET_EXTREME, "dict_size": 1 << 24}]
 
     def __init__(self) -> None:

@@ -66,19 +66,28 @@ def attribute_results(segments: DataFrame) -> DataFrame:
     return met.select("conv_id", "result_id", "call_id")
 
 
+def features(segments: DataFrame) -> DataFrame:
+    """segments with what supersession needs of their texts: op and path of calls, and copy_key, a digest that copies share; null for blank
+    and null texts. Worked out before any shuffle, these let the texts stay behind."""
+    bare = strip(F.col("text"))
+    return file_op(segments).withColumn("copy_key", F.when(bare != "", F.md5(bare)))
+
+
 def find_superseded(segments: DataFrame) -> DataFrame:
     """(conv_id, seg_id, reason, by_id): a write by the next write of its path, a read by the next use of its path and with it its results,
-    and a text by its last copy, even where that is superseded itself. Blank and null texts have no copies."""
-    ops = file_op(segments.where("kind = 'tool_use'")).where("op is not null").select("conv_id", "seg_id", "path", "op")
+    and a text by its last copy, even where that is superseded itself. Blank and null texts have no copies. segments may have features
+    in place of texts."""
+    segments = segments if "copy_key" in segments.columns else features(segments)
+    ops = segments.where("kind = 'tool_use' and op is not null").select("conv_id", "seg_id", "path", "op")
     w = Window.partitionBy("conv_id", "path").orderBy("seg_id")
     next_write = F.min(F.when(F.col("op") == "write", F.col("seg_id"))).over(w.rowsBetween(1, Window.unboundedFollowing))
     ops = ops.withColumn("by_id", F.when(F.col("op") == "write", next_write).otherwise(F.lead("seg_id").over(w))).where("by_id is not null")
     direct = ops.select("conv_id", "seg_id", F.when(F.col("op") == "write", "edit_superseded").otherwise("read_superseded").alias("reason"), "by_id", F.lit(1).alias("rank"))
     reads = direct.where("reason = 'read_superseded'").select("conv_id", F.col("seg_id").alias("call_id"), "by_id")
     dragged = attribute_results(segments).join(reads, ["conv_id", "call_id"]).select("conv_id", F.col("result_id").alias("seg_id"), F.lit("read_superseded").alias("reason"), "by_id", F.lit(2).alias("rank"))
-    texts = segments.select("conv_id", "seg_id", F.xxhash64(strip(F.col("text"))).alias("h"), F.md5(strip(F.col("text"))).alias("m"), (strip(F.col("text")) != "").alias("some")).where("some")
-    last = texts.groupBy("conv_id", "h", "m").agg(F.max("seg_id").alias("by_id"))
-    copies = texts.join(last, ["conv_id", "h", "m"]).where("seg_id < by_id").select("conv_id", "seg_id", F.lit("duplicate").alias("reason"), "by_id", F.lit(3).alias("rank"))
+    texts = segments.select("conv_id", "seg_id", "copy_key").where("copy_key is not null")
+    last = texts.groupBy("conv_id", "copy_key").agg(F.max("seg_id").alias("by_id"))
+    copies = texts.join(last, ["conv_id", "copy_key"]).where("seg_id < by_id").select("conv_id", "seg_id", F.lit("duplicate").alias("reason"), "by_id", F.lit(3).alias("rank"))
     first = direct.unionByName(dragged).unionByName(copies).groupBy("conv_id", "seg_id").agg(F.min(F.struct("rank", "by_id", "reason")).alias("s"))
     return first.select("conv_id", "seg_id", "s.reason", "s.by_id")
 

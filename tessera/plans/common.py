@@ -8,8 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.text import token_count
+from tessera.operators.scoring import embed, term_hashes
 from tessera.operators.segmenting import blocks, delivered_once, transcripts
-from tessera.runtime import table
+from tessera.operators.selecting import word_hashes
+from tessera.operators.supersede import features
+from tessera.runtime import spread, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -33,7 +36,19 @@ class Registry:
 
 def segs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The segments, each delivery once, with the fallback tokenizer's counts; texts are counted before they are shuffled."""
-    return delivered_once(table(spark, sf_dir, "segments").withColumn("tokens", token_count(F.col("text"))))
+    return delivered_once(spread(table(spark, sf_dir, "segments")).withColumn("tokens", token_count(F.col("text"))))
+
+
+def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with vectors, op, path, copy_key and words in place of texts, which are read once and never shuffled."""
+    raw = spread(table(spark, sf_dir, "segments").drop("atoms", "atom_source", "ingested_at")).withColumn("tokens", token_count(F.col("text"))).withColumn("words", word_hashes())
+    return delivered_once(embed(features(raw), keep_text=False))
+
+
+def terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The segments with op, path, copy_key and terms in place of texts."""
+    raw = spread(table(spark, sf_dir, "segments").drop("atoms", "atom_source", "ingested_at")).withColumn("tokens", token_count(F.col("text")))
+    return delivered_once(features(raw).withColumn("terms", term_hashes()).drop("text"))
 
 
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:

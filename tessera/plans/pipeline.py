@@ -77,7 +77,7 @@ def compress_segments(original: DataFrame, o: Options = Options()) -> tuple[Data
         pool = pool.withColumn("tokens", banding.tx.token_count(F.col("text")))
         spent = pathtable.rendered(table).select("conv_id", F.col("tokens").alias("table_tokens"))
         budgets = budgets.join(spent, "conv_id", "left").withColumn("budget", F.greatest(F.lit(0), F.col("budget") - F.coalesce("table_tokens", F.lit(0)))).drop("table_tokens")
-    scored = cut(scoring.spectral(cut(scoring.embed(pool))).drop("vector"))
+    scored = cut(scoring.spectral(cut(scoring.embed(pool))))
     plain = o.novelty is None or o.band is not None or o.paths is not None
     kept = cut(bud.select_with_budget(scored, budgets, o.protect) if plain else selecting.novelty_select(scored, budgets, o.novelty, o.protect, o.per_token))
     handed = pathtable.guaranteed(table) if table is not None else None
@@ -104,7 +104,7 @@ def _fill(score: Callable[[DataFrame], DataFrame], superseded: bool = False, ban
 
 
 def _leverage(pool: DataFrame) -> DataFrame:
-    return scoring.spectral(cut(scoring.embed(pool))).drop("vector")
+    return scoring.spectral(cut(scoring.embed(pool)))
 
 
 def _novelty(alpha: float, per_token: bool) -> Method:
@@ -121,13 +121,13 @@ METHODS: dict[str, Method] = {
     "recency": _fill(scoring.recency),
     "tfidf": _fill(scoring.tfidf),
     "leverage": _fill(_leverage),
-    "ridge": _fill(lambda s: scoring.spectral(cut(scoring.embed(s)), ridge=1.0).drop("vector")),
-    "cur_residual": _fill(lambda s: scoring.cur_residual(cut(scoring.embed(s))).drop("vector")),
+    "ridge": _fill(lambda s: scoring.spectral(cut(scoring.embed(s)), ridge=1.0)),
+    "cur_residual": _fill(lambda s: scoring.cur_residual(cut(scoring.embed(s)))),
     "supersede+tfidf": _fill(scoring.tfidf, True),
     "supersede+leverage": _fill(_leverage, True),
     "band+leverage": _fill(_leverage, band=0.33),
     "supersede+band+leverage": _fill(_leverage, True, 0.33),
-    "kind_space": _fill(lambda s: scoring.kind_space(cut(scoring.embed(s))).drop("vector"), True),
+    "kind_space": _fill(lambda s: scoring.kind_space(cut(scoring.embed(s))), True),
     "kind_rank": _normed("rank"),
     "kind_z": _normed("z"),
     "kind_budget": lambda original, budgets: bud.kind_budget_select(_leverage(sup.apply_supersession(original)), budgets),

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import budget as bud
 from tessera.operators import scoring, selecting, supersede
-from tessera.plans.common import SQL_SEG, SQL_SUPERSEDE, Registry, segs, sql_greedy
+from tessera.plans.common import SQL_SEG, SQL_SUPERSEDE, Registry, segs, sql_greedy, terms, vectors
 from tessera.runtime import cut
 
 query = Registry()
@@ -71,8 +71,8 @@ def greedy_recency_protected(spark, sf_dir):
 @query(f"WITH {SQL_SUPERSEDE}, {_TFIDF.format(src='final')} {sql_greedy('SELECT conv_id, seg_id, score, tokens, false AS forced FROM scored', _BUDGET.format(keep=0.33))}")
 def compress_tfidf(spark, sf_dir):
     """The flagship: supersession, tf-idf scores, and a greedy fill of a third of the original tokens."""
-    s = cut(segs(spark, sf_dir))
-    kept = scoring.tfidf(cut(supersede.apply_supersession(s)))
+    s = cut(terms(spark, sf_dir))
+    kept = scoring.tfidf(cut(supersede.apply_supersession(s).select("conv_id", "seg_id", "tokens", "terms")))
     return bud.greedy_fill(kept, bud.token_budget(s, 0.33))
 
 
@@ -133,32 +133,37 @@ def chunked_select(spark, sf_dir):
     return bud.chunked_select(cut(scoring.tfidf(cut(segs(spark, sf_dir)))), 0.33).select("conv_id", "seg_id")
 
 
+def _vectors(spark, sf_dir, *more):
+    """Keys and vectors only, written once."""
+    return cut(vectors(spark, sf_dir).select("conv_id", "seg_id", *more, "vector"))
+
+
 @query()
 def leverage_scores(spark, sf_dir):
-    return scoring.spectral(cut(scoring.embed(segs(spark, sf_dir)))).select("conv_id", "seg_id", F.round("score", 6).alias("score"))
+    return scoring.spectral(_vectors(spark, sf_dir)).select("conv_id", "seg_id", F.round("score", 6).alias("score"))
 
 
 @query()
 def ridge_scores(spark, sf_dir):
-    return scoring.spectral(cut(scoring.embed(segs(spark, sf_dir))), ridge=1.0).select("conv_id", "seg_id", F.round("score", 6).alias("score"))
+    return scoring.spectral(_vectors(spark, sf_dir), ridge=1.0).select("conv_id", "seg_id", F.round("score", 6).alias("score"))
 
 
 @query()
 def cur_residual_scores(spark, sf_dir):
-    return scoring.cur_residual(cut(scoring.embed(segs(spark, sf_dir)))).select("conv_id", "seg_id", F.round("score", 6).alias("score"))
+    return scoring.cur_residual(_vectors(spark, sf_dir)).select("conv_id", "seg_id", F.round("score", 6).alias("score"))
 
 
 @query()
 def kind_space_scores(spark, sf_dir):
-    return scoring.kind_space(cut(scoring.embed(segs(spark, sf_dir)))).select("conv_id", "seg_id", F.round("score", 6).alias("score"))
+    return scoring.kind_space(_vectors(spark, sf_dir, "kind")).select("conv_id", "seg_id", F.round("score", 6).alias("score"))
 
 
 @query()
 def novelty_select(spark, sf_dir):
     """The default selector: supersession, leverage, novelty per token."""
-    s = cut(segs(spark, sf_dir))
-    scored = cut(scoring.spectral(cut(scoring.embed(supersede.apply_supersession(s)))).drop("vector"))
-    return selecting.novelty_select(scored, bud.token_budget(s, 0.33), 0.5, per_token=True).select("conv_id", "seg_id")
+    s = cut(vectors(spark, sf_dir))
+    pool = supersede.apply_supersession(s).select("conv_id", "seg_id", "kind", "protected", "tokens", "words", "vector")
+    return selecting.novelty_select(scoring.spectral(cut(pool)), bud.token_budget(s, 0.33), 0.5, per_token=True).select("conv_id", "seg_id")
 
 
 @query()

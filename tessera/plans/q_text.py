@@ -15,6 +15,11 @@ QUERIES, SQL = query.queries, query.sql
 _W = r"[\p{L}\p{N}_]+"
 
 
+def _re2(pattern: str) -> str:
+    """A pattern as DuckDB reads it: word characters of any script, quotes doubled."""
+    return pattern.replace(r"\w", r"\p{L}\p{N}_").replace("'", "''")
+
+
 @query(f"SELECT seg_uid, {sql_tokens('text')} AS n_tokens FROM segments")
 def token_counts(spark, sf_dir):
     return table(spark, sf_dir, "segments").select("seg_uid", tx.token_count(F.col("text")).alias("n_tokens"))
@@ -48,7 +53,8 @@ def plain_words(spark, sf_dir):
     return table(spark, sf_dir, "segments").where("text is not null").select("seg_uid", F.array_sort(tx.plain_words(F.col("text"))).alias("words"))
 
 
-_FAMILIES = {n: p for n, p in at.NAMES}
+#: DuckDB knows word boundaries of ASCII only, so families are matched against whole runs of word characters.
+_FAMILIES = {n: f"^{p[2:-2]}$" for n, p in at.NAMES}
 
 
 @query(
@@ -62,7 +68,7 @@ def atoms_by_family(spark, sf_dir):
     return s.select("seg_uid", F.explode(each).alias("f")).select("seg_uid", "f.family", F.explode("f.atoms").alias("atom"))
 
 
-@query(r"""SELECT seg_uid, list_sort(list_distinct(regexp_extract_all(text, 'https?://[^\s)\]>"'']+'))) AS urls FROM segments WHERE text IS NOT NULL""")
+@query(f"SELECT seg_uid, list_sort(list_distinct(regexp_extract_all(text, '{_re2(at.URL)}'))) AS urls FROM segments WHERE text IS NOT NULL")
 def url_atoms(spark, sf_dir):
     return table(spark, sf_dir, "segments").where("text is not null").select("seg_uid", F.array_sort(F.array_distinct(at.all_of(F.col("text"), at.URL))).alias("urls"))
 
@@ -94,18 +100,15 @@ def line_repetition(spark, sf_dir):
     return table(spark, sf_dir, "segments").where("text is not null").select("seg_uid", F.round(tx.repetition(F.col("text")), 9).alias("repetition"))
 
 
-def _part(p: str) -> str:
-    return f"(CASE WHEN len(l) > 0 THEN len(list_filter(l, lambda x: regexp_matches(x, '{p}'))) / len(l) ELSE 0 END)"
+def _most(shape: str, mark: str) -> str:
+    return f"(len(l) > 0 AND len(list_filter(l, lambda x: regexp_matches(x, '{_re2(mark)}'))) / len(l) >= {tx.SHARES[shape]})"
 
 
-_SHAPE = rf"""CASE WHEN s = '' THEN 'empty' WHEN length(s) < 200 AND len(l) <= 2 THEN 'short' WHEN {_part(r"^\s*\d+(?:→|\t)")} >= 0.6 THEN 'numbered_file'
-    WHEN regexp_matches(text, '(?:^@@ .* @@|^diff --git |^(?:---|\+\+\+) )') OR ({_part(r"^\+[^+]")} >= 0.15 AND {_part("^-[^-]")} >= 0.15) THEN 'diff'
-    WHEN regexp_matches(text, '(?:^Traceback \(most recent call last\)|^\s+File \".*\", line \d+)') THEN 'traceback'
-    WHEN regexp_matches(text, '(?i)(?:\b\d+ (?:passed|failed|error|skipped)\b|={{3,}}.*(?:FAILURES|short test summary|ERRORS)|^(?:OK|FAILED)\b|\bTests? run:)') THEN 'test_output'
-    WHEN {_part(r"^[\p{L}\p{N}_./\\-]+:\d+:")} >= 0.5 THEN 'grep_hits'
-    WHEN (left(s, 1) IN ('{{', '[') AND right(s, 1) IN ('}}', ']')) OR {_part(r'^\s*["{}\[\],]')} >= 0.7 THEN 'json'
-    WHEN {_part(r"^[\p{L}\p{N}_./\\-]+$")} >= 0.7 THEN 'path_listing'
-    WHEN regexp_matches(substr(s, 1, 400), '(?i)\b(?:error|exception|fatal|cannot|not found|no such file)\b') THEN 'error_text' ELSE 'other' END"""
+_SHAPE = f"""CASE WHEN s = '' THEN 'empty' WHEN length(s) < {tx.SHORT_CHARS} AND len(l) <= {tx.SHORT_LINES} THEN 'short' WHEN {_most("numbered_file", tx.NUMBERED)} THEN 'numbered_file'
+    WHEN regexp_matches(text, '{_re2(tx.DIFF)}') OR ({_most("diff", tx.DIFF_LINES[0])} AND {_most("diff", tx.DIFF_LINES[1])}) THEN 'diff'
+    WHEN regexp_matches(text, '{_re2(tx.TRACEBACK)}') THEN 'traceback' WHEN regexp_matches(text, '(?i){_re2(tx.TEST_SUMMARY)}') THEN 'test_output' WHEN {_most("grep_hits", tx.GREP_HIT)} THEN 'grep_hits'
+    WHEN (left(s, 1) IN ('{{', '[') AND right(s, 1) IN ('}}', ']')) OR {_most("json", tx.JSON_LINE)} THEN 'json' WHEN {_most("path_listing", tx.LISTING)} THEN 'path_listing'
+    WHEN regexp_matches(substr(s, 1, {tx.ERROR_CHARS}), '(?i){_re2(tx.ERROR_MARK)}') THEN 'error_text' ELSE 'other' END"""
 
 
 @query(rf"SELECT seg_uid, {_SHAPE} AS shape FROM (SELECT seg_uid, text, {sql_strip('text')} AS s, {_LIVE} AS l FROM segments WHERE text IS NOT NULL)")

@@ -49,6 +49,13 @@ def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores where it lies in fewer partitions than there are cores, such as a small file of one row group; larger inputs are
+    left as they lie. For scans whose work per row is heavy."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def ranked(df: DataFrame, *order, name: str = "idx") -> DataFrame:
     """df with its rank from 0 in a total order, by a range sort and the sizes of its partitions; no task sees all rows.
 
