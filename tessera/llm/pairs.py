@@ -89,9 +89,10 @@ def with_defects(pairs: DataFrame, q: str = "q", a: str = "a", out: str = "defec
     - refusal: a sentence begins with a phrase that declines, in English, German, French or Spanish; quotations do not count.
     - copied_question: once or more the question, case, marks and a heading aside, or a beginning of it with five words or more, and nothing else.
     - other_language: function words of another language than the question's prevail, or letters of another script.
-    - truncated: a bracket, code fence, code span, quotation or tag is left open, or a sentence has no end; bare values and names are whole.
+    - truncated: a bracket, code fence, code span, quotation or tag is left open, or a sentence has no end; bare values and names, stand-ins and
+      whole copies of the question need none.
 
-    An empty answer has no other defect. A null question is no question: nothing is copied from it or in its language. Equal rows have
+    Rules are applied side by side, so an answer has every defect that holds. A null question is no question: nothing is copied from it or in its language. Equal rows have
     equal results; other columns pass through, and a column named out is replaced.
     """
     mine = "_d_"
@@ -152,12 +153,12 @@ def with_defects(pairs: DataFrame, q: str = "q", a: str = "a", out: str = "defec
     value = c("rest").rlike(r"(?U)^[`\"'*]*(?:[^\s,;:]+|[-+]?[\d.,:%]+ ?\p{L}*|[\d.,]+ \p{L}+)[`\"'*]*$")
     code = c("rest").rlike(r"```\s*$") | c("rest").rlike(r"(?s)^\{.*\}$|^\[.*\]$|^<(\w+).*>$")
     ended = F.regexp_replace(c("rest"), _TAIL, "").rlike(r"[.!?…。！？]$") | c("rest").rlike(r"[.!?…。！？]" + _TAIL)
-    truncated = (c("rest") != "") & (unclosed | ~(ended | value | code))
+    whole = empty | (copied & (c("twice") == ""))  # a stand-in or a whole question needs no end of its own
+    truncated = (c("rest") != "") & (unclosed | ~(ended | value | code | whole))
 
     stage(empty=empty, refusal=refusal, copied=copied, other=other, truncated=truncated)
-    rules = (("refusal", c("refusal")), ("copied_question", c("copied")), ("other_language", c("other")), ("truncated", c("truncated") & ~c("copied")))
-    found = F.array_compact(F.array(*[F.when(x, F.lit(n)) for n, x in rules]))
-    staged = staged.withColumn(out, F.when(c("empty"), F.array(F.lit("empty"))).otherwise(found))
+    rules = (("empty", c("empty")), ("refusal", c("refusal")), ("copied_question", c("copied")), ("other_language", c("other")), ("truncated", c("truncated")))
+    staged = staged.withColumn(out, F.array_compact(F.array(*[F.when(x, F.lit(n)) for n, x in rules])))
     return staged.drop(*[x for x in staged.columns if x.startswith(mine)])
 
 

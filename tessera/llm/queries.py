@@ -139,3 +139,12 @@ SQL["p9_shared"] = r"""
     SELECT doc_id, coalesce(length(text), 0)::INTEGER AS n_chars, coalesce(a.n, 0)::BIGINT AS shared_chars, coalesce(r.n, 0)::BIGINT AS removed_chars,
         CASE WHEN length(text) > 0 THEN round(coalesce(a.n, 0) / length(text), 6) END AS shared_part
     FROM documents LEFT JOIN a USING (doc_id) LEFT JOIN r USING (doc_id)"""
+SQL["p8_report"] = r"""
+    WITH i AS (SELECT item_id, list_transform(regexp_extract_all(lower(passage), '[\p{L}\p{N}]+'), lambda x: hash(x)) AS w FROM eval_items),
+    d AS (SELECT doc_id, list_transform(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'), lambda x: hash(x)) AS w FROM documents),
+    iw AS (SELECT item_id, k - 1 AS item_at, w[k:k + 12] AS x, unnest([0, 1, 2]) AS part FROM (SELECT item_id, w, unnest(range(1, len(w) - 11)) AS k FROM i)),
+    dw AS (SELECT doc_id, k - 1 AS doc_at, w[k:k + 12] AS y, unnest([0, 1, 2]) AS part FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS k FROM d)),
+    -- two substitutions leave one of three parts of a window untouched
+    hit AS (SELECT DISTINCT doc_id, item_id, doc_at, item_at, len(list_filter(list_zip(x, y), lambda z: z[1] = z[2])) AS same
+        FROM (SELECT *, hash(x[4 * part + 1:4 * part + 4]) AS h FROM iw) JOIN (SELECT *, hash(y[4 * part + 1:4 * part + 4]) AS h FROM dw) USING (part, h))
+    SELECT doc_id, item_id, count(*) AS n_windows, sum((same = 13)::INTEGER)::BIGINT AS n_exact, max(same)::INTEGER AS best_same, min(doc_at)::INTEGER AS first_word FROM hit WHERE same >= 11 GROUP BY doc_id, item_id"""

@@ -244,7 +244,8 @@ def test_oversized_frame(spark):
         ("Why was it cut?", "Because the line band was", ["truncated"]), ("Why was it cut?", "It was cut. See `vector_gly", ["truncated"]), ("Why was it cut?", "It was cut. The list (a_b", ["truncated"]), ("Why was it cut?", "```py\nx = 1", ["truncated"]), ("Why?", "Two things remain, and,", ["truncated"]),
         ("Why?", "I'm sorry, but I can't answer that.", ["refusal"]), ("Warum?", "Dabei möchte ich lieber nicht helfen.", ["refusal"]), ("Pourquoi ?", "Je préfère ne pas répondre.", ["refusal"]), ("¿Por qué?", "No me es posible ayudar con a_b.", ["refusal"]),
         ("Why was it moved?", "It can't, since a_b holds the lock and is not able to let go before step 3.", []), ("Why was it moved?", "It refused and said it could not open a/b.py while it was late.", []), ("Which error?", '"Sorry, a_b is not available", followed by KeyError.', []),
-        ("Why was x_y moved in the late run?", "why was x_y moved in the late run", ["copied_question"]), ("Why was x_y moved in the late run?", "Q: Why was x_y moved in the late run?", ["copied_question"]), ("Why was x_y moved?", "Why was x_y moved? Why was x_y moved?", ["copied_question"]), ("What is the limit of a_b?", "What is the limit of a_b: 85 tokens", []),
+        ("Why was it cut?", "I'm sorry, but I can't answer that, bec", ["refusal", "truncated"]), ("Which file holds the value that a_b reads?", "Das ist src/a.py, direkt neben der Datei für die", ["other_language", "truncated"]), ("What is it?", "[no answer", ["empty", "truncated"]),
+        ("Why was x_y moved in the late run?", "why was x_y moved in the late run", ["copied_question"]), ("Why was x_y moved in the late run?", "Why was x_y moved in the", ["copied_question", "truncated"]), ("Why was x_y moved in the late run?", "Q: Why was x_y moved in the late run?", ["copied_question"]), ("Why was x_y moved?", "Why was x_y moved? Why was x_y moved?", ["copied_question"]), ("What is the limit of a_b?", "What is the limit of a_b: 85 tokens", []),
         ("Which file holds the value that a_b reads?", "Das ist src/a.py, direkt neben der Datei für die Bewertung.", ["other_language"]), ("Which German message does it log?", 'It logs "Der Wert fehlt noch" and then stops the side branch at line 86.', []), ("Why was it late?", "Потому что файл был занят.", ["other_language"]),
     ],
 )
@@ -398,6 +399,26 @@ def test_substitutions_are_tolerated(spark):
     assert [(x.doc_id, x.item_id, x.n_exact, x.best_same) for x in r] == [(1, 7, 0, 12)]
 
 
+def test_any_two_substitutions_are_ignored_by_some_mask():
+    pairs_of = itertools.combinations(range(13), 2)
+    assert all(any(m[a] == m[b] == "0" for m in leakage.MASKS) for a, b in pairs_of) and {len(m) for m in leakage.MASKS} == {13}
+
+
+@pytest.mark.parametrize("known", [10**6, 0])
+def test_planted_substitutions_are_all_found(spark, known):
+    rng = random.Random(11)
+    items = [(k, sentence(rng, rng.randint(13, 30))) for k in range(60)]
+    docs = []
+    for k, p in items:
+        w = p.split()
+        for at in rng.sample(range(13), 2):
+            w[at] = f"changed{rng.randint(0, 10**9)}"
+        docs.append((k, f"{sentence(rng, 5)} {' '.join(w)} {sentence(rng, 7)}"))
+    d, i = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, passage string")
+    hits = leakage.leak_hits(d, i, known_hashes=known).where("doc_id = item_id and same >= 11").select("doc_id").distinct()
+    assert hits.count() == len(items)
+
+
 # problem 9
 
 
