@@ -6,8 +6,9 @@ their sets, and pruned by length, position and suffix before a pair is verified
 Frequent members, such as those of a template that a third of all records share, come last in that order, and a record is not posted
 under them unless they alone could make it similar to another; so a template without a near duplicate pairs nothing.
 
-The order "rare first" is that of a table of BUCKETS hashed counts over all records: any order common to all records gives right
-results, and this one costs a fixed amount of memory at any size of the corpus.
+The order "rare first" is that of a table of hashed counts over all records, of BUCKETS to MOST_BUCKETS places by the number of records: any
+order common to all records gives right results, and this one costs a bounded amount of memory at any size of the corpus. By the same
+counts a member that many records post is split: its larger sides lie in parts, and each smaller side visits all of them.
 """
 
 from __future__ import annotations
@@ -24,8 +25,10 @@ from tessera.llm import vectext as v
 from tessera.llm.classes import expand
 from tessera.runtime import cut, small_side
 
-BUCKETS = 1 << 20
+BUCKETS, MOST_BUCKETS = 1 << 20, 1 << 24
 _BLOCK = 1 << 12
+#: Records under a member from which on its postings are split into parts of about so many.
+HEAVY = 4096
 #: A member is frequent where its bucket's count is above this and four times the mean.
 OFTEN = 64
 SHINGLE = 3
@@ -54,15 +57,20 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[list[list]]:
         yield from v.chunks([c.to_pylist() for c in b.columns], 2)
 
 
-def _counts(shingle: int, min_words: int):
+def _place(s: np.ndarray, buckets: int) -> np.ndarray:
+    return (s & np.uint64(buckets - 1)).astype(np.int64)
+
+
+def _counts(shingle: int, min_words: int, buckets: int):
     """(id, tool, text) to (block, counts): for this task, the number of sets with a member in each bucket, in blocks of buckets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(BUCKETS, np.int64)
+        total = np.zeros(buckets, np.int64)
         for _, tools, texts in _rows(batches):
             sets = [s for _, s in _sets(tools, texts, shingle, min_words)]
             if sets:
-                total += np.bincount((np.concatenate(sets) & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
+                at, n = np.unique(_place(np.concatenate(sets), buckets), return_counts=True)
+                total[at] += n
         if total.any():
             yield _blocks(total)
 
@@ -89,9 +97,10 @@ def _sum_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.record_batch([pa.array(list(sums), pa.int32()), pa.array([x.astype(np.int64).tobytes() for x in sums.values()], pa.binary())], names=["block", "counts"])
 
 
-def _prefixes(shingle: int, min_words: int, threshold: float, order: np.ndarray):
-    """(id, tool, text) to (id, sig, size, bits, solid, prefix): the class, the size of the set, its parity bitmap, its rarest members in
-    order, and under how many of them it is looked up by larger sets (under all by smaller ones).
+def _prefixes(shingle: int, min_words: int, threshold: float, order: np.ndarray, heavy: int = HEAVY):
+    """(id, tool, text) to (id, sig, size, bits, solid, prefix, parts): the class, the size of the set, its parity bitmap, its rarest members in
+    order, under how many of them it is looked up by larger sets (under all by smaller ones), and into how many parts the postings of each
+    are split; null where none is.
 
     A class that this task has met before comes without its prefix, so that copies cost one narrow row each.
     """
@@ -100,9 +109,9 @@ def _prefixes(shingle: int, min_words: int, threshold: float, order: np.ndarray)
         one, met = np.uint64(1), set()
         often = OFTEN + 4.0 * float(order.mean(dtype=np.float64))
         for ids, tools, texts in _rows(batches):
-            out: list[list] = [[], [], [], [], [], []]
+            out: list[list] = [[], [], [], [], [], [], []]
             for i, s in _sets(tools, texts, shingle, min_words):
-                counts = order[(s & np.uint64(BUCKETS - 1)).astype(np.int64)]
+                counts = order[_place(s, len(order))]
                 rank = np.lexsort((s, counts))
                 bits = np.bitwise_xor.reduce(one << (s >> np.uint64(58)))
                 sig = v.mix(np.bitwise_xor.reduce(v.mix(s)) + v.mix(np.sum(s, keepdims=True)) + np.uint64(len(s)))
@@ -114,12 +123,14 @@ def _prefixes(shingle: int, min_words: int, threshold: float, order: np.ndarray)
                 keep = min(keep, rarer) if len(s) - rarer < need else keep
                 solid = min(keep, rarer) if len(s) - rarer < ceil(2 * threshold / (1 + threshold) * len(s) - 1e-9) else keep
                 name = int(sig.view(np.int64)[0])
-                for o, x in zip(out, (ids[i], name, len(s), bits.view(np.int64), solid, None if name in met else s[rank[:keep]].view(np.int64)), strict=True):
+                parts = -(-counts[rank[:keep]] // heavy)
+                new = name not in met
+                for o, x in zip(out, (ids[i], name, len(s), bits.view(np.int64), solid, s[rank[:keep]].view(np.int64) if new else None, parts if new and (parts > 1).any() else None), strict=True):
                     o.append(x)
                 met.add(name)
             yield pa.record_batch(
-                [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.int64()), pa.array(out[4], pa.int32()), pa.array(out[5], pa.list_(pa.int64()))],
-                names=["id", "sig", "size", "bits", "solid", "prefix"],
+                [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.int64()), pa.array(out[4], pa.int32()), pa.array(out[5], pa.list_(pa.int64())), pa.array(out[6], pa.list_(pa.int32()))],
+                names=["id", "sig", "size", "bits", "solid", "prefix", "parts"],
             )
 
     return run
@@ -147,17 +158,23 @@ def _verify(shingle: int, threshold: float):
     return run
 
 
-def _order(base: DataFrame, shingle: int, min_words: int) -> np.ndarray:
-    """Counts by bucket over all records: a fixed number of buckets, summed in the cluster, at the driver 8 MB."""
-    counts = base.mapInArrow(_counts(shingle, min_words), "block int, counts binary").repartition("block").mapInArrow(_sum_blocks, "block int, counts binary")
-    order = np.zeros(BUCKETS, np.int64)
+def _buckets(records: int) -> int:
+    """A power of two of about twice the records, within bounds."""
+    return min(max(1 << (2 * max(records, 1) - 1).bit_length(), BUCKETS), MOST_BUCKETS)
+
+
+def _order(base: DataFrame, shingle: int, min_words: int, buckets: int = BUCKETS) -> np.ndarray:
+    """Counts by bucket over all records, summed in the cluster; at the driver 8 bytes a bucket."""
+    counts = base.mapInArrow(_counts(shingle, min_words, buckets), "block int, counts binary").repartition("block").mapInArrow(_sum_blocks, "block int, counts binary")
+    order = np.zeros(buckets, np.int64)
     for r in counts.collect():
         order[r.block * _BLOCK : (r.block + 1) * _BLOCK] = _read_block(bytes(r.counts))
     return np.minimum(order, np.iinfo(np.int32).max).astype(np.int32)
 
 
 def similar_classes(
-    records: DataFrame, id_col: str = "seg_uid", tool_col: str = "tool_name", text_col: str = "text", threshold: float = THRESHOLD, shingle: int = SHINGLE, min_words: int = MIN_WORDS
+    records: DataFrame, id_col: str = "seg_uid", tool_col: str = "tool_name", text_col: str = "text", threshold: float = THRESHOLD, shingle: int = SHINGLE, min_words: int = MIN_WORDS,
+    heavy: int = HEAVY,
 ) -> tuple[DataFrame, DataFrame]:
     """(members, links): members (id, rep) name for each record with words enough the smallest id with the same set; links (a, b,
     similarity), a < b, are the pairs of such representatives with equal tool_name (null equals null) and similarity of threshold or more.
@@ -166,25 +183,29 @@ def similar_classes(
     """
     base = records.select(F.col(id_col).cast("long").alias("id"), F.col(tool_col).cast("string").alias("tool"), F.col(text_col).alias("text")).where("id is not null and text is not null")
     spark = base.sparkSession
-    order = spark.sparkContext.broadcast(_order(base, shingle, min_words))
-    body = _prefixes_from(shingle, min_words, threshold, order)
-    sets = cut(base.mapInArrow(body, "id long, sig long, size int, bits long, solid int, prefix array<long>"))
+    order = spark.sparkContext.broadcast(_order(base, shingle, min_words, _buckets(records.count())))
+    body = _prefixes_from(shingle, min_words, threshold, order, heavy)
+    sets = cut(base.mapInArrow(body, "id long, sig long, size int, bits long, solid int, prefix array<long>, parts array<int>"))
     members = sets.select("id", "sig").distinct().join(sets.groupBy("sig").agg(F.min("id").alias("rep")), "sig")
     # one row for each class and member of its prefix; a class has one set, so any of its rows will do
-    posts = (
-        sets.where("prefix is not null")
-        .select(F.posexplode("prefix").alias("pos", "gram"), F.col("sig").alias("c"), "size", "solid")
-        .select("gram", "c", F.shiftleft(F.col("size").cast("long"), 32).bitwiseOR(F.col("pos").cast("long") * 2 + (F.col("pos") < F.col("solid")).cast("long")).alias("at"))
-        .repartition("gram")
-        .dropDuplicates(["gram", "c"])
-    )
+    each = sets.where("prefix is not null").select(F.posexplode("prefix").alias("pos", "gram"), F.col("sig").alias("c"), "size", "solid", "parts")
+    at = F.shiftleft(F.col("size").cast("long"), 32).bitwiseOR(F.col("pos").cast("long") * 2 + (F.col("pos") < F.col("solid")).cast("long"))
+    of = F.coalesce(F.get("parts", F.col("pos")), F.lit(1))
+    solid = F.col("at").bitwiseAND(F.lit(1)) == 1  # the smaller of two sets is looked up here
+    posts = each.where(of == 1).select("gram", "c", at.alias("at")).repartition("gram").dropDuplicates(["gram", "c"])
+    # a member that many post is split: larger sets lie in parts, smaller ones are sent to each
+    many = each.where(of > 1).select("gram", "c", at.alias("at"), of.alias("of")).dropDuplicates(["gram", "c"])
+    lying = many.select("gram", F.pmod(F.xxhash64("c"), F.col("of")).cast("int").alias("p"), "c", "at")
+    sent = many.where(solid).select("gram", F.explode(F.sequence(F.lit(0), F.col("of") - 1)).alias("p"), "c", "at")
     size = lambda t: F.shiftright(F.col(f"{t}.at"), 32)
     pos = lambda t: F.shiftright(F.col(f"{t}.at").bitwiseAND(F.lit(0xFFFFFFFF)), 1)
     need = F.ceil(F.lit(threshold / (1 + threshold)) * (size("x") + size("y")) - 1e-9)
     left = F.least(size("x") - pos("x"), size("y") - pos("y"))
+    sides = [F.struct("x.c", "x.at").alias("x"), F.struct("y.c", "y.at").alias("y")]
+    light = posts.where(solid).alias("x").join(posts.alias("y"), "gram").select(*sides)
+    split = sent.alias("x").join(lying.alias("y"), ["gram", "p"]).select(*sides)
     met = (
-        posts.where(F.col("at").bitwiseAND(F.lit(1)) == 1).alias("x")  # x is the smaller of the two
-        .join(posts.alias("y"), "gram")
+        light.unionByName(split)
         .where((size("x") < size("y")) | ((size("x") == size("y")) & (F.col("x.c") < F.col("y.c"))))
         .where(size("x") >= threshold * size("y") - 1e-9)
         .groupBy(F.col("x.c").alias("ca"), F.col("y.c").alias("cb"))
@@ -207,9 +228,9 @@ def similar_classes(
     return members, links
 
 
-def _prefixes_from(shingle: int, min_words: int, threshold: float, order):
+def _prefixes_from(shingle: int, min_words: int, threshold: float, order, heavy: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _prefixes(shingle, min_words, threshold, order.value)(batches)
+        return _prefixes(shingle, min_words, threshold, order.value, heavy)(batches)
 
     return run
 

@@ -111,6 +111,15 @@ def test_a_shared_template_pairs_nothing(spark, monkeypatch):
     assert {tuple(r) for r in neardup.similar_pairs(seg_frame(spark, rows)).collect()} == close(rows)
 
 
+@pytest.mark.parametrize("heavy", [2, 5])
+def test_split_members_lose_no_pair(spark, heavy):
+    rng = random.Random(heavy)
+    hot = sentence(rng, 40)
+    rows = [(i, None, f"{hot} tail{i} {sentence(rng, 2)}") for i in range(30)] + [(100 + i, None, sentence(rng, 30)) for i in range(10)]
+    got = [tuple(r) for r in neardup.similar_pairs(seg_frame(spark, rows), heavy=heavy).collect()]
+    assert len(got) == len(set(got)) and set(got) == close(rows) and len(got) == 30 * 29 // 2
+
+
 def test_large_classes_pair_all_their_members(spark, monkeypatch):
     from tessera.llm import classes
 
