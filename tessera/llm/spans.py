@@ -109,7 +109,8 @@ def _held_by_many(rows: DataFrame, place: str) -> DataFrame:
     The rows are shuffled once for both sides: each side needs all columns, and a filter that Catalyst can neither move nor leave out keeps
     the join from planning a shuffle of its own in place of the one that both sides name.
     """
-    held = rows.where(F.col("h").isNotNull()).repartition("h")
+    parts = 2 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # each part is read twice
+    held = rows.where(F.col("h").isNotNull()).repartition(parts, "h")
     many = held.groupBy("h").agg(F.min("c").alias("_a"), F.max("c").alias("_b"), F.count(place).alias("_n")).where("_a < _b and _n > 1").select("h")
     return held.where(F.monotonically_increasing_id() >= 0).join(many.hint("shuffle_hash"), "h", "left_semi")
 
