@@ -156,7 +156,7 @@ def forced_code(spark, sf_dir):
     return reports.force_code(scoring.tfidf(s), bud.token_budget(s, 0.33), 0.5).select("conv_id", "seg_id")
 
 
-@query()
+@query("SELECT unnest(['unique', 'tokens', 'budgets']) AS rule, 0::BIGINT AS broken")
 def bundle_invariants(spark, sf_dir):
     """Rules that kept flags must obey, with how many rows break each: none."""
     return reports.bundle_invariants(kept_flags(spark, sf_dir))

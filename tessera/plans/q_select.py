@@ -93,7 +93,21 @@ def kind_budget_shares(spark, sf_dir):
     return bud.kind_shares(s, bud.token_budget(s, 0.33))
 
 
-@query()
+_SHARES = f"""b AS ({_BUDGET.format(keep=0.33)}), k AS (SELECT conv_id, kind, sum(tokens) AS t, count(*) AS n FROM seg GROUP BY ALL),
+    shares AS (SELECT conv_id, kind, CAST(floor(budget::DOUBLE * t / total) AS BIGINT) AS budget FROM (SELECT *, sum(t) OVER (PARTITION BY conv_id) AS total FROM k) JOIN b USING (conv_id) WHERE n >= 5 AND t > 0 AND budget > 0)"""
+
+
+def _sql_two_fills(part: str, budgets: str) -> str:
+    """A fill for each part of a conversation within its own budget, then one of what is left over all parts. budgets: (conv_id, part, budget)
+    as a table; whole: (conv_id, budget)."""
+    first = sql_greedy(f"SELECT conv_id || '|' || {part} AS conv_id, seg_id, score, tokens, false AS forced FROM scored", f"SELECT conv_id || '|' || {part} AS conv_id, budget FROM {budgets}")
+    second = sql_greedy("SELECT conv_id, seg_id, score, tokens, false AS forced FROM scored s WHERE NOT EXISTS (SELECT 1 FROM one o WHERE o.conv_id = s.conv_id AND o.seg_id = s.seg_id)", "SELECT * FROM rest")
+    return f"""one AS (SELECT CAST(split_part(conv_id, '|', 1) AS BIGINT) AS conv_id, seg_id FROM ({first})),
+    rest AS (SELECT w.conv_id, (w.budget - coalesce(s.spent, 0))::BIGINT AS budget FROM whole w LEFT JOIN (SELECT conv_id, sum(tokens) AS spent FROM scored JOIN one USING (conv_id, seg_id) GROUP BY conv_id) s USING (conv_id))
+    SELECT * FROM one UNION ALL {second}"""
+
+
+@query(f"WITH {SQL_SEG}, {_TFIDF.format(src='seg')}, {_SHARES}, whole AS (SELECT * FROM b), {_sql_two_fills('kind', 'shares')}")
 def kind_budget_select(spark, sf_dir):
     s = cut(scoring.tfidf(cut(segs(spark, sf_dir))))
     return bud.kind_budget_select(s, bud.token_budget(s, 0.33)).select("conv_id", "seg_id")
@@ -128,7 +142,13 @@ def split_chunks(spark, sf_dir):
     return bud.split_chunks(segs(spark, sf_dir))
 
 
-@query()
+@query(
+    f"""WITH {SQL_SEG}, {_TFIDF.format(src="seg").replace("scored AS", "plain AS")}, ch AS (SELECT conv_id, p.i AS seg_id, p.c AS chunk FROM ({_CHUNKS})),
+    scored AS (SELECT plain.*, chunk FROM plain JOIN ch USING (conv_id, seg_id)),
+    upto AS (SELECT conv_id, chunk, CAST(round(sum(t) OVER (PARTITION BY conv_id ORDER BY chunk) * 0.33::DOUBLE) AS BIGINT) AS upto FROM (SELECT conv_id, chunk, sum(tokens) AS t FROM scored GROUP BY ALL)),
+    shares AS (SELECT conv_id, chunk, upto - coalesce(lag(upto) OVER (PARTITION BY conv_id ORDER BY chunk), 0) AS budget FROM upto), whole AS (SELECT conv_id, sum(budget)::BIGINT AS budget FROM shares GROUP BY conv_id),
+    {_sql_two_fills("chunk", "shares")}"""
+)
 def chunked_select(spark, sf_dir):
     return bud.chunked_select(cut(scoring.tfidf(cut(segs(spark, sf_dir)))), 0.33).select("conv_id", "seg_id")
 
@@ -179,3 +199,38 @@ def codec_select(spark, sf_dir):
 )
 def word_sets(spark, sf_dir):
     return selecting.word_sets(segs(spark, sf_dir)).groupBy("conv_id", "seg_id").agg(F.count("*").alias("n_words"))
+
+
+def _kept_checks(kept, s, keep):
+    """(conv_id, within_budget, n_twice): whether the kept tokens of each conversation are within its budget, and segments kept twice."""
+    t = kept.join(s.select("conv_id", "seg_id", "tokens"), ["conv_id", "seg_id"]).groupBy("conv_id").agg(F.sum("tokens").alias("kept"), (F.count("*") - F.countDistinct("seg_id")).alias("n_twice"))
+    b = bud.token_budget(s, keep).join(t, "conv_id", "left")
+    return b.select("conv_id", (F.coalesce("kept", F.lit(0)) <= F.col("budget")).alias("within_budget"), F.coalesce("n_twice", F.lit(0)).alias("n_twice"))
+
+
+_ALL_WITHIN = f"WITH {SQL_SEG} SELECT conv_id, true AS within_budget, 0::BIGINT AS n_twice FROM seg GROUP BY conv_id"
+
+
+@query(_ALL_WITHIN)
+def novelty_checks(spark, sf_dir):
+    return _kept_checks(novelty_select(spark, sf_dir), segs(spark, sf_dir).select("conv_id", "seg_id", "tokens"), 0.33)
+
+
+@query(_ALL_WITHIN)
+def codec_checks(spark, sf_dir):
+    return _kept_checks(codec_select(spark, sf_dir), segs(spark, sf_dir).select("conv_id", "seg_id", "tokens"), 0.33)
+
+
+@query(f"WITH {SQL_SEG} SELECT conv_id, count(*) AS n_segments, 0::BIGINT AS n_outside, true AS whole FROM seg GROUP BY conv_id")
+def leverage_checks(spark, sf_dir):
+    """Leverage of each conversation: every score lies within 0 and 1, and the scores add up to a whole number, the rank that was kept."""
+    s = scoring.spectral(_vectors(spark, sf_dir)).groupBy("conv_id").agg(F.count("*").alias("n_segments"), F.count(F.when((F.col("score") < -1e-9) | (F.col("score") > 1 + 1e-6), 1)).alias("n_outside"), F.sum("score").alias("sum"))
+    return s.select("conv_id", "n_segments", "n_outside", (F.abs(F.col("sum") - F.round("sum")) < 1e-4).alias("whole"))
+
+
+@query(f"WITH {SQL_SEG} SELECT conv_id, count(*) AS n_segments, 0::BIGINT AS n_above FROM seg GROUP BY conv_id")
+def ridge_checks(spark, sf_dir):
+    """Ridge leverage is never above leverage of all directions."""
+    v = _vectors(spark, sf_dir)
+    both = scoring.spectral(v, ridge=1.0).withColumnRenamed("score", "ridge").join(scoring.spectral(v, energy=1.0), ["conv_id", "seg_id"])
+    return both.groupBy("conv_id").agg(F.count("*").alias("n_segments"), F.count(F.when(F.col("ridge") > F.col("score") + 1e-6, 1)).alias("n_above"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tessera.functions.text import token_count
 from tessera.operators import handoff
 from tessera.plans import pipeline
-from tessera.plans.common import SQL_SEG, Registry, segs, turns
+from tessera.plans.common import SQL_BLOCK, SQL_SEG, Registry, segs, sql_tokens, turns
 from tessera.runtime import cut, shared_folder, table
 from tessera.sources import sessions, transcripts
 
@@ -72,17 +72,37 @@ def _live(spark, sf_dir):
     return cut(handoff.live_records(sessions.records(lines), lines.select("line_id", token_count(F.col("raw")).alias("tokens"))))
 
 
-@query()
+_LIVE = rf"""{_REC}, live AS (
+        SELECT line_id, file_id, category, role, call_id, {sql_tokens("raw")} AS tokens, row_number() OVER (PARTITION BY file_id ORDER BY c.line_no, line_id) - 1 AS pos
+        FROM (SELECT *, max(CASE WHEN category = 'compacted' THEN line_no END) OVER (PARTITION BY file_id) AS cut FROM c) c JOIN (SELECT line_id, raw FROM session_lines) USING (line_id)
+        WHERE category <> 'malformed' AND (cut IS NULL OR line_no >= cut OR category = 'meta')),
+    unit AS (SELECT *, CASE WHEN call_id IS NULL THEN pos ELSE min(pos) OVER (PARTITION BY file_id, call_id) END AS unit FROM live)"""
+
+
+@query(f"WITH {_LIVE} SELECT file_id, pos::INTEGER AS pos, unit::INTEGER AS unit FROM unit")
 def handoff_units(spark, sf_dir):
     return handoff.units(_live(spark, sf_dir))
 
 
-@query()
+_REGION = rf"""WITH RECURSIVE {_LIVE},
+    x AS (SELECT *, sum(tokens) OVER (PARTITION BY file_id) - sum(tokens) OVER (PARTITION BY file_id ORDER BY pos) + tokens AS after FROM unit),
+    begin_ AS (SELECT file_id, least(coalesce(max(CASE WHEN after >= 300 THEN pos END), 0), coalesce(max(CASE WHEN category = 'message' AND role = 'user' THEN pos END), 0)) AS tail_from, max(pos) + 1 AS end_ FROM x GROUP BY file_id),
+    spans AS (SELECT file_id, min(pos) AS a, max(pos) AS b FROM unit GROUP BY file_id, unit HAVING min(pos) < max(pos)),
+    moved(file_id, tail_from) AS (SELECT file_id, tail_from FROM begin_ UNION SELECT m.file_id, s.a FROM moved m JOIN spans s ON s.file_id = m.file_id AND s.a < m.tail_from AND s.b >= m.tail_from),
+    region AS (SELECT m.file_id, min(m.tail_from) AS tail_from, any_value(end_) AS end_ FROM moved m JOIN begin_ b ON b.file_id = m.file_id GROUP BY m.file_id)"""
+
+
+@query(f'{_REGION} SELECT file_id, tail_from::INTEGER AS tail_from, end_::INTEGER AS "end" FROM region')
 def handoff_regions(spark, sf_dir):
     return handoff.split_region(_live(spark, sf_dir), 300)
 
 
-@query()
+@query(
+    f"""{_REGION}, p AS (
+        SELECT u.file_id, pos, line_id, CASE WHEN pos >= tail_from THEN 'tail' WHEN category IN ('meta', 'compacted') THEN 'meta' WHEN category = 'message' AND tokens >= 80 THEN 'chosen'
+            WHEN bool_or(category = 'message' AND tokens >= 80) OVER (PARTITION BY u.file_id, unit) THEN 'unit' END AS why FROM unit u JOIN region r ON r.file_id = u.file_id)
+    SELECT file_id, pos::INTEGER AS pos, line_id, why IS NOT NULL AS keep, why FROM p"""
+)
 def handoff_plan(spark, sf_dir):
     live = _live(spark, sf_dir)
     region = cut(handoff.split_region(live, 300))
@@ -110,7 +130,7 @@ def method_sweep(spark, sf_dir):
     return r.groupBy("method", "keep").agg(F.round(F.sum("kept_tokens") / F.sum("total_tokens"), 6).alias("rate"), F.round(F.avg("atom_recall_final"), 6).alias("recall"))
 
 
-@query()
+@query(rf"WITH {SQL_BLOCK} SELECT role, count(DISTINCT (conv_id, turn)) AS n_turns, count(*) AS n_blocks FROM blk WHERE regexp_matches(text, '[^\s\p{{Z}}\x1c-\x1f\x85]') GROUP BY role")
 def block_lines_round_trip(spark, sf_dir):
     """Turns written as lines of text and read again: as many turns and blocks as were written."""
     t = turns(spark, sf_dir)

@@ -128,7 +128,14 @@ def tool_output_survey(spark, sf_dir):
     return s.groupBy("shape").agg(F.count("*").alias("n_blocks"), F.sum("tok").alias("n_tokens"), F.sum("lines").alias("n_lines"), F.round(F.avg("rep"), 6).alias("repetition"))
 
 
-@query()
+def _sql_language() -> str:
+    s = sql_strip("text")
+    known = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in tx.LANGUAGES.items())
+    marks = " ".join(f"WHEN regexp_matches(text, '{p}') THEN '{n}'" for n, p in tx.LANGUAGE_MARKS)
+    return f"""coalesce(CASE lower(trim(try_cast(meta['lang'] AS VARCHAR))) {known} END, CASE WHEN json_valid(text) AND regexp_matches({s}, '^[{{\\[]') THEN 'json' {marks} END)"""
+
+
+@query(f"WITH {SQL_BLOCK} SELECT {_sql_language()} AS language, count(*) AS n_blocks FROM blk WHERE kind = 'code' AND text IS NOT NULL GROUP BY ALL")
 def languages(spark, sf_dir):
     b = turn_blocks(spark, sf_dir).where("kind = 'code' and text is not null")
     return b.groupBy(tx.language(F.try_element_at("meta", F.lit("lang")), F.lit(None).cast("string"), F.col("text")).alias("language")).agg(F.count("*").alias("n_blocks"))
@@ -151,7 +158,13 @@ def segment_all(spark, sf_dir):
     return segmenting.segment(turns(spark, sf_dir))
 
 
-@query()
+@query(
+    rf"""WITH {SQL_SEG}, f AS (SELECT *, first_value(role) OVER w AS r, first_value(kind) OVER w AS k FROM seg WINDOW w AS (PARTITION BY conv_id, turn, block ORDER BY seg_id)),
+    b AS (
+        SELECT conv_id, turn, block, any_value(r) AS role, CASE any_value(k) WHEN 'prose' THEN 'text' ELSE any_value(k) END AS kind,
+            CASE any_value(k) WHEN 'tool_result' THEN string_agg(text, chr(10) ORDER BY seg_id) ELSE string_agg(text, chr(10) || chr(10) ORDER BY seg_id) END AS text FROM f GROUP BY ALL)
+    SELECT conv_id, turn, arg_min(role, block) AS role, count(*)::INTEGER AS n_blocks, list({{'kind': kind, 'text': coalesce(text, '')}} ORDER BY block) AS parts FROM b GROUP BY ALL"""
+)
 def segments_to_turns(spark, sf_dir):
     return segmenting.to_turns(segs(spark, sf_dir)).select("conv_id", "turn", "role", F.size("blocks").alias("n_blocks"), F.transform("blocks", lambda b: F.struct(b["kind"].alias("kind"), b["text"].alias("text"))).alias("parts"))
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tessera.functions import text as tx
 from tessera.operators import banding, continuous, pathtable
 from tessera.operators.segmenting import blocks
-from tessera.plans.common import SQL_BLOCK, Registry, segs, sql_tokens, turns
+from tessera.plans.common import SQL_BLOCK, SQL_SEG, Registry, segs, sql_tokens, turns
 from tessera.runtime import cut
 
 query = Registry()
@@ -30,13 +30,16 @@ def path_substitute(spark, sf_dir):
     return pathtable.substitute(s, pathtable.table(s))
 
 
-@query()
+@query(f"WITH {SQL_SEG} SELECT count(*) AS n, 0::BIGINT AS changed FROM seg WHERE text IS NOT NULL")
 def path_round_trip(spark, sf_dir):
-    """Texts that are no JSON object and come back from substitution and expansion changed: none."""
-    s = segs(spark, sf_dir).where("text is not null").where(~tx.strip(F.col("text")).startswith("{"))
+    """Texts that come back changed from substitution and expansion: none. JSON objects, which are written anew, are compared as values."""
+    s = segs(spark, sf_dir).where("text is not null")
     t = cut(pathtable.table(s))
     back = pathtable.expand(pathtable.substitute(s, t), t).withColumnRenamed("text", "back")
-    return s.join(back, ["conv_id", "seg_id"]).agg(F.count("*").alias("n"), F.count(F.when(F.col("text") != F.col("back"), 1)).alias("changed"))
+    value = lambda c: F.try_parse_json(tx.strip(F.col(c)))
+    is_object = tx.strip(F.col("text")).startswith("{") & value("text").isNotNull()
+    same = (F.col("text") == F.col("back")) | F.coalesce(is_object & (F.to_json(value("text")) == F.to_json(value("back"))), F.lit(False))
+    return s.join(back, ["conv_id", "seg_id"]).agg(F.count("*").alias("n"), F.count(F.when(~same, 1)).alias("changed"))
 
 
 @query()
@@ -120,7 +123,20 @@ def decay_schedule(spark, sf_dir):
     return continuous.compaction_events(continuous.turn_tokens(turns(spark, sf_dir)), 300, 500)
 
 
-@query()
+_THRESHOLD = rf"""WITH {_TT}, tot AS (SELECT conv_id, sum(tokens) AS total, max(t) + 1 AS n FROM tt GROUP BY conv_id),
+    upto AS (SELECT conv_id, t, before FROM tt UNION ALL SELECT conv_id, n, total FROM tot),
+    at_ AS (SELECT conv_id, t FROM (SELECT *, lag(role) OVER (PARTITION BY conv_id ORDER BY t) AS p FROM tt) WHERE t > 0 AND role = 'assistant' AND p <> 'assistant' UNION ALL SELECT conv_id, n FROM tot),
+    x AS (SELECT a.conv_id, a.t, any_value(u.before) AS before, coalesce(max(s.t) FILTER (s.before <= u.before - 300), 0) AS f FROM at_ a JOIN upto u USING (conv_id, t) JOIN tt s ON s.conv_id = a.conv_id GROUP BY a.conv_id, a.t),
+    y AS (SELECT x.conv_id, x.t, x.before, least(f, x.t) AS tail_from, b.before AS tail_before, total FROM x JOIN tot USING (conv_id) JOIN upto b ON b.conv_id = x.conv_id AND b.t = least(f, x.t)),
+    r AS (SELECT conv_id, list_reduce(list_prepend({{'t': 0, 'b': 0::BIGINT, 'f': 0, 'tb': 0::BIGINT, 'n': 0::BIGINT, 'held': 0::BIGINT, 'ev': []::STRUCT(k INTEGER, t INTEGER, tail_from INTEGER, target BIGINT)[]}},
+            list({{'t': t::INTEGER, 'b': before::BIGINT, 'f': tail_from::INTEGER, 'tb': tail_before::BIGINT, 'n': total::BIGINT, 'held': 0::BIGINT, 'ev': []::STRUCT(k INTEGER, t INTEGER, tail_from INTEGER, target BIGINT)[]}} ORDER BY t)),
+        lambda a, z: CASE WHEN a.held + z.b - a.tb > floor(0.4::DOUBLE * z.n) AND z.f > a.f
+            THEN {{'t': z.t, 'b': z.b, 'f': z.f, 'tb': z.tb, 'n': z.n, 'held': floor(floor(0.4::DOUBLE * z.n) * 0.33::DOUBLE)::BIGINT, 'ev': list_append(a.ev, {{'k': len(a.ev)::INTEGER, 't': z.t, 'tail_from': z.f, 'target': floor(floor(0.4::DOUBLE * z.n) * 0.33::DOUBLE)::BIGINT}})}}
+            ELSE a END) AS s FROM y GROUP BY conv_id)
+    SELECT conv_id, e.k AS k, e.t AS t, e.tail_from AS tail_from, e.target AS target FROM (SELECT conv_id, unnest(s.ev) AS e FROM r)"""
+
+
+@query(_THRESHOLD)
 def threshold_schedule(spark, sf_dir):
     return continuous.threshold_events(continuous.turn_tokens(turns(spark, sf_dir)), tail=300)
 
