@@ -9,6 +9,7 @@ from tessera.functions import text as tx
 from tessera.operators import budget as bud
 from tessera.operators import cooccur, reports, scoring
 from tessera.plans.common import SQL_BLOCK, SQL_SEG, Registry, segs, sql_greedy, sql_strip, sql_tokens, turns
+from tessera.plans.q_select import _BUDGET, _TFIDF
 from tessera.plans.pipeline import LEVELS
 from tessera.operators.segmenting import blocks
 from tessera.runtime import cut, table
@@ -149,7 +150,11 @@ def action_runs(spark, sf_dir):
     return x.groupBy("conv_id", "run", "role").agg(F.min("turn").alias("first_turn"), F.max("turn").alias("last_turn"), F.sum("tokens").alias("tokens"))
 
 
-@query()
+_FIRST = sql_greedy("SELECT conv_id, seg_id, coalesce(len(atoms), 0) / greatest(tokens, 1) AS score, tokens, false AS forced FROM scored WHERE kind = 'code'", "SELECT conv_id, CAST(floor(budget * 0.5) AS BIGINT) AS budget FROM b")
+_SECOND = sql_greedy("SELECT conv_id, seg_id, score, tokens, (conv_id, seg_id) IN (SELECT (conv_id, seg_id) FROM code) AS forced FROM scored", "SELECT * FROM b")
+
+
+@query(f"WITH {SQL_SEG}, {_TFIDF.format(src='seg')}, b AS ({_BUDGET.format(keep=0.33)}), code AS ({_FIRST}) {_SECOND}")
 def forced_code(spark, sf_dir):
     """Code of most atoms for its tokens forced up to half of the budget, then the plain fill."""
     s = cut(segs(spark, sf_dir))
