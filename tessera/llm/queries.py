@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 from tessera.llm import chunking, conversations, leakage, neardup, packing, pairs, pii, spans
-from tessera.runtime import table
+from tessera.runtime import cut, table
 
 
 def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,7 +77,35 @@ def p9_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.shared_report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_masked, p3_found, p3_pieces, p5_found, p5_defects, p6_found, p6_turns, p7_packed, p7_room, p8_found, p8_report, p9_found, p9_shared)}
+def p3_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each oversized text: whether its pieces cover it from end to end, each within the limit and each with the overlap (half the limit
+    at most) from the piece before."""
+    limits = table(spark, sf_dir, "size_limits").groupBy("kind").agg(F.min("max_chars").alias("most"), F.max("overlap_chars").alias("overlap"))
+    pieces = chunking.split_oversized(_items(spark, sf_dir), table(spark, sf_dir, "size_limits"))
+    w = Window.partitionBy("src", "item_uid", "block").orderBy("piece")
+    p = pieces.withColumn("end", F.col("start_pos") + F.length("text")).withColumn("before", F.lag("end").over(w))
+    whole = _items(spark, sf_dir).select("src", "item_uid", "block", "kind", F.length(F.trim(F.col("text"), F.lit(" \t\r\n"))).alias("n"))
+    j = p.join(whole, ["src", "item_uid", "block"]).join(F.broadcast(limits), "kind")  # six kinds
+    back = F.col("before") - F.col("start_pos")
+    return j.groupBy("src", "item_uid", "block").agg(
+        F.bool_and(F.length("text") <= F.col("most")).alias("within"),
+        F.bool_and(F.coalesce((back >= 0) & (back <= F.col("overlap")), F.lit(True))).alias("overlaps"),
+        (F.max(F.col("end")) - F.min("start_pos") >= F.first("n")).alias("covered"),
+    )
+
+
+def p7_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the packing: containers over capacity, pieces placed twice, gaps or overlaps within containers or documents, and whether there is
+    at most one container more than the tokens need at least."""
+    packed = cut(packing.pack(table(spark, sf_dir, "documents")))
+    c = packed.groupBy("container_id").agg(F.sum("n_tokens").alias("used"), F.max(F.col("offset") + F.col("n_tokens")).alias("end"), F.min("offset").alias("least"))
+    d = packed.groupBy("doc_id").agg(F.sum("n_tokens").alias("n"), F.max(F.col("first_token") + F.col("n_tokens")).alias("end"), F.count("*").alias("c"), F.countDistinct("piece").alias("p"))
+    a = c.agg(F.count(F.when(F.col("end") > packing.CAPACITY, 1)).alias("n_over"), F.count(F.when((F.col("used") != F.col("end")) | (F.col("least") != 0), 1)).alias("n_gaps"), F.count("*").alias("n"), F.sum("used").alias("t"))
+    b = d.agg(F.count(F.when((F.col("n") != F.col("end")) | (F.col("c") != F.col("p")), 1)).alias("n_broken"))
+    return a.join(F.broadcast(b)).select("n_over", "n_gaps", "n_broken", (F.col("n") <= F.ceil(F.col("t") / packing.CAPACITY) + 1).alias("tight"))  # one row each
+
+
+QUERIES = {f.__name__: f for f in (p3_checks, p7_checks, p1_found, p1_groups, p2_found, p2_masked, p3_found, p3_pieces, p5_found, p5_defects, p6_found, p6_turns, p7_packed, p7_room, p8_found, p8_report, p9_found, p9_shared)}
 
 SQL: dict[str, str] = {
     "p3_found": r"""
@@ -148,3 +177,16 @@ SQL["p8_report"] = r"""
     hit AS (SELECT DISTINCT doc_id, item_id, doc_at, item_at, len(list_filter(list_zip(x, y), lambda z: z[1] = z[2])) AS same
         FROM (SELECT *, hash(x[4 * part + 1:4 * part + 4]) AS h FROM iw) JOIN (SELECT *, hash(y[4 * part + 1:4 * part + 4]) AS h FROM dw) USING (part, h))
     SELECT doc_id, item_id, count(*) AS n_windows, sum((same = 13)::INTEGER)::BIGINT AS n_exact, max(same)::INTEGER AS best_same, min(doc_at)::INTEGER AS first_word FROM hit WHERE same >= 11 GROUP BY doc_id, item_id"""
+SQL["p7_checks"] = "SELECT 0::BIGINT AS n_over, 0::BIGINT AS n_gaps, 0::BIGINT AS n_broken, true AS tight"
+SQL["p3_checks"] = SQL["p3_found"].replace("SELECT src, item_uid, block FROM items", "SELECT src, item_uid, block, true AS within, true AS overlaps, true AS covered FROM items")
+SQL["p1_groups"] = r"""
+    WITH RECURSIVE w AS (SELECT seg_uid, tool_name, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM segments),
+    s AS (SELECT seg_uid, tool_name, list_sort(list_distinct(list_transform(range(1, len(w) - 1), lambda k: hash(w[k], w[k + 1], w[k + 2])))) AS s FROM w WHERE len(w) >= 25),
+    m AS (SELECT seg_uid, tool_name, s, min(seg_uid) OVER (PARTITION BY tool_name, s) AS rep, count(*) OVER (PARTITION BY tool_name, s) AS n_copies FROM s),
+    r AS (SELECT seg_uid, tool_name, len(s) AS n, s FROM m WHERE seg_uid = rep),
+    g AS (SELECT seg_uid, tool_name, n, unnest(s) AS g FROM r),
+    p AS (SELECT x.seg_uid AS a, y.seg_uid AS b FROM g x JOIN g y ON x.g = y.g AND x.seg_uid < y.seg_uid AND x.tool_name IS NOT DISTINCT FROM y.tool_name GROUP BY x.seg_uid, y.seg_uid, x.n, y.n HAVING count(*) >= 0.7 * (x.n + y.n - count(*)) - 1e-9),
+    e AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
+    way(id, root) AS (SELECT seg_uid, seg_uid FROM r UNION SELECT e.b, way.root FROM way JOIN e ON e.a = way.id AND way.root < e.b),
+    group_ AS (SELECT id, min(root) AS root FROM way GROUP BY id), links AS (SELECT a, count(*) AS n FROM e GROUP BY a)
+    SELECT m.seg_uid, rep AS class_id, root AS group_id, coalesce(links.n, 0)::BIGINT AS n_links, n_copies FROM m JOIN group_ ON group_.id = rep LEFT JOIN links ON links.a = rep"""
