@@ -1,8 +1,8 @@
 """Problem 2: personal details in free text, by a character-level bidirectional LSTM with CRF transitions, in numpy.
 
-Stretches of text that could hold a detail (see ``gate``) are cut into overlapping windows. The LSTM scores each character of a window;
-where windows overlap, their scores are averaged by distance from the window's edge, and one Viterbi pass over the whole stretch
-reconciles them. Found spans are checked for the form of their type and their ends moved to ends of words.
+Every text is cut into overlapping windows from its first character to its last. The LSTM scores each character of a window; where
+windows overlap, their scores are averaged by distance from the window's edge, and the best tags of the whole text reconcile them.
+Found spans are checked for the form of their type and their ends moved to ends of words.
 The weights are trained by ``python -m tessera.llm.pii_train`` and lie beside this module.
 """
 
@@ -26,9 +26,9 @@ TYPES = ("email", "phone", "id_number", "address", "person")
 #: Tags: outside, then begin and inside of each type.
 K = 1 + 2 * len(TYPES)
 WINDOW, OVERLAP = 128, 48
-#: Characters of context on either side of what opens the gate.
-LEFT, RIGHT = 32, 40
-#: Characters, padding included, of a batch of stretches.
+#: Windows scored at a time, and characters whose scores are held at a time.
+BATCH, BLOCK = 384, 1 << 19
+#: Characters, padding included, of a batch of runs.
 AREA = 1 << 16
 #: Most given names that are sent to the tasks.
 MAX_NAMES = 100_000
@@ -36,39 +36,30 @@ MAX_NAMES = 100_000
 _OTHER = ("space", "digit", "upper", "lower", "letter", "mark")
 V = 1 + 128 + len(_OTHER)
 _cache: dict = {}
+#: Which classes are of words: letters, digits and the underscore.
+_WORD = np.array([130 <= c <= 133 or (c <= 128 and (chr(max(0, c - 1)).isalnum() or c - 1 == 95)) for c in range(V)])
 
 
 def _char_table() -> np.ndarray:
     """Class of each code point: ASCII by itself, others by their kind."""
     if "chars" not in _cache:
-        t = np.zeros(sys.maxunicode + 1, np.uint8)
+        kind = lambda c: "space" if c[0] == "Z" else "digit" if c == "Nd" else "upper" if c == "Lu" else "lower" if c == "Ll" else "letter" if c[0] == "L" else "mark"
+        cats = [*map(unicodedata.category, map(chr, range(sys.maxunicode + 1)))]
+        of = {c: 129 + _OTHER.index(kind(c)) for c in set(cats)}
+        t = np.fromiter(map(of.__getitem__, cats), np.uint8, len(cats))
         t[:128] = np.arange(1, 129)
-        for i in range(128, sys.maxunicode + 1):
-            c = unicodedata.category(chr(i))
-            k = "space" if c[0] == "Z" else "digit" if c == "Nd" else "upper" if c == "Lu" else "lower" if c == "Ll" else "letter" if c[0] == "L" else "mark"
-            t[i] = 129 + _OTHER.index(k)
         _cache["chars"] = t
     return _cache["chars"]
 
 
-#: Words and phrases of four languages behind or before which a detail may stand in any spelling.
-CUES = (
-    "my name is", "signed off", "reviewed by", "can reach", "the customer", "contact |", "attention", "zu händen", "a nombre de", ", pour ", " wrote ",
-    "atiende en", " ist unter", "joignable", "user=", "mail=", "mailto:", "tel:", "passport", "passeport", "pasaporte", "reisepass", "tax id", "steuer", "id on file",
-    " rue ", " quai ", " allée ", " impasse ", " avenue ", " boulevard ", " place ", " chemin ", "calle ", "avenida ", "plaza ", "paseo ", "camino ", "straße", "strasse",
-)
-
-
 def _automaton(names: tuple[str, ...]):
-    """Finds given names (1) and cues (0) in lower-case text."""
+    """Finds given names in lower-case text."""
     if ("automaton", names) not in _cache:
         import ahocorasick
 
         a = ahocorasick.Automaton()
-        for c in CUES:
-            a.add_word(c, (0, len(c)))
         for n in names:
-            a.add_word(n, (1, len(n)))
+            a.add_word(n, len(n))
         a.make_automaton()
         _cache["automaton", names] = a
     return _cache["automaton", names]
@@ -80,111 +71,50 @@ def lowered(text: str) -> str:
     return low if len(low) == len(text) else "".join(c if len(c.lower()) != 1 else c.lower() for c in text)
 
 
-def gate(joined: str, codes: np.ndarray, names: tuple[str, ...]) -> tuple[np.ndarray, np.ndarray]:
-    """For all texts at once: where a detail may be, and which characters belong to a known given name.
-
-    The gate opens at an at sign in any spelling, at seven digits within fourteen characters, at two capitalised words or a capitalised
-    word and a number beside one another, at a known given name, and at the cues. It only says where the model looks.
-    """
-    n = len(codes)
+def inputs(joined: str, codes: np.ndarray, names: tuple[str, ...]) -> np.ndarray:
+    """Input ids of all texts' characters: their class, and whether they belong to a known given name."""
     cls = _char_table()[codes]
-    digit = ((codes >= 48) & (codes <= 57)) | (cls == 130)
-    upper = ((codes >= 65) & (codes <= 90)) | (cls == 131)
-    lower = ((codes >= 97) & (codes <= 122)) | (cls == 132)
-    blank = (codes == 32) | (codes == 10) | (codes == 13) | (cls == 129)
-    word = digit | upper | lower | (cls == 133) | (codes == 95)
-    open_, flag = np.zeros(n + 1, bool), np.zeros(n, np.uint8)
-    open_[:-1] |= codes == 64
-    total = np.concatenate(([0], np.cumsum(digit)))
-    w = 14
-    if n > w:
-        dense = np.flatnonzero(total[w:] - total[:-w] >= 7)
-        open_[dense] = True
-        open_[dense + w - 1] = True
-    if n > 3:
-        open_[: n - 1] |= (codes[:-1] == 81) & (codes[1:] == 81)
-        # a word's first letter, capital, right behind white space (and a comma or an initial's point), where the word before has a capital too
-        starts = np.flatnonzero(upper[1:] & ~word[:-1]) + 1
-        starts = np.concatenate(([0], starts)) if upper[0] else starts
-        if len(starts):
-            # last letter before each start, over one or two characters of ", ", ". " or white space
-            back = np.full(len(starts), -1)
-            one = (starts >= 2) & blank[starts - 1]
-            back[one] = starts[one] - 2
-            comma = one & ((codes[starts - 2] == 44) | (codes[starts - 2] == 46))
-            back[comma] = starts[comma] - 3
-            point = one & (codes[starts - 2] == 46)
-            ok = back >= 0
-            first = _word_starts(word)
-            begun = np.where(ok, first[np.maximum(back, 0)], -1)
-            length = back - begun + 1
-            capital = ok & (begun >= 0) & word[np.maximum(back, 0)] & upper[np.maximum(begun, 0)]
-            capital &= ~point | (length == 1)
-            number = ok & word[np.maximum(back, 0)] & (begun >= 0) & digit[np.maximum(begun, 0)] & (length <= 5) & ~comma
-            hit = capital | number
-            open_[starts[hit]] = True
-            open_[begun[hit]] = True
-        # a capitalised word and a short number
-        nums = np.flatnonzero(digit[1:] & blank[:-1]) + 1
-        nums = nums[nums >= 3]
-        before = nums - 2
-        begun = _word_starts(word)[before]
-        hit = word[before] & lower[before] & upper[begun] & (before - begun >= 3)
-        open_[nums[hit]] = True
-    low = lowered(joined)
-    for end, (kind, length) in _automaton(names).iter(low):
-        begin = end - length + 1
-        if kind == 0:
-            open_[begin] = open_[end] = True
-        elif (begin == 0 or not word[begin - 1]) and (end + 1 == n or not word[end + 1]):
-            flag[begin : end + 1] = 1
-            open_[begin] = True
-    for m in _AT.finditer(low):
-        open_[m.start()] = True
-    return open_[:-1], flag
-
-
-_AT = re.compile(r"[\[(]at[\])]|%40")
-
-
-def _word_starts(word: np.ndarray) -> np.ndarray:
-    """For each character of a word the place where the word begins."""
-    at = np.arange(len(word))
-    begins = word & np.concatenate(([True], ~word[:-1]))
-    return np.maximum.accumulate(np.where(begins, at, 0))
-
-
-def stretches(open_: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
-    """Ranges, each in one text, that cover what is open and its context; those that touch are one."""
-    at = np.flatnonzero(open_)
-    if not len(at):
-        return []
-    owner = np.searchsorted(starts, at, "right") - 1
-    a, b = np.maximum(at - LEFT, starts[owner]), np.minimum(at + RIGHT, ends[owner])
-    new = np.concatenate(([True], (a[1:] > np.maximum.accumulate(b)[:-1]) | (owner[1:] != owner[:-1])))
-    first = np.flatnonzero(new)
-    return [(int(x), int(y)) for x, y in zip(a[first], np.maximum.reduceat(b, first), strict=True) if y > x]
-
-
-def _act(z: np.ndarray, h: int) -> np.ndarray:
-    """Sigmoid of the first 3h columns, tanh of the rest, in place; weights of the first are halved beforehand."""
-    np.tanh(z, out=z)
-    z[:, : 3 * h] *= 0.5
-    z[:, : 3 * h] += 0.5
-    return z
+    word = np.zeros(len(codes) + 2, bool)
+    word[1:-1] = _WORD[cls]
+    ids = cls.astype(np.int64)
+    if names and len(codes):
+        hits = list(_automaton(names).iter(lowered(joined)))
+        if hits:
+            last, length = np.array(hits).T
+            first = last - length + 1
+            whole = ~word[first] & ~word[last + 2]
+            step = np.zeros(len(codes) + 1, np.int64)
+            np.add.at(step, first[whole], 1)
+            np.add.at(step, last[whole] + 1, -1)
+            ids[np.cumsum(step[:-1]) > 0] += V
+    return ids
+
+
+def windows(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end of the windows that cover the texts from end to end, in order, and the place of each within its text."""
+    n = np.where(ends > starts, 1 + np.maximum(0, -((WINDOW - (ends - starts)) // (WINDOW - OVERLAP))), 0)
+    place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    begin = np.repeat(starts, n) + place * (WINDOW - OVERLAP)
+    return begin, np.minimum(begin + WINDOW, np.repeat(ends, n)), place
 
 
 class Tagger:
-    """The trained network. Weights: table_f, table_b (2V x 4H, gates i f o g), hid_f, hid_b (H x 4H), out (2H x K), bias, trans, first, last."""
+    """The trained network. Weights: table_f, table_b (2V x 4H, gates i f o g), hid_f, hid_b (H x 4H), out (2H x K), bias, trans, first, last.
+
+    A sigmoid is (tanh(x / 2) + 1) / 2. States are kept doubled and the halves are in the weights, which powers of two leave exact.
+    """
 
     def __init__(self, w: dict[str, np.ndarray]):
-        self.h = w["hid_f"].shape[0]
-        half = np.ones(4 * self.h, np.float32)
-        half[: 3 * self.h] = 0.5
-        self.tables = [w[f"table_{d}"].astype(np.float32) * half for d in "fb"]
-        self.hidden = [np.ascontiguousarray(w[f"hid_{d}"].astype(np.float32) * half) for d in "fb"]
-        self.out, self.bias = w["out"].astype(np.float32), w["bias"].astype(np.float32)
+        self.h = n = w["hid_f"].shape[0]
+        half = np.ones(4 * n, np.float32)
+        half[: 3 * n] = 0.5
+        by_gate = lambda x: np.ascontiguousarray(x.reshape(-1, 4, n).transpose(1, 0, 2))
+        self.tables = [by_gate(w[f"table_{d}"].astype(np.float32) * half) for d in "fb"]
+        self.hidden = np.stack([by_gate(w[f"hid_{d}"].astype(np.float32) * half * np.float32(0.5)) for d in "fb"])
+        # scores beyond those of the tag outside, which leaves the best tags as they are
+        self.out, self.bias = ((x - x[..., :1]) * scale for x, scale in ((w["out"].astype(np.float32), np.float32(0.5)), (w["bias"].astype(np.float32), np.float32(1))))
         self.trans, self.first, self.last = (w[k].astype(np.float32) for k in ("trans", "first", "last"))
+        self._held = np.empty(0, np.float32)
 
     @classmethod
     def load(cls) -> Tagger:
@@ -193,41 +123,69 @@ class Tagger:
                 _cache["tagger"] = cls({k: f[k] for k in f.files})
         return _cache["tagger"]
 
-    def _run(self, ids: np.ndarray, d: int) -> np.ndarray:
-        """Hidden states over time of ids (time, batch) in one direction."""
-        t, b = ids.shape
-        h, c = np.zeros((b, self.h), np.float32), np.zeros((b, self.h), np.float32)
-        out = np.empty((t, b, self.h), np.float32)
-        n = self.h
+    def _run(self, ids: np.ndarray, lens: np.ndarray) -> np.ndarray:
+        """Doubled hidden states (step, direction, batch, H) over ids (step, direction, batch), which the second direction has from the end;
+        the shortest first; valid until the next call."""
+        t, _, b = ids.shape
+        n, half, one = self.h, np.float32(0.5), np.float32(1)
+        if self._held.size < t * 2 * b * n:
+            self._held = np.zeros(max(t, WINDOW) * 2 * max(b, BATCH) * n, np.float32)
+        out = self._held[: t * 2 * b * n].reshape(t, 2, b, n)
+        h, c, m = (np.zeros((2, b, n), np.float32) for _ in range(3))
+        z, x = np.empty((2, 4, b, n), np.float32), np.empty((2, 4, b, n), np.float32)
+        s, was = 0, -1
         for i in range(t):
-            z = h @ self.hidden[d]
-            z += self.tables[d][ids[i]]
-            _act(z, n)
-            c = z[:, n : 2 * n] * c
-            c += z[:, :n] * z[:, 3 * n :]
-            h = z[:, 2 * n : 3 * n] * np.tanh(c)
-            out[i] = h
+            if lens[s] <= i:
+                s = int(np.searchsorted(lens, i, "right"))  # those that have a character here
+            if s != was:
+                zs, xs, cs, ms, was = z[:, :, s:], x[:, :, s:], c[:, s:], m[:, s:], s
+                zi, zf, zo, zg = (zs[:, k] for k in range(4))
+                gates = zs[:, :3]
+                takes = [(self.tables[d][k].take, d, xs[d, k]) for d in (0, 1) for k in range(4)]
+            np.matmul(h[:, None, s:], self.hidden, out=zs)
+            at = ids[i, :, s:]
+            for take, d, to in takes:
+                take(at[d], 0, to, "clip")
+            zs += xs
+            np.tanh(zs, out=zs)
+            gates += one
+            cs *= zf
+            zi *= zg
+            cs += zi
+            cs *= half
+            np.tanh(cs, out=ms)
+            h = out[i]
+            np.multiply(zo, ms, out=h[:, s:])
         return out
 
-    def scores(self, windows: list[np.ndarray]) -> list[np.ndarray]:
-        """Emission scores (length, K) of each window of input ids, windows of like length together."""
-        out: list = [None] * len(windows)
-        order = sorted(range(len(windows)), key=lambda i: len(windows[i]))
-        for at in range(0, len(order), 384):
-            some = order[at : at + 384]
-            lens = np.array([len(windows[i]) for i in some])
-            ids = np.zeros((lens.max(), len(some)), np.int64)
-            back = np.zeros_like(ids)
-            for k, i in enumerate(some):
-                ids[: lens[k], k] = windows[i]
-                back[: lens[k], k] = windows[i][::-1]
-            f, b = self._run(ids, 0), self._run(back, 1)
-            for k, i in enumerate(some):
-                out[i] = f[: lens[k], k] @ self.out[: self.h] + b[: lens[k], k][::-1] @ self.out[self.h :] + self.bias
-        return out
-
-    def viterbi(self, emissions: list[np.ndarray]) -> list[np.ndarray]:
-        """The best tags of each stretch."""
+    def scores(self, ids: np.ndarray, begin: np.ndarray, end: np.ndarray, place: np.ndarray, lo: int, hi: int) -> np.ndarray:
+        """Emission scores (hi - lo, K) of the characters from lo to hi by the windows over them, averaged by distance from the window's edge; outside has 0."""
+        pad = WINDOW
+        sums = np.zeros((hi - lo + 2 * pad, K), np.float32)  # the column of outside holds the weights
+        lens = end - begin
+        order = np.argsort(lens, kind="stable")
+        for at in range(0, len(order), BATCH):
+            some = order[at : at + BATCH]
+            n = lens[some]
+            time = np.arange(n[-1])[:, None]
+            first, last = begin[some], end[some] - 1
+            h = self._run(np.stack((ids[np.minimum(first + time, last)], ids[np.maximum(last - time, first)]), 1), n)
+            e, back = h[:, 0] @ self.out[: self.h], h[:, 1] @ self.out[self.h :]
+            e += back[::-1] if n[0] == n[-1] else back[np.maximum(n - 1 - time, 0), np.arange(len(some))]
+            e[:, :, 0] = 1
+            e *= np.minimum(time + 1, n - time).astype(np.float32)[:, :, None]
+            for k, (x, y) in enumerate(zip((first - lo + pad).tolist(), (last + 1 - lo + pad).tolist(), strict=True)):
+                sums[x:y] += e[: y - x, k]
+        sums = sums[pad : pad + hi - lo]
+        sums /= np.maximum(sums[:, :1], 1)
+        sums += self.bias
+        sums[:, 0] = 0
+        return sums
+
+    def viterbi(self, emissions: list[np.ndarray], first: np.ndarray | None = None, last: np.ndarray | None = None) -> list[np.ndarray]:
+        """The best tags of each run, given the scores of first and last tags for each run, else those of whole texts."""
+        first = np.broadcast_to(self.first, (len(emissions), K)) if first is None else first
+        last = np.broadcast_to(self.last, (len(emissions), K)) if last is None else last
         out: list = [None] * len(emissions)
         # longest first, as many at a time as keep the padded batch small
         order = sorted(range(len(emissions)), key=lambda i: -len(emissions[i]))
@@ -240,7 +198,7 @@ class Tagger:
             e = np.zeros((t, len(some), K), np.float32)
             for k, i in enumerate(some):
                 e[: lens[k], k] = emissions[i]
-            s = self.first + e[0]
+            s = first[some] + e[0]
             back = np.zeros((t, len(some), K), np.int8)
             final = np.empty((len(some), K), np.float32)
             final[lens == 1] = s[lens == 1]
@@ -250,7 +208,7 @@ class Tagger:
                 s = np.take_along_axis(x, back[i][:, None, :].astype(np.int64), 1)[:, 0] + e[i]
                 done = lens == i + 1
                 final[done] = s[done]
-            tag = (final + self.last).argmax(1)
+            tag = (final + last[some]).argmax(1)
             tags = np.zeros((t, len(some)), np.int8)
             for i in range(t - 1, -1, -1):
                 tags[i] = np.where(i < lens, tag, 0)
@@ -260,25 +218,78 @@ class Tagger:
                 out[i] = tags[: lens[k], k]
         return out
 
-    def tag(self, ids: np.ndarray, ranges: list[tuple[int, int]]) -> list[np.ndarray]:
-        """Tags of each range of input ids: overlapping windows, scores averaged by distance from the edge, one Viterbi pass."""
-        parts, windows = [], []
-        for r, (a, b) in enumerate(ranges):
-            at = a
-            while True:
-                to = min(b, at + WINDOW)
-                parts.append((r, at - a, to - a))
-                windows.append(ids[at:to])
-                if to == b:
-                    break
-                at = to - OVERLAP
-        sums = [np.zeros((b - a, K), np.float32) for a, b in ranges]
-        weights = [np.zeros((b - a, 1), np.float32) for a, b in ranges]
-        for (r, x, y), s in zip(parts, self.scores(windows), strict=True):
-            edge = np.minimum(np.arange(1, y - x + 1), np.arange(y - x, 0, -1)).astype(np.float32)[:, None]
-            sums[r][x:y] += s * edge
-            weights[r][x:y] += edge
-        return self.viterbi([s / w for s, w in zip(sums, weights, strict=True)])
+    def _bounds(self) -> tuple[float, float, float]:
+        """What transitions give at most to a run of other tags, against outside throughout: for each character, and once at its end; and the
+        most at a text's first character beyond the first of these.
+
+        With potentials of the longest ways from outside, every transition within a run gives at most the greatest mean of a circle.
+        """
+        w = (self.trans - self.trans[0, 0]).astype(np.float64)
+        inner, power, each = w[1:, 1:], w[1:, 1:], -np.inf
+        for n in range(1, K):
+            each = max(each, power.diagonal().max() / n)
+            power = (power[:, :, None] + inner[None]).max(1)
+        phi = w[0, 1:] - each
+        for _ in range(K):
+            phi = np.maximum(phi, (phi[:, None] + inner).max(0) - each)
+        leave = max((w[1:, 0] + phi).max(), (self.last[1:] - self.last[0] + phi).max())
+        return each, leave, max(0.0, (self.first[1:] - self.first[0] - phi).max() - each)
+
+    def outside(self, gain: np.ndarray, opens: np.ndarray, text: np.ndarray) -> np.ndarray:
+        """Which characters the best tags surely leave outside, where no run of other tags over them can be better than outside throughout.
+
+        gain: the greatest score of another tag; opens, text: which characters are the first of their text, and which are of a text.
+        """
+        each, leave, enter = self._bounds()
+        gain = gain + np.float32(each)
+        gain[opens] += np.float32(enter)
+        gain[~text] = -1e6  # no run goes over a gap
+        total = np.zeros(len(gain) + 1)
+        np.cumsum(gain, dtype=np.float64, out=total[1:])
+        run = np.maximum.accumulate(total[:0:-1])[::-1]
+        run -= np.minimum.accumulate(total[:-1])  # the best sum of a run over each character
+        return ~text | (run + leave < -1e-3)
+
+    def tag(self, ids: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The best tags of texts that lie at starts to ends of ids; 0 between them.
+
+        The best path passes the tag outside wherever that is sure, so what lies between such places is decided by itself.
+        """
+        begin, end, place = windows(starts, ends)
+        tags = np.zeros(len(ids), np.int8)
+        n = len(ids)
+        text, opens, closes = np.zeros(n + 1, np.int8), np.zeros(n, bool), np.zeros(n, bool)
+        some = ends > starts
+        text[starts[some]], text[ends[some]] = 1, -1
+        text = np.cumsum(text[:-1], dtype=np.int8) > 0
+        opens[starts[some]] = closes[ends[some] - 1] = True
+        # a character whose other tags are all worse by more than any neighbours can give is outside; scores of others are kept
+        into, out_of = (self.trans - self.trans[:, :1]).max(0), (self.trans - self.trans[:1]).max(1)
+        most = (np.maximum(into, self.first - self.first[0]) + np.maximum(out_of, self.last - self.last[0])).max()
+        gain, kept = np.zeros(n, np.float32), [np.zeros((0, K), np.float32)]
+        near = np.zeros(n, bool)
+        for lo in range(0, n, BLOCK):
+            hi = min(n, lo + BLOCK)
+            a, b = np.searchsorted(end, lo, "right"), np.searchsorted(begin, hi)
+            e = self.scores(ids, begin[a:b], end[a:b], place[a:b], lo, hi)
+            g = gain[lo:hi]
+            g[:] = e[:, 1]
+            for k in range(2, K):
+                np.maximum(g, e[:, k], out=g)
+            near[lo:hi] = text[lo:hi] & (g >= -most)
+            kept.append(e[near[lo:hi]])
+        if not near.any():
+            return tags
+        open_ = ~self.outside(gain, opens, text)
+        at, e = np.flatnonzero(near), np.concatenate(kept)
+        at, e = at[open_[at]], e[open_[at]]
+        if len(at):
+            cuts = np.flatnonzero(np.diff(at) > 1) + 1
+            first, last = at[np.concatenate(([0], cuts))], at[np.concatenate((cuts - 1, [len(at) - 1]))]
+            before = np.where(opens[first][:, None], self.first, self.trans[0])
+            behind = np.where(closes[last][:, None], self.last, self.trans[:, 0])
+            tags[at] = np.concatenate(self.viterbi(np.split(e, cuts), before, behind))
+        return tags
 
 
 _LETTERS = re.compile(r"[^\W\d_]")
@@ -317,31 +328,19 @@ def _checked(text: str, a: int, b: int, kind: str) -> tuple[int, int] | None:
 def detect(texts: list[str], names: tuple[str, ...], tagger: Tagger | None = None) -> list[tuple[int, int, int, str]]:
     """(text number, start, end, type) of each detail, in order; texts of any length."""
     tagger = tagger or Tagger.load()
-    joined = "\n".join(texts)
     codes, starts, ends = v.codes_of(texts)
-    open_, flag = gate(joined, codes, names)
-    ranges = stretches(open_, starts, ends)
-    if not ranges:
-        return []
-    ids = _char_table()[codes].astype(np.int64) + V * flag
-    owner = np.searchsorted(starts, [a for a, _ in ranges], "right") - 1
+    tags = tagger.tag(inputs("\n".join(texts), codes, names), starts, ends)
+    kinds = np.where(tags > 0, (tags + 1) // 2, 0)
+    # a span begins with any tag that does not go on with the one before, and ends where the next is no inside of its type
+    goes_on = np.zeros(len(tags) + 1, bool)
+    goes_on[1:-1] = (tags[1:] > 0) & (tags[1:] % 2 == 0) & (kinds[1:] == kinds[:-1])
+    goes_on[starts] = False
+    first, last = np.flatnonzero((tags > 0) & ~goes_on[:-1]), np.flatnonzero((tags > 0) & ~goes_on[1:])
     out = []
-    for (a, _), i, tags in zip(ranges, owner, tagger.tag(ids, ranges), strict=True):
-        if not tags.any():
-            continue
-        at = 0
-        while at < len(tags):
-            if tags[at] == 0:
-                at += 1
-                continue
-            t = (tags[at] - 1) // 2
-            to = at + 1
-            while to < len(tags) and tags[to] == 2 + 2 * t:
-                to += 1
-            base = int(starts[i])
-            if found := _checked(texts[i], a + at - base, a + to - base, TYPES[t]):
-                out.append((int(i), *found, TYPES[t]))
-            at = to
+    for a, b, i in zip(first, last + 1, np.searchsorted(starts, first, "right") - 1, strict=True):
+        base, kind = int(starts[i]), TYPES[kinds[a] - 1]
+        if span := _checked(texts[i], int(a) - base, int(b) - base, kind):
+            out.append((int(i), *span, kind))
     out.sort()
     kept: list[tuple[int, int, int, str]] = []
     for x in out:
@@ -358,11 +357,25 @@ def name_list(given_names: DataFrame) -> tuple[str, ...]:
     return tuple(sorted(r.n for r in rows))
 
 
+def _beside(items: DataFrame) -> DataFrame:
+    """The rows with copies of a text in one task, one behind the other: a copy costs its way there, far less than to be gone through."""
+    return items.repartition("text").sortWithinPartitions(F.xxhash64("text"))
+
+
+def _detected(texts: list[str], names: tuple[str, ...]) -> list[list[tuple[int, int, str]]]:
+    """The details of each text; equal texts are gone through once."""
+    by: dict[str, list[tuple[int, int, str]]] = {t: [] for t in texts}
+    each = list(by)
+    for i, a, e, kind in detect(each, names):
+        by[each[i]].append((a, e, kind))
+    return [by[t] for t in texts]
+
+
 def _find(names: tuple[str, ...]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for src, uid, block, text in v.chunks([c.to_pylist() for c in b.columns], 3):
-                f = detect(text, names)
+                f = [(i, *x) for i, found in enumerate(_detected(text, names)) for x in found]
                 at = [x[0] for x in f]
                 yield pa.record_batch(
                     [pa.array([src[i] for i in at], pa.string()), pa.array([uid[i] for i in at], pa.int64()), pa.array([block[i] for i in at], pa.int32()), pa.array([x[3] for x in f], pa.string()), pa.array([x[1] for x in f], pa.int32()), pa.array([x[2] for x in f], pa.int32())],
@@ -378,7 +391,7 @@ def find(items: DataFrame, given_names: DataFrame) -> DataFrame:
     items: src, item_uid, block, text, other columns are ignored. Null texts have none; repeated items each have their rows; texts of any length are gone through whole.
     """
     cols = ["src", F.col("item_uid").cast("long"), F.col("block").cast("int"), "text"]
-    return items.where("text is not null").select(*cols).mapInArrow(_find(name_list(given_names)), "src string, item_uid bigint, block int, pii_type string, start_pos int, end_pos int")
+    return _beside(items.where("text is not null").select(*cols)).mapInArrow(_find(name_list(given_names)), "src string, item_uid bigint, block int, pii_type string, start_pos int, end_pos int")
 
 
 def masked(text: str, found: list[tuple[int, int, str]]) -> str:
@@ -396,13 +409,11 @@ def mask(items: DataFrame, given_names: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for src, uid, block, text in v.chunks([c.to_pylist() if i < 3 else [x or "" for x in c.to_pylist()] for i, c in enumerate(b.columns)], 3):
-                by: dict[int, list] = {}
-                for i, a, e, kind in detect(text, names):
-                    by.setdefault(i, []).append((a, e, kind))
-                made = [masked(t, by.get(i, [])) for i, t in enumerate(text)]
-                yield pa.record_batch([pa.array(src, pa.string()), pa.array(uid, pa.int64()), pa.array(block, pa.int32()), pa.array(made, pa.string()), pa.array([len(by.get(i, [])) for i in range(len(text))], pa.int32())], names=["src", "item_uid", "block", "masked", "n_found"])
-
-    done = items.select("src", F.col("item_uid").cast("long"), F.col("block").cast("int"), "text").where("text is not null").mapInArrow(run, "src string, item_uid bigint, block int, masked string, n_found int")
+            for src, uid, block, text in v.chunks([c.to_pylist() for c in b.columns], 3):
+                found = _detected(text, names)
+                made = [masked(t, x) for t, x in zip(text, found, strict=True)]
+                yield pa.record_batch([pa.array(src, pa.string()), pa.array(uid, pa.int64()), pa.array(block, pa.int32()), pa.array(made, pa.string()), pa.array(list(map(len, found)), pa.int32())], names=["src", "item_uid", "block", "masked", "n_found"])
+
+    done = _beside(items.select("src", F.col("item_uid").cast("long"), F.col("block").cast("int"), "text").where("text is not null")).mapInArrow(run, "src string, item_uid bigint, block int, masked string, n_found int")
     none = items.where("text is null").select("src", F.col("item_uid").cast("long"), F.col("block").cast("int"), F.lit(None).cast("string").alias("masked"), F.lit(0).alias("n_found"))
     return done.unionByName(none)

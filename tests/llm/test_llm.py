@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import itertools
 import json
+import os
 import random
 from collections import Counter
 
@@ -189,6 +190,50 @@ def test_find_and_mask_frames(spark):
     assert pii.find(items.limit(0), names.limit(0)).count() == 0
 
 
+def test_details_without_cue_or_dense_digits():
+    assert found("Insurance: AB123456C.") == {("AB123456C", "id_number")}
+
+
+def test_every_character_is_scored():
+    scored = []
+
+    class Seen(pii.Tagger):
+        def scores(self, ids, begin, end, *rest):
+            scored.extend(zip(begin.tolist(), end.tolist(), strict=True))
+            return super().scores(ids, begin, end, *rest)
+
+    texts = ["no digits, names or signs here", "", "x" * 127, "y" * 128, "plain words again " * 40, "z"]
+    with np.load(f"{os.path.dirname(pii.__file__)}/pii_model.npz") as f:
+        pii.detect(texts, NAMES, Seen({k: f[k] for k in f.files}))
+    want, at = set(), 0
+    for t in texts:
+        want |= set(range(at, at + len(t)))
+        at += len(t) + 1
+    assert {i for a, b in scored for i in range(a, b)} == want
+
+
+@pytest.mark.parametrize("block", [1 << 18, 300])
+def test_tags_are_those_of_one_pass_over_each_text(monkeypatch, block):
+    monkeypatch.setattr(pii, "BLOCK", block)
+    filler = "Only 44 of the diff view entries mention codec_anchor. "
+    texts = ["Insurance: AB123456C.", filler * 9 + "My name is Greta Lindholt and I own it. " + filler * 3 + "Call (818) 555-0111", "", "Q", "greta.lindholt@mail.example" * 30, filler * 20]
+    codes, starts, ends = pii.v.codes_of(texts)
+    ids, tagger = pii.inputs("\n".join(texts), codes, NAMES), pii.Tagger.load()
+    e = tagger.scores(ids, *pii.windows(starts, ends), 0, len(ids))
+    tags = tagger.tag(ids, starts, ends)
+    some = [(a, b) for a, b in zip(starts, ends, strict=True) if b > a]
+    for (a, b), want in zip(some, tagger.viterbi([e[a:b] for a, b in some]), strict=True):
+        assert tags[a:b].tolist() == want.tolist()
+    assert tags.any()
+
+
+def test_copies_of_a_text_each_have_their_rows(spark):
+    text = "Only 44 of the diff view entries mention codec_anchor. " * 4 + "Call (818) 555-0111 before you restart the cache."
+    items = spark.createDataFrame([("segments", 1, 0, text), ("turns", 2, 3, text), ("turns", 2, 3, text), ("turns", 4, 0, text[:220])], "src string, item_uid bigint, block int, text string")
+    names = spark.createDataFrame([("Greta", 3)], "given_name string, n_people int")
+    assert sorted((r.src, r.item_uid, r.pii_type, text[r.start_pos : r.end_pos]) for r in pii.find(items, names).collect()) == [("segments", 1, "phone", "(818) 555-0111")] + [("turns", 2, "phone", "(818) 555-0111")] * 2
+
+
 def test_gradients_by_differences():
     from tessera.llm import pii_train as t
 
