@@ -413,6 +413,21 @@ def test_pack_with_a_third_of_one_length(spark):
     assert packing.container_report(packing.pack(d, capacity=64), 64).first().used_part > 0.95
 
 
+def test_checks_of_packings_see_what_is_lost_or_displaced(spark, tmp_path, monkeypatch):
+    from tessera.llm.queries import p7_checks
+
+    rows = [(i, f"word number {i} " * (i + 1)) for i in range(9)] + [(3, "word number 3 " * 4), (20, None), (21, ""), (None, "lost"), (22, "x y " * 5000)]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    pack = packing.pack
+    assert [tuple(r) for r in p7_checks(spark, str(tmp_path)).collect()] == [(0, 0, 0, True)]  # document 3 comes twice
+    monkeypatch.setattr(packing, "pack", lambda docs: pack(docs).where("doc_id != 5"))
+    assert p7_checks(spark, str(tmp_path)).first().n_broken == 1
+    # a piece moved onto another: as many tokens as before and the same end
+    moved = F.when((F.col("doc_id") == 22) & (F.col("piece") == 0), F.col("first_token") + 7).otherwise(F.col("first_token"))
+    monkeypatch.setattr(packing, "pack", lambda docs: pack(docs).withColumn("first_token", moved))
+    assert p7_checks(spark, str(tmp_path)).first().n_broken == 1
+
+
 # problem 8
 
 
