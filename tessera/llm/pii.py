@@ -8,7 +8,9 @@ The weights are trained by ``python -m tessera.llm.pii_train`` and lie beside th
 
 from __future__ import annotations
 
+import functools
 import io
+import math
 import pkgutil
 import re
 import sys
@@ -28,6 +30,8 @@ K = 1 + 2 * len(TYPES)
 WINDOW, OVERLAP = 128, 48
 #: Windows scored at a time, and characters whose scores are held at a time.
 BATCH, BLOCK = 384, 1 << 19
+#: Characters whose scores are compared at a time.
+PART = 1 << 13
 #: Characters, padding included, of a batch of runs.
 AREA = 1 << 16
 #: Most given names that are sent to the tasks.
@@ -98,6 +102,55 @@ def windows(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return begin, np.minimum(begin + WINDOW, np.repeat(ends, n)), place
 
 
+def lines(size: int) -> np.ndarray:
+    """An array of floats to be filled that begins with a line of the cache: arithmetic over others reads most lines twice."""
+    held = np.empty(size + 16, np.float32)
+    skip = -held.ctypes.data // 4 % 16
+    return held[skip : skip + size]
+
+
+def in_lines(x: np.ndarray) -> np.ndarray:
+    """A copy of x in such an array."""
+    y = lines(x.size).reshape(x.shape)
+    y[:] = x
+    return y
+
+
+@functools.lru_cache(1024)
+def shares(n: int, before: bool, behind: int) -> np.ndarray | None:
+    """What the scores of a window of n characters count for (n, K), by distance from the window's edge against that of the other window over
+    a character; None: all of them whole. before: whether one precedes it in its text, which is never a shorter one; behind: characters of the next, or 0.
+
+    At most two windows hold a character.
+    """
+    if not before and not behind:
+        return None
+    weight = lambda m: np.minimum(np.arange(1, m + 1), np.arange(m, 0, -1))
+    own, step = weight(n), WINDOW - OVERLAP
+    total = own.copy()
+    if before:
+        total[: WINDOW - step] += weight(WINDOW)[step : step + n]
+    if behind:
+        total[step:] += weight(behind)[: n - step]
+    return np.repeat((own / total).astype(np.float32)[:, None], K, 1)
+
+
+def room(n: int) -> int:
+    """Rows in which the scores of n characters are made: whole windows, one before and one behind them."""
+    return (2 + -(-n // WINDOW)) * WINDOW
+
+
+def groups(starts: np.ndarray, n: int) -> list[tuple[int, int]]:
+    """The n characters in stretches of whole texts, as many as BLOCK holds; a longer text by itself."""
+    out, lo, starts = [], 0, np.append(starts, n)
+    while lo < n:
+        hi = int(starts[np.searchsorted(starts, lo + BLOCK, "right") - 1])
+        hi = hi if hi > lo else int(starts[np.searchsorted(starts, lo, "right")])
+        out.append((lo, hi))
+        lo = hi
+    return out
+
+
 class Tagger:
     """The trained network. Weights: table_f, table_b (2V x 4H, gates i f o g), hid_f, hid_b (H x 4H), out (2H x K), bias, trans, first, last.
 
@@ -108,13 +161,14 @@ class Tagger:
         self.h = n = w["hid_f"].shape[0]
         half = np.ones(4 * n, np.float32)
         half[: 3 * n] = 0.5
-        by_gate = lambda x: np.ascontiguousarray(x.reshape(-1, 4, n).transpose(1, 0, 2))
-        self.tables = [by_gate(w[f"table_{d}"].astype(np.float32) * half) for d in "fb"]
-        self.hidden = np.stack([by_gate(w[f"hid_{d}"].astype(np.float32) * half * np.float32(0.5)) for d in "fb"])
+        by_gate = lambda x: x.reshape(-1, 4, n).transpose(1, 0, 2)
+        # for each gate the rows of the first direction, behind them those of the second
+        self.tables = in_lines(np.concatenate([by_gate(w[f"table_{d}"].astype(np.float32) * half) for d in "fb"], 1))
+        self.hidden = in_lines(np.stack([by_gate(w[f"hid_{d}"].astype(np.float32) * half * np.float32(0.5)) for d in "fb"]))
         # scores beyond those of the tag outside, which leaves the best tags as they are
         self.out, self.bias = ((x - x[..., :1]) * scale for x, scale in ((w["out"].astype(np.float32), np.float32(0.5)), (w["bias"].astype(np.float32), np.float32(1))))
         self.trans, self.first, self.last = (w[k].astype(np.float32) for k in ("trans", "first", "last"))
-        self._held = np.empty(0, np.float32)
+        self._held: dict[str, np.ndarray] = {}
 
     @classmethod
     def load(cls) -> Tagger:
@@ -123,64 +177,81 @@ class Tagger:
                 _cache["tagger"] = cls({k: f[k] for k in f.files})
         return _cache["tagger"]
 
-    def _run(self, ids: np.ndarray, lens: np.ndarray) -> np.ndarray:
-        """Doubled hidden states (step, direction, batch, H) over ids (step, direction, batch), which the second direction has from the end;
-        the shortest first; valid until the next call."""
+    def _space(self, name: str, *shape: int) -> np.ndarray:
+        """An array to be filled, in memory that is kept; valid until the next call with the name."""
+        size = math.prod(shape)
+        if name not in self._held or self._held[name].size < size:
+            self._held[name] = lines(size)
+        return self._held[name][:size].reshape(shape)
+
+    def _run(self, ids: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """What either direction gives to the scores (batch, step, K) over ids (step, direction, batch), which the second direction has from the
+        end; the shortest first. Places of the first count from the first step, those of the second back from the last; valid until the next call."""
         t, _, b = ids.shape
         n, half, one = self.h, np.float32(0.5), np.float32(1)
-        if self._held.size < t * 2 * b * n:
-            self._held = np.zeros(max(t, WINDOW) * 2 * max(b, BATCH) * n, np.float32)
-        out = self._held[: t * 2 * b * n].reshape(t, 2, b, n)
-        h, c, m = (np.zeros((2, b, n), np.float32) for _ in range(3))
-        z, x = np.empty((2, 4, b, n), np.float32), np.empty((2, 4, b, n), np.float32)
+        ahead, back = self._space("ahead", b, t, K), self._space("back", b, t, K)
+        ids = ids + np.array([[0], [self.tables.shape[1] // 2]])
+        h, c = (np.zeros((2, b, n), np.float32) for _ in range(2))
         s, was = 0, -1
         for i in range(t):
             if lens[s] <= i:
                 s = int(np.searchsorted(lens, i, "right"))  # those that have a character here
-            if s != was:
-                zs, xs, cs, ms, was = z[:, :, s:], x[:, :, s:], c[:, s:], m[:, s:], s
-                zi, zf, zo, zg = (zs[:, k] for k in range(4))
-                gates = zs[:, :3]
-                takes = [(self.tables[d][k].take, d, xs[d, k]) for d in (0, 1) for k in range(4)]
-            np.matmul(h[:, None, s:], self.hidden, out=zs)
+            if s != was:  # arrays of these alone, each in one piece
+                gone, was = s - max(was, 0), s
+                of = h[:, gone:].copy(), c[:, gone:].copy()
+                h, c, x = (self._space(k, 2, b - s, n) for k in "hcx")
+                h[:], c[:] = of
+                z = self._space("z", 4, 2, b - s, n)
+                zi, zf, zo, zg = z
+                gates, states, by_direction = z[:3], h[:, None], z.transpose(1, 0, 2, 3)
+                adds = [(table.take, to) for table, to in zip(self.tables, z, strict=True)]
+            np.matmul(states, self.hidden, out=by_direction)
             at = ids[i, :, s:]
-            for take, d, to in takes:
-                take(at[d], 0, to, "clip")
-            zs += xs
-            np.tanh(zs, out=zs)
+            for take, to in adds:
+                take(at, 0, x, "clip")
+                to += x
+            np.tanh(z, out=z)
             gates += one
-            cs *= zf
+            c *= zf
             zi *= zg
-            cs += zi
-            cs *= half
-            np.tanh(cs, out=ms)
-            h = out[i]
-            np.multiply(zo, ms, out=h[:, s:])
-        return out
-
-    def scores(self, ids: np.ndarray, begin: np.ndarray, end: np.ndarray, place: np.ndarray, lo: int, hi: int) -> np.ndarray:
-        """Emission scores (hi - lo, K) of the characters from lo to hi by the windows over them, averaged by distance from the window's edge; outside has 0."""
+            c += zi
+            c *= half
+            np.tanh(c, out=h)
+            h *= zo
+            np.matmul(h[0], self.out[:n], out=ahead[s:, i])
+            np.matmul(h[1], self.out[n:], out=back[s:, t - 1 - i])
+        return ahead, back
+
+    def scores(self, ids: np.ndarray, begin: np.ndarray, end: np.ndarray, place: np.ndarray, lo: int, hi: int, sums: np.ndarray | None = None) -> np.ndarray:
+        """Emission scores (hi - lo, K) of the characters from lo to hi by the windows over them, averaged by distance from the window's edge; outside has 0.
+
+        sums: (room(hi - lo), K) in which they are made, else new memory.
+        """
         pad = WINDOW
-        sums = np.zeros((hi - lo + 2 * pad, K), np.float32)  # the column of outside holds the weights
+        if sums is None:
+            sums = np.empty((room(hi - lo), K), np.float32)
+        sums.reshape(-1, WINDOW, K)[:] = np.tile(self.bias, (WINDOW, 1))
         lens = end - begin
+        before, behind = place > 0, np.zeros(len(lens), np.int64)
+        behind[:-1] = np.where(before[1:], lens[1:], 0)
         order = np.argsort(lens, kind="stable")
         for at in range(0, len(order), BATCH):
             some = order[at : at + BATCH]
             n = lens[some]
-            time = np.arange(n[-1])[:, None]
+            t = int(n[-1])
+            time = np.arange(t)[:, None]
             first, last = begin[some], end[some] - 1
-            h = self._run(np.stack((ids[np.minimum(first + time, last)], ids[np.maximum(last - time, first)]), 1), n)
-            e, back = h[:, 0] @ self.out[: self.h], h[:, 1] @ self.out[self.h :]
-            e += back[::-1] if n[0] == n[-1] else back[np.maximum(n - 1 - time, 0), np.arange(len(some))]
-            e[:, :, 0] = 1
-            e *= np.minimum(time + 1, n - time).astype(np.float32)[:, :, None]
-            for k, (x, y) in enumerate(zip((first - lo + pad).tolist(), (last + 1 - lo + pad).tolist(), strict=True)):
-                sums[x:y] += e[: y - x, k]
-        sums = sums[pad : pad + hi - lo]
-        sums /= np.maximum(sums[:, :1], 1)
-        sums += self.bias
-        sums[:, 0] = 0
-        return sums
+            e, back = self._run(np.stack((ids[np.minimum(first + time, last)], ids[np.maximum(last - time, first)]), 1), n)
+            if same := n[0] == t:
+                e += back
+            for k, (m, x, *others) in enumerate(zip(n.tolist(), (first - lo + pad).tolist(), before[some].tolist(), behind[some].tolist(), strict=True)):
+                own = e[k, :m]
+                if not same:
+                    own += back[k, t - m :]
+                if (share := shares(m, *others)) is not None:
+                    own *= share
+                sums[x : x + m] += own
+        return sums[pad : pad + hi - lo]
 
     def viterbi(self, emissions: list[np.ndarray], first: np.ndarray | None = None, last: np.ndarray | None = None) -> list[np.ndarray]:
         """The best tags of each run, given the scores of first and last tags for each run, else those of whole texts."""
@@ -253,7 +324,8 @@ class Tagger:
     def tag(self, ids: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """The best tags of texts that lie at starts to ends of ids; 0 between them.
 
-        The best path passes the tag outside wherever that is sure, so what lies between such places is decided by itself.
+        The best path passes the tag outside wherever that is sure, so what lies between such places is decided by itself. Scores of a group
+        of texts are dropped as soon as that is known for all of it.
         """
         begin, end, place = windows(starts, ends)
         tags = np.zeros(len(ids), np.int8)
@@ -263,26 +335,25 @@ class Tagger:
         text[starts[some]], text[ends[some]] = 1, -1
         text = np.cumsum(text[:-1], dtype=np.int8) > 0
         opens[starts[some]] = closes[ends[some] - 1] = True
-        # a character whose other tags are all worse by more than any neighbours can give is outside; scores of others are kept
-        into, out_of = (self.trans - self.trans[:, :1]).max(0), (self.trans - self.trans[:1]).max(1)
-        most = (np.maximum(into, self.first - self.first[0]) + np.maximum(out_of, self.last - self.last[0])).max()
-        gain, kept = np.zeros(n, np.float32), [np.zeros((0, K), np.float32)]
-        near = np.zeros(n, bool)
-        for lo in range(0, n, BLOCK):
-            hi = min(n, lo + BLOCK)
-            a, b = np.searchsorted(end, lo, "right"), np.searchsorted(begin, hi)
-            e = self.scores(ids, begin[a:b], end[a:b], place[a:b], lo, hi)
-            g = gain[lo:hi]
-            g[:] = e[:, 1]
-            for k in range(2, K):
-                np.maximum(g, e[:, k], out=g)
-            near[lo:hi] = text[lo:hi] & (g >= -most)
-            kept.append(e[near[lo:hi]])
-        if not near.any():
-            return tags
-        open_ = ~self.outside(gain, opens, text)
-        at, e = np.flatnonzero(near), np.concatenate(kept)
-        at, e = at[open_[at]], e[open_[at]]
+        places, kept = [np.zeros(0, np.int64)], [np.zeros((0, K), np.float32)]
+        for lo, hi in groups(starts, n):
+            gain, parts = np.empty(hi - lo, np.float32), []
+            for at in range(lo, hi, BLOCK):
+                to = min(hi, at + BLOCK)
+                a, b = np.searchsorted(end, at, "right"), np.searchsorted(begin, to)
+                e = self.scores(ids, begin[a:b], end[a:b], place[a:b], at, to, self._space("sums", room(to - at), K))
+                for k in range(0, to - at, PART):
+                    some = e[k : k + PART]
+                    g = gain[at - lo + k :][: len(some)]
+                    np.maximum(some[:, 1], some[:, 2], out=g)
+                    for tag in range(3, K):
+                        np.maximum(g, some[:, tag], out=g)
+                parts.append(e if to == hi else e.copy())
+            open_ = np.flatnonzero(~self.outside(gain, opens[lo:hi], text[lo:hi]))
+            places.append(open_ + lo)
+            cuts = np.searchsorted(open_, np.arange(BLOCK, hi - lo, BLOCK))
+            kept += [e[x - i * BLOCK] for i, (e, x) in enumerate(zip(parts, np.split(open_, cuts), strict=True))]
+        at, e = np.concatenate(places), np.concatenate(kept)
         if len(at):
             cuts = np.flatnonzero(np.diff(at) > 1) + 1
             first, last = at[np.concatenate(([0], cuts))], at[np.concatenate((cuts - 1, [len(at) - 1]))]

@@ -4,6 +4,7 @@ import itertools
 import json
 import os
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -227,6 +228,49 @@ def test_tags_are_those_of_one_pass_over_each_text(monkeypatch, block):
     assert tags.any()
 
 
+def test_scores_are_those_of_the_plain_network():
+    texts = ["Call (818) 555-0111 before you restart the cache. " * 7, "", "Q", "My name is Greta Lindholt. ", "x" * 128, "plain words again " * 12]
+    with np.load(f"{os.path.dirname(pii.__file__)}/pii_model.npz") as f:
+        w = {k: f[k].astype(float) for k in f.files}
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+
+    def states(ids, d):
+        h, c, out = np.zeros(w["hid_f"].shape[0]), 0, []
+        for i in ids:
+            a, f, o, g = np.split(w[f"table_{d}"][i] + h @ w[f"hid_{d}"], 4)
+            c = sigmoid(f) * c + sigmoid(a) * np.tanh(g)
+            h = sigmoid(o) * np.tanh(c)
+            out.append(h)
+        return np.array(out)
+
+    codes, starts, ends = pii.v.codes_of(texts)
+    ids = pii.inputs("\n".join(texts), codes, NAMES)
+    begin, end, place = pii.windows(starts, ends)
+    sums, weights = np.zeros((len(ids), pii.K)), np.zeros((len(ids), 1))
+    for a, b in zip(begin, end, strict=True):
+        weight = np.minimum(np.arange(1, b - a + 1), np.arange(b - a, 0, -1))[:, None]
+        sums[a:b] += weight * (np.hstack((states(ids[a:b], "f"), states(ids[a:b][::-1], "b")[::-1])) @ w["out"] + w["bias"])
+        weights[a:b] += weight
+    text, want = weights[:, 0] > 0, sums / np.maximum(weights, 1)
+    got = pii.Tagger.load().scores(ids, begin, end, place, 0, len(ids))
+    assert np.abs(got - (want - want[:, :1]))[text].max() < 1e-4
+
+
+def test_scores_of_what_is_outside_are_not_kept(monkeypatch):
+    monkeypatch.setattr(pii, "BLOCK", 1 << 15)
+    texts = ["Only 44 of the diff view entries mention codec_anchor. " * 20, "Call (818) 555-0111 before you restart the cache."] * 400
+    codes, starts, ends = pii.v.codes_of(texts)
+    ids, tagger = pii.inputs("\n".join(texts), codes, NAMES), pii.Tagger.load()
+    tracemalloc.start()
+    try:
+        tags = tagger.tag(ids, starts, ends)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert all(tags[a:b].any() for a, b in zip(starts[1::2], ends[1::2], strict=True))
+    assert peak < 44 * len(ids)  # bytes of the scores of all characters
+
+
 def test_copies_of_a_text_each_have_their_rows(spark):
     text = "Only 44 of the diff view entries mention codec_anchor. " * 4 + "Call (818) 555-0111 before you restart the cache."
     items = spark.createDataFrame([("segments", 1, 0, text), ("turns", 2, 3, text), ("turns", 2, 3, text), ("turns", 4, 0, text[:220])], "src string, item_uid bigint, block int, text string")
