@@ -1,8 +1,11 @@
 from __future__ import annotations
 
 import random
+import tracemalloc
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -289,6 +292,58 @@ def test_leading_directions_are_those_of_the_dense_matrix(monkeypatch):
     assert np.allclose(equal[2], topics.fit(lists + twins, config)[2], rtol=1e-8)
 
 
+def test_leading_directions_are_held_within_a_bound():
+    n, k = 1500, 60
+    rng = np.random.default_rng(3)
+    rows, cols = np.divmod(rng.choice(n * n, 12 * n, replace=False), n)
+    values = rng.random(len(rows)) + 0.5
+    full = np.zeros((n, n))
+    full[rows, cols] = values
+    tracemalloc.start()
+    u, s = topics.leading(n, rows, cols, values, k)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 8e6  # all the steps' directions are three times this
+    assert np.allclose(s, np.linalg.svd(full, compute_uv=False)[:k], rtol=1e-8) and np.allclose(u.T @ u, np.eye(k), atol=1e-10)
+    assert np.allclose(np.linalg.norm(full.T @ u, axis=0), s, rtol=1e-8)
+
+
+def test_directions_without_common_words_have_no_cosine():
+    full = (["a", "b", "c", "d"], np.array([[1, 1e-17], [0, -2e-17], [0, 1], [0, 0]]), None, None)
+    part = (["a", "b"], np.eye(2), None, None)
+    assert sorted(topics.aligned_cosines(full, part)) == [0, 1]
+
+
+def test_topic_report_keeps_no_text_for_a_token(monkeypatch):
+    """One long path among short words must not widen each of a conversation's tokens."""
+    rng = random.Random(8)
+    lists = [["src/" + "deep/" * 400 + "file.py", *(f"w{min(int(rng.expovariate(0.05)), 90)}" for _ in range(200))] for _ in range(150)]
+    seg = list(range(150))
+    rng.shuffle(seg)
+
+    class Group:
+        def applyInPandas(self, run, schema):
+            return run(pd.DataFrame({"conv_id": 7, "seg_id": seg, "tokens": [lists[i] for i in seg]})).to_dict("records")
+
+        def applyInArrow(self, run, schema):
+            t = pa.table({"conv_id": pa.array([7] * 150, pa.int64()), "seg_id": seg, "tokens": [lists[i] for i in seg]})
+            return [r for b in run((pa.scalar(7, pa.int64()),), iter(t.to_batches(max_chunksize=40))) for r in b.to_pylist()]
+
+    monkeypatch.setattr(topics, "_grouped", lambda segments: Group())
+    tracemalloc.start()
+    got = topics.topic_report(type("Segments", (), {"dtypes": [("conv_id", "bigint"), ("seg_id", "int")]}))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 5e7  # a cell of the longest word's width for each token is 240 MB
+    words, w, s, ipr = model = topics.fit(lists)
+    order = np.argsort(ipr, kind="stable")
+    assert [r["topic"] for r in got] == list(range(len(s))) and {r["conv_id"] for r in got} == {7}
+    assert np.allclose([r["singular_value"] for r in got], s[order]) and np.allclose([r["ipr"] for r in got], ipr[order])
+    assert [r["words"][0] for r in got] == [words[np.argmax(np.abs(w[:, j]))] for j in order] and {len(r["words"]) for r in got} == {8}
+    want = np.concatenate([topics.aligned_cosines(model, topics.fit(lists[f::2])) for f in range(2)]).mean()
+    assert {round(r["stability"], 6) for r in got} == {round(float(want), 6)}
+
+
 def test_topics_take_all_words_and_segments_of_a_conversation(spark):
     lists = [[f"w{i}", f"w{i + 1}", f"w{i}", f"w{i + 2}"] for i in range(1700)]
     assert len(topics.fit(lists, topics.TopicConfig(k=3))[0]) > 1500
